@@ -88,16 +88,21 @@ def career(df: DataFrame, keys: list[str], season: str = "season") -> DataFrame:
 def recency_weights(
     df: DataFrame,
     keys: list[str],
-    reference: int | None = None,
+    reference: int | str | None = None,
     settings: Recency = MILD,
     season: str = "season",
     out: str = "recency_weight",
 ) -> DataFrame:
-    """Weight by season; the reference season is the key's own last one unless given."""
+    """Weight by season; the reference season is the key's own last one unless given as a number or
+    as the name of a column."""
     about = career(df, keys, season).withColumn(
         "_decay", S.decay_factor("career_seasons", settings.start, settings.step, settings.floor)
-    ).withColumn("_ref", F.col("last_season") if reference is None else F.lit(reference))
-    joined = df.join(about.select(*keys, "_decay", "_ref"), keys)
+    ).withColumn("_ref", F.col("last_season"))
+    if isinstance(reference, str):
+        df, about = df.withColumn("_ref", F.col(reference)), about.drop("_ref")
+    elif reference is not None:
+        about = about.withColumn("_ref", F.lit(reference))
+    joined = df.join(about.drop("career_seasons", "last_season"), keys)
     return joined.withColumn(out, S.recency_weight(season, "_ref", "_decay", settings.minimum)).drop(
         "_decay", "_ref"
     )
@@ -203,7 +208,7 @@ def training_weights(
     df: DataFrame,
     key: str,
     label: str,
-    reference: int | None = None,
+    reference: int | str | None = None,
     rules: Rules | None = CONTINUOUS,
     recency: Recency | None = MILD,
     season: str = "season",

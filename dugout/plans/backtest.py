@@ -40,7 +40,8 @@ def before(log: DataFrame, targets: DataFrame, names: Log = PITCHES) -> DataFram
     """Rows dated strictly before the pitcher's target date. The first game of a doubleheader is
     not history for the second."""
     day = targets.groupBy(names.key).agg(F.min("target_date").alias("_target"))
-    return log.join(day, names.key).filter(F.col(names.date) < F.col("_target")).drop("_target")
+    earlier = log.join(day, names.key).filter(F.col(names.date) < F.col("_target"))
+    return earlier.withColumn("_target_season", F.year("_target")).drop("_target")
 
 
 def target_rows(log: DataFrame, targets: DataFrame, names: Log = PITCHES) -> DataFrame:
@@ -56,7 +57,6 @@ def replay_day(
     names: Log = PITCHES,
     predicted: DataFrame | None = None,
     rules: W.Rules | None = W.CONTINUOUS,
-    reference: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Prediction log of one day's target games (key, game, target_date).
@@ -68,7 +68,7 @@ def replay_day(
     if predicted is None:
         weighted = W.training_weights(
             history.withColumn("_season", F.year(names.date)), names.key, names.label,
-            reference=reference, rules=rules, season="_season",
+            reference="_target_season", rules=rules, season="_season",
         )
         call = B.weighted_majority(weighted, [names.key], names.label, "weight")
         call = call.select(names.key, F.col(names.label).alias("model_prediction"))
