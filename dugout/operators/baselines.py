@@ -51,18 +51,15 @@ def stratified(
     equi-join on the key with a range test, repeatable whatever the partitioning. Keys without
     training rows get NULL.
     """
-    table = ranges.select(*keys, F.col(label).alias(out), "lo", "hi", "total")
+    table = ranges.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col(label).alias(out), "lo", "hi", "total"
+    )
     drawn = rows.withColumn("_h", S.hash_int(seed, *row_id))
-    k = F.pmod(F.col("_h"), table["total"])
-    on = None
-    for key in keys:
-        term = drawn[key] == table[key]
-        on = term if on is None else on & term
-    on = on & (k >= table["lo"]) & (k < table["hi"])
-    joined = drawn.join(table, on, "left")
-    for key in keys:
-        joined = joined.drop(table[key])
-    return joined.drop("_h", "lo", "hi", "total")
+    spot = F.pmod(F.col("_h"), F.col("total"))
+    on = (spot >= F.col("lo")) & (spot < F.col("hi"))
+    for k in keys:
+        on = (F.col(k) == F.col(f"_of_{k}")) & on
+    return drawn.join(table, on, "left").drop("_h", "lo", "hi", "total", *[f"_of_{k}" for k in keys])
 
 
 def expected_stratified_accuracy(train: DataFrame, test: DataFrame, keys: list[str], label: str) -> DataFrame:

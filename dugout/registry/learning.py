@@ -1 +1,162 @@
-"""Registered queries."""
+"""Spark ML operators. Tree ensembles and solvers have no SQL counterpart; encoders do.
+
+Fits here use few trees and iterations so the queries stay quick; the defaults are the real sizes.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from dugout.operators import sequence as Q
+from dugout.operators import split as P
+from dugout.plans import learning as L
+from dugout.plans import stages
+from dugout.registry import query
+from dugout.registry.logs import EVENT_CLASSES, event_log, pitch_log
+
+SMALL = L.Forest(trees=4, depth=5, min_leaf=5, max_bins=32)
+LIGHT = ["balls", "strikes", "inning", "outs_when_up", "pitch_number_of_game", "prior_pa_vs_pitcher_career",
+         "release_speed_of_prev_pitch", "prev3_pitch_rate_FF", "prev3_pitch_rate_SL"]
+LIGHT_TEXT = ["count_state", "pitch_type_of_prev_pitch", "stand"]
+
+
+def _event_features(spark, sf):
+    """Event log with a few features from earlier events; event type is the class."""
+    log = Q.add(
+        event_log(spark, sf), ["pitcher"], ["ts", "event_id"],
+        [Q.lag("prev_type", "pitch_type"), Q.lag("prev_value", "value"), Q.rolling_mean("mean3", "value", 3)],
+    )
+    return log.withColumns({"hour": F.hour("ts"), "game_pk": F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))})
+
+
+EVENT_COLUMNS = L.Columns(["prev_value", "mean3", "hour", "value"], ["prev_type"])
+
+
+def _kg4(spark, sf):
+    return stages.published(stages.build(pitch_log(spark, sf)).kg4)
+
+
+@query("fill_constants", """
+SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN value END, -999.0::DOUBLE) AS value,
+       coalesce(CASE WHEN event_type <> 'error' THEN event_type END, 'Missing') AS kind FROM events""")
+def fill_constants(spark, sf):
+    rows = event_log(spark, sf).select(
+        "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"),
+        F.when(F.col("pitch_type") != "error", F.col("pitch_type")).alias("kind"),
+    )
+    return L.impute_constants(rows, L.Columns(["value"], ["kind"]))
+
+
+@query("one_hot", f"""
+SELECT event_id, {", ".join(f"CASE WHEN event_type = '{c}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_{c}" for c in EVENT_CLASSES)} FROM events""")
+def one_hot(spark, sf):
+    from pyspark.ml import Pipeline
+
+    rows = event_log(spark, sf).select("event_id", "pitch_type")
+    cols = L.Columns([], ["pitch_type"])
+    out = Pipeline(stages=L._encoding(cols)).fit(rows).transform(rows)
+    codes = vector_to_array("_oh_pitch_type")
+    return out.select("event_id", *[codes[i].alias(f"is_{c}") for i, c in enumerate(EVENT_CLASSES)])
+
+
+@query("standardize", """
+SELECT event_id, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_samp(value) FROM events), 6) AS scaled FROM events""")
+def standardize(spark, sf):
+    from pyspark.ml import Pipeline
+
+    rows = event_log(spark, sf).select("event_id", "value")
+    out = Pipeline(stages=L._linear_encoding(L.Columns(["value"], []))).fit(rows).transform(rows)
+    return out.select("event_id", F.round(vector_to_array("_features")[0], 6).alias("scaled"))
+
+
+@query("align_columns", """
+SELECT event_id, value, CAST(NULL AS DOUBLE) AS absent_number, event_type AS pitch_type, CAST(NULL AS VARCHAR) AS absent_text FROM events""")
+def align_columns(spark, sf):
+    cols = L.Columns(["value", "absent_number"], ["pitch_type", "absent_text"])
+    return L.align(event_log(spark, sf), cols, ["event_id"])
+
+
+@query("feature_label_split", """
+SELECT event_id AS x_event_id, value AS x_value, event_type AS pitch_type FROM events""")
+def feature_label_split(spark, sf):
+    log = event_log(spark, sf).select("event_id", "value", "pitch_type", F.col("pitcher"), F.year("ts").alias("season"))
+    cols = L.feature_columns(log)
+    return log.select(*[F.col(c).alias(f"x_{c}") for c in cols.all], "pitch_type")
+
+
+@query("forest_train_evaluate")
+def forest_train_evaluate(spark, sf):
+    kg4 = _kg4(spark, sf).persist()
+    return L.train(kg4, 2022, forest=SMALL, cols=L.Columns(LIGHT, LIGHT_TEXT)).metrics
+
+
+@query("forest_predictions")
+def forest_predictions(spark, sf):
+    parts = P.chronological_split(L.prepare_log(_kg4(spark, sf)), "pitcher", "game_pk", "game_date").persist()
+    cols = L.Columns(LIGHT, LIGHT_TEXT)
+    fitted = L.fit_forest(parts.filter(~F.col("is_test")), cols, None, SMALL)
+    out = L.predict(fitted, parts.filter("is_test"))
+    out = out.select("pitcher", "game_pk", "pitch_type", "model_prediction", "model_confidence", "probabilities")
+    return L.probability_columns(out, fitted.classes)
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    rows = _event_features(spark, sf).persist()
+    fitted = L.fit_forest(rows, EVENT_COLUMNS, None, SMALL)
+    return L.feature_importance(fitted, rows, 25)
+
+
+def _scored(spark, sf, name, fit):
+    rows = P.chronological_split(
+        _event_features(spark, sf).withColumn("day", F.col("ts").cast("date")), "pitcher", "game_pk", "day"
+    ).persist()
+    fitted = fit(rows.filter(~F.col("is_test")))
+    scored = L.predict(fitted, rows.filter("is_test"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.avg((F.col("model_prediction") == F.col("pitch_type")).cast("double")).alias("test_accuracy"),
+    ).select(F.lit(name).alias("model"), "test_rows", "test_accuracy")
+
+
+@query("logistic_regression")
+def logistic_regression(spark, sf):
+    return _scored(spark, sf, "Logistic Regression", lambda t: L.fit_logistic(t, EVENT_COLUMNS, iterations=10))
+
+
+@query("linear_svm")
+def linear_svm(spark, sf):
+    return _scored(spark, sf, "Linear SVM", lambda t: L.fit_svm(t, EVENT_COLUMNS, iterations=3))
+
+
+@query("gradient_boosting")
+def gradient_boosting(spark, sf):
+    return _scored(spark, sf, "Gradient Boosting", lambda t: L.fit_boosting(t, EVENT_COLUMNS, iterations=2, depth=3))
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    rows = _event_features(spark, sf)
+    return L.comparison(
+        [
+            _scored(spark, sf, "Random Forest", lambda t: L.fit_forest(t, EVENT_COLUMNS, None, SMALL)),
+            _scored(spark, sf, "Logistic Regression", lambda t: L.fit_logistic(t, EVENT_COLUMNS, iterations=5)),
+            rows.agg(F.count(F.lit(1)).alias("test_rows"), F.avg((F.col("pitch_type") == "view").cast("double")).alias("test_accuracy"))
+            .select(F.lit("Constant").alias("model"), "test_rows", "test_accuracy"),
+        ]
+    )
+
+
+@query("grouped_cross_validation")
+def grouped_cross_validation(spark, sf):
+    rows = P.group_folds(_event_features(spark, sf), ["game_pk"], 3).persist()
+    score = L.cross_validate(rows, EVENT_COLUMNS, "fold", 3, L.Forest(trees=2, depth=4, max_bins=32))
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(score).alias("mean_cv_accuracy"), "n")
+
+
+@query("ablation_forest")
+def ablation_forest(spark, sf):
+    log = L.prepare_log(_kg4(spark, sf)).persist()
+    fit = L.forest_fit(L.Columns(LIGHT, LIGHT_TEXT), L.Forest(trees=2, depth=4, max_bins=32))
+    return L.ablation(log, "pitcher", "game_pk", "game_date", L.GATED_ARMS, fit)

@@ -1 +1,376 @@
-"""Registered queries."""
+"""Splits, baselines, replay and walk-forward backtest."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dugout import columns as C
+from dugout.operators import baselines as B
+from dugout.operators import sequence as Q
+from dugout.operators import split as P
+from dugout.operators import weights as W
+from dugout.plans import backtest as R
+from dugout.plans import learning as L
+from dugout.registry import query
+from dugout.registry.logs import SALES_LOG, sales_log, table
+
+_GAMES = f"""{SALES_LOG},
+g AS (SELECT pitcher, game_pk, min(game_date) AS first_date FROM log GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pitcher ORDER BY first_date, game_pk) AS game_rank,
+                  count(*) OVER (PARTITION BY pitcher) AS career_games FROM g),
+flagged AS (SELECT *, CASE WHEN career_games >= 2 THEN game_rank > career_games -
+              least(greatest(1, CAST(ceil(career_games * 0.2::DOUBLE) AS BIGINT)), career_games - 1) END AS is_test
+            FROM ranked)"""
+_SPLIT = f"{_GAMES}, parts AS (SELECT log.*, is_test FROM log JOIN flagged USING (pitcher, game_pk) WHERE is_test IS NOT NULL)"
+
+
+def _hash(*parts: str, seed: int = 42) -> str:
+    return f"CAST(concat('0x', substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 15)) AS BIGINT)"
+
+
+@query("game_order", f"WITH {_GAMES} SELECT pitcher, game_pk, first_date, game_rank, career_games FROM ranked")
+def game_order(spark, sf):
+    return P.game_order(sales_log(spark, sf), "pitcher", "game_pk", "game_date")
+
+
+@query("first_game_date", f"WITH {_GAMES} SELECT pitcher, game_pk, first_date FROM g")
+def first_game_date(spark, sf):
+    return P.games(sales_log(spark, sf), "pitcher", "game_pk", "game_date")
+
+
+@query("chrono_split", f"WITH {_SPLIT} SELECT pitcher, game_pk, game_date, l_linenumber, pitch_type, is_test FROM parts")
+def chrono_split(spark, sf):
+    out = P.chronological_split(sales_log(spark, sf), "pitcher", "game_pk", "game_date")
+    return out.select("pitcher", "game_pk", "game_date", "l_linenumber", "pitch_type", "is_test")
+
+
+@query("unsplittable_keys", """
+SELECT o_custkey AS pitcher, 'At least two games are required.' AS error
+FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) = 1)
+GROUP BY o_custkey""")
+def unsplittable_keys(spark, sf):
+    orders = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("pitcher"), F.col("o_orderkey").alias("game_pk"), F.col("o_orderdate").alias("game_date")
+    )
+    return P.unsplittable(P.chronological_games(orders, "pitcher", "game_pk", "game_date"), "pitcher")
+
+
+@query("split_membership", f"""
+WITH {_GAMES}
+SELECT l.pitcher, l.game_pk, l.pitch_type, l.l_linenumber FROM log l
+WHERE EXISTS (SELECT 1 FROM flagged f WHERE f.pitcher = l.pitcher AND f.game_pk = l.game_pk AND NOT is_test)""")
+def split_membership(spark, sf):
+    log = sales_log(spark, sf)
+    flags = P.chronological_games(log, "pitcher", "game_pk", "game_date").filter(~F.col("is_test"))
+    out = log.join(flags.select("pitcher", "game_pk"), ["pitcher", "game_pk"], "left_semi")
+    return out.select("pitcher", "game_pk", "pitch_type", "l_linenumber")
+
+
+@query("hash_split", f"""
+WITH {SALES_LOG}
+SELECT game_pk, pitch_type, l_linenumber, {_hash("game_pk", seed=7)} % 1000000 / 1000000.0::DOUBLE < 0.2::DOUBLE AS is_test FROM log""")
+def hash_split(spark, sf):
+    out = P.hash_split(sales_log(spark, sf), ["game_pk"], 0.2, seed=7)
+    return out.select("game_pk", "pitch_type", "l_linenumber", "is_test")
+
+
+@query("group_folds", f"""
+WITH {SALES_LOG}
+SELECT game_pk, pitch_type, l_linenumber, CAST({_hash("game_pk")} % 5 AS INTEGER) AS fold FROM log""")
+def group_folds(spark, sf):
+    return P.group_folds(sales_log(spark, sf), ["game_pk"]).select("game_pk", "pitch_type", "l_linenumber", "fold")
+
+
+@query("sample_entities", """
+SELECT s_suppkey, md5(concat('42|', s_suppkey)) AS draw FROM supplier ORDER BY draw, s_suppkey LIMIT 25""")
+def sample_entities(spark, sf):
+    return P.sample_entities(table(spark, sf, "supplier"), "s_suppkey", 25, 42)
+
+
+@query("exclude_development", """
+SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")
+def exclude_development(spark, sf):
+    seen = table(spark, sf, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
+    return table(spark, sf, "supplier").join(seen, "s_nationkey", "left_anti").select("s_suppkey", "s_name")
+
+
+# --- baselines --------------------------------------------------------------------------------
+@query("majority_baseline", f"""
+WITH {SALES_LOG}, c AS (SELECT pitcher, pitch_type, count(*) AS n FROM log GROUP BY ALL)
+SELECT pitcher, pitch_type, n FROM c QUALIFY row_number() OVER (PARTITION BY pitcher ORDER BY n DESC, pitch_type) = 1""")
+def majority_baseline(spark, sf):
+    return B.majority(sales_log(spark, sf), ["pitcher"], "pitch_type")
+
+
+@query("weighted_majority", f"""
+WITH {SALES_LOG},
+careers AS (SELECT pitcher, max(season) AS ref, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay
+            FROM log GROUP BY pitcher),
+t AS (SELECT pitcher, pitch_type, round(sum(greatest(pow(decay, ref - season), 0.1::DOUBLE)), 6) AS total_weight
+      FROM log JOIN careers USING (pitcher) GROUP BY ALL)
+SELECT pitcher, pitch_type, total_weight FROM t
+QUALIFY row_number() OVER (PARTITION BY pitcher ORDER BY total_weight DESC, pitch_type) = 1""")
+def weighted_majority(spark, sf):
+    rows = W.recency_weights(sales_log(spark, sf), ["pitcher"], out="weight")
+    return B.weighted_majority(rows, ["pitcher"], "pitch_type", "weight", digits=6)
+
+
+_RANGES = """c AS (SELECT pitcher, pitch_type, count(*) AS n FROM train GROUP BY ALL),
+ranges AS (SELECT pitcher, pitch_type,
+   CAST(sum(n) OVER (PARTITION BY pitcher ORDER BY pitch_type) - n AS BIGINT) AS lo,
+   CAST(sum(n) OVER (PARTITION BY pitcher ORDER BY pitch_type) AS BIGINT) AS hi,
+   CAST(sum(n) OVER (PARTITION BY pitcher) AS BIGINT) AS total, n FROM c)"""
+
+
+@query("class_priors", f"""
+WITH {SALES_LOG}, train AS (SELECT * FROM log), {_RANGES}
+SELECT pitcher, pitch_type, lo, hi, total, round(n / total, 6) AS prior FROM ranges""")
+def class_priors(spark, sf):
+    out = B.class_ranges(sales_log(spark, sf), ["pitcher"], "pitch_type")
+    return out.withColumn("prior", F.round("prior", 6))
+
+
+@query("stratified_baseline", f"""
+WITH {_SPLIT}, train AS (SELECT * FROM parts WHERE NOT is_test), {_RANGES},
+drawn AS (SELECT t.pitcher, game_pk, l_linenumber, l_partkey, t.pitch_type AS actual, {_hash("game_pk", "l_linenumber", "l_partkey")} AS h
+          FROM parts t WHERE is_test)
+SELECT d.pitcher, game_pk, l_linenumber, l_partkey, actual, r.pitch_type AS baseline_prediction
+FROM drawn d LEFT JOIN ranges r ON d.pitcher = r.pitcher AND h % total >= lo AND h % total < hi""")
+def stratified_baseline(spark, sf):
+    parts = P.chronological_split(sales_log(spark, sf), "pitcher", "game_pk", "game_date")
+    ranges = B.class_ranges(parts.filter(~F.col("is_test")), ["pitcher"], "pitch_type")
+    test = parts.filter("is_test").withColumnRenamed("pitch_type", "actual")
+    out = B.stratified(test, ranges, ["pitcher"], "pitch_type", ["game_pk", "l_linenumber", "l_partkey"])
+    return out.select("pitcher", "game_pk", "l_linenumber", "l_partkey", "actual", "baseline_prediction")
+
+
+@query("expected_stratified_accuracy", f"""
+WITH {_SPLIT},
+p AS (SELECT pitcher, pitch_type, count(*) / sum(count(*)) OVER (PARTITION BY pitcher) AS p_train FROM parts WHERE NOT is_test GROUP BY pitcher, pitch_type),
+q AS (SELECT pitcher, pitch_type, count(*) / sum(count(*)) OVER (PARTITION BY pitcher) AS p_test FROM parts WHERE is_test GROUP BY pitcher, pitch_type)
+SELECT pitcher, round(sum(coalesce(p_train, 0) * p_test), 6) AS expected_accuracy FROM q LEFT JOIN p USING (pitcher, pitch_type) GROUP BY pitcher""")
+def expected_stratified_accuracy(spark, sf):
+    parts = P.chronological_split(sales_log(spark, sf), "pitcher", "game_pk", "game_date")
+    out = B.expected_stratified_accuracy(
+        parts.filter(~F.col("is_test")), parts.filter("is_test"), ["pitcher"], "pitch_type"
+    )
+    return out.withColumn("expected_accuracy", F.round("expected_accuracy", 6))
+
+
+# --- replay -----------------------------------------------------------------------------------
+CUSTOMERS = R.Log(
+    key="pitcher", game="game_pk", date="game_date", label="pitch_type", row_id=("game_pk", "l_linenumber", "l_partkey")
+)
+
+
+def customer_log(spark, sf):
+    """Customer = pitcher, order = game, part type = pitch type."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("game_date"))
+    parts = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("pitch_type"))
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    return (
+        items.join(orders, items.l_orderkey == orders.o_orderkey)
+        .join(parts, items.l_partkey == parts.p_partkey)
+        .select(
+            F.col("o_custkey").alias("pitcher"), F.col("o_orderkey").alias("game_pk"), "game_date", "l_linenumber",
+            "l_partkey", "pitch_type", F.year("game_date").alias("season"),
+        )
+    )
+
+
+_CUSTOMER_LOG = """log AS (
+  SELECT o_custkey AS pitcher, o_orderkey AS game_pk, CAST(o_orderdate AS DATE) AS game_date, l_linenumber, l_partkey,
+         p_type AS pitch_type, CAST(year(o_orderdate) AS INTEGER) AS season
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_H = _hash("game_pk", "l_linenumber", "l_partkey")
+
+_REPLAY = f"""{_CUSTOMER_LOG},
+targets AS (SELECT pitcher, max(game_date) AS target_date FROM log GROUP BY pitcher),
+train AS (SELECT log.*, year(target_date) AS ref FROM log JOIN targets USING (pitcher) WHERE game_date < target_date),
+careers AS (SELECT pitcher, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay FROM train GROUP BY pitcher),
+totals AS (SELECT pitcher, pitch_type, round(sum(greatest(pow(decay, ref - season), 0.1::DOUBLE)), 9) AS w
+           FROM train JOIN careers USING (pitcher) GROUP BY ALL),
+calls AS (SELECT pitcher, pitch_type AS model_prediction FROM totals
+          QUALIFY row_number() OVER (PARTITION BY pitcher ORDER BY w DESC, pitch_type) = 1),
+{_RANGES},
+game_rows AS (SELECT log.*, {_H} AS h FROM log JOIN targets ON log.pitcher = targets.pitcher AND game_date = target_date),
+replayed AS (
+  SELECT g.pitcher, game_pk, game_date, l_linenumber, l_partkey, g.pitch_type AS actual_pitch, model_prediction, r.pitch_type AS baseline_prediction,
+         coalesce(model_prediction = g.pitch_type, false) AS model_correct, coalesce(r.pitch_type = g.pitch_type, false) AS baseline_correct
+  FROM game_rows g LEFT JOIN calls ON calls.pitcher = g.pitcher
+       LEFT JOIN ranges r ON r.pitcher = g.pitcher AND h % total >= lo AND h % total < hi)"""
+_REPLAY_COLUMNS = ["pitcher", "game_pk", "l_linenumber", "l_partkey", "actual_pitch", "model_prediction",
+                   "baseline_prediction", "model_correct", "baseline_correct"]
+
+
+def _replayed(spark, sf):
+    log = customer_log(spark, sf)
+    last = log.groupBy("pitcher").agg(F.max("game_date").alias("target_date"))
+    targets = log.join(last, "pitcher").filter(F.col("game_date") == F.col("target_date"))
+    targets = targets.select("pitcher", "game_pk", "target_date").distinct()
+    return R.replay_day(log, targets, CUSTOMERS, rules=None)
+
+
+@query("replay_log", f"WITH {_REPLAY} SELECT {', '.join(_REPLAY_COLUMNS)} FROM replayed")
+def replay_log(spark, sf):
+    return _replayed(spark, sf).select(*_REPLAY_COLUMNS)
+
+
+@query("leakage_filter", f"""
+WITH {_CUSTOMER_LOG}, targets AS (SELECT pitcher, max(game_date) AS target_date FROM log GROUP BY pitcher)
+SELECT pitcher, game_pk, l_linenumber, pitch_type FROM log JOIN targets USING (pitcher) WHERE game_date < target_date""")
+def leakage_filter(spark, sf):
+    log = customer_log(spark, sf)
+    targets = log.groupBy("pitcher").agg(F.max("game_date").alias("target_date"))
+    return R.before(log, targets, CUSTOMERS).select("pitcher", "game_pk", "l_linenumber", "pitch_type")
+
+
+@query("target_rows", f"""
+WITH {_CUSTOMER_LOG} SELECT pitcher, game_pk, l_linenumber, pitch_type FROM log WHERE game_pk % 10 = 0""")
+def target_rows(spark, sf):
+    log = customer_log(spark, sf)
+    games = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(
+        F.col("o_custkey").alias("pitcher"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")).alias("game_pk")
+    )
+    return R.target_rows(log, games, CUSTOMERS).select("pitcher", "game_pk", "l_linenumber", "pitch_type")
+
+
+@query("replay_results", f"""
+WITH {_REPLAY},
+r AS (SELECT pitcher, game_pk, count(*) AS pitch_count, count(*) FILTER (WHERE model_correct) AS model_correct,
+             count(*) FILTER (WHERE baseline_correct) AS baseline_correct FROM replayed GROUP BY ALL)
+SELECT pitcher, game_pk, pitch_count, model_correct, baseline_correct,
+       round(model_correct / pitch_count, 6) AS model_accuracy, round(baseline_correct / pitch_count, 6) AS baseline_accuracy,
+       round(model_correct / pitch_count - baseline_correct / pitch_count, 6) AS accuracy_over_baseline,
+       CASE WHEN baseline_correct > 0 THEN round((model_correct / pitch_count - baseline_correct / pitch_count) / (baseline_correct / pitch_count), 6) END
+         AS relative_improvement
+FROM r""")
+def replay_results(spark, sf):
+    out = R.game_results(_replayed(spark, sf), ["pitcher", "game_pk"])
+    rates = ["model_accuracy", "baseline_accuracy", "accuracy_over_baseline", "relative_improvement"]
+    return out.select("pitcher", "game_pk", "pitch_count", "model_correct", "baseline_correct", *[F.round(c, 6).alias(c) for c in rates])
+
+
+# --- walk-forward: in SQL every game looks at all earlier rows; in Spark running totals ---------
+_FORWARD = f"""{_CUSTOMER_LOG},
+t AS (SELECT DISTINCT pitcher, game_date, season AS y FROM log),
+d AS (SELECT pitcher, game_date, season, pitch_type, count(*) AS n FROM log GROUP BY ALL),
+gd AS (SELECT pitcher, game_date, count(DISTINCT game_pk) AS games FROM log GROUP BY ALL),
+prior_games AS (SELECT t.pitcher, t.game_date, sum(games) AS prior_games FROM t JOIN gd ON gd.pitcher = t.pitcher AND gd.game_date < t.game_date GROUP BY ALL),
+train AS (SELECT t.pitcher, t.game_date, y, d.season, d.pitch_type, sum(n) AS n FROM t JOIN d ON d.pitcher = t.pitcher AND d.game_date < t.game_date GROUP BY ALL),
+careers AS (SELECT pitcher, game_date, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay FROM train GROUP BY ALL),
+totals AS (SELECT pitcher, game_date, pitch_type, sum(n) AS n, round(sum(n * greatest(pow(decay, y - season), 0.1::DOUBLE)), 9) AS w
+           FROM train JOIN careers USING (pitcher, game_date) GROUP BY ALL),
+calls AS (SELECT pitcher, game_date, pitch_type AS model_prediction FROM totals
+          QUALIFY row_number() OVER (PARTITION BY pitcher, game_date ORDER BY w DESC, pitch_type) = 1),
+ranges AS (SELECT pitcher, game_date, pitch_type, sum(n) OVER (PARTITION BY pitcher, game_date ORDER BY pitch_type) - n AS lo,
+                  sum(n) OVER (PARTITION BY pitcher, game_date ORDER BY pitch_type) AS hi, sum(n) OVER (PARTITION BY pitcher, game_date) AS total FROM totals),
+forward AS (
+  SELECT l.pitcher, l.game_pk, l.game_date, l.l_linenumber, l.l_partkey, l.pitch_type AS actual_pitch,
+         CASE WHEN prior_games >= 2 THEN model_prediction END AS model_prediction,
+         CASE WHEN prior_games >= 2 THEN r.pitch_type END AS baseline_prediction,
+         CASE WHEN prior_games IS NULL THEN 'No pre-game history exists.' WHEN prior_games < 2 THEN 'At least two games are required.' END AS error
+  FROM (SELECT *, {_H} AS h FROM log) l
+  LEFT JOIN prior_games USING (pitcher, game_date)
+  LEFT JOIN calls USING (pitcher, game_date)
+  LEFT JOIN ranges r ON r.pitcher = l.pitcher AND r.game_date = l.game_date AND h % total >= lo AND h % total < hi)"""
+
+
+def _forward(spark, sf):
+    return R.walk_forward(customer_log(spark, sf), CLASSES, CUSTOMERS)
+
+
+@query("walk_forward", f"""
+WITH {_FORWARD}
+SELECT pitcher, game_pk, l_linenumber, l_partkey, actual_pitch, model_prediction, baseline_prediction, error FROM forward""")
+def walk_forward(spark, sf):
+    return _forward(spark, sf).select(
+        "pitcher", "game_pk", "l_linenumber", "l_partkey", "actual_pitch", "model_prediction", "baseline_prediction", "error"
+    )
+
+
+@query("walk_forward_summary", f"""
+WITH {_FORWARD},
+g AS (SELECT year(game_date) AS season, pitcher, game_pk, count(*) AS n, count(*) FILTER (WHERE model_prediction = actual_pitch) AS m,
+             count(*) FILTER (WHERE baseline_prediction = actual_pitch) AS b FROM forward WHERE error IS NULL GROUP BY ALL)
+SELECT season, count(*) AS pitcher_games, count(DISTINCT pitcher) AS unique_pitchers, CAST(sum(n) AS BIGINT) AS total_pitches,
+       CAST(sum(m) AS BIGINT) AS model_correct, CAST(sum(b) AS BIGINT) AS baseline_correct,
+       round(sum(m) / sum(n), 6) AS model_accuracy, round(sum(b) / sum(n), 6) AS baseline_accuracy,
+       round(avg(m / n), 6) AS mean_start_model_accuracy
+FROM g GROUP BY season""")
+def walk_forward_summary(spark, sf):
+    from dugout.operators import report
+
+    games = R.walk_forward_games(_forward(spark, sf), CUSTOMERS)
+    out = report.season_summary(R.history_rows(games, CUSTOMERS, F.timestamp_seconds(F.lit(0))), ["season"])
+    rates = ["model_accuracy", "baseline_accuracy", "mean_start_model_accuracy"]
+    return out.select(
+        "season", "pitcher_games", "unique_pitchers", "total_pitches", "model_correct", "baseline_correct",
+        *[F.round(c, 6).alias(c) for c in rates],
+    )
+
+
+@query("walk_forward_status", f"""
+WITH {_FORWARD}, g AS (SELECT pitcher, game_pk, max(error) AS error FROM forward GROUP BY ALL)
+SELECT CASE WHEN error IS NULL THEN 'success' ELSE 'insufficient_history' END AS status, count(*) AS n FROM g GROUP BY 1""")
+def walk_forward_status(spark, sf):
+    from dugout.operators import report
+
+    return report.status_counts(R.walk_forward_status(_forward(spark, sf), CUSTOMERS))
+
+
+# --- experiments with the SQL-checkable classifier ----------------------------------------------
+_ARM = """SELECT '{arm}' AS arm, pitcher, pitch_type, round(sum({w}), 9) AS w FROM weighted GROUP BY ALL"""
+
+
+@query("ablation_majority", f"""
+WITH {_SPLIT}, tr AS (SELECT * FROM parts WHERE NOT is_test),
+careers AS (SELECT pitcher, max(season) AS ref,
+    greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS mild,
+    greatest(0.65::DOUBLE, 0.92::DOUBLE - 0.02::DOUBLE * (count(DISTINCT season) - 1)) AS aggressive FROM tr GROUP BY pitcher),
+weighted AS (SELECT tr.pitcher, pitch_type, 1.0::DOUBLE AS w0, greatest(pow(aggressive, ref - season), 0.05::DOUBLE) AS w1,
+                    greatest(pow(mild, ref - season), 0.1::DOUBLE) AS w2 FROM tr JOIN careers USING (pitcher)),
+totals AS ({_ARM.format(arm="unweighted", w="w0")} UNION ALL {_ARM.format(arm="current", w="w1")} UNION ALL {_ARM.format(arm="mild", w="w2")}),
+calls AS (SELECT arm, pitcher, pitch_type AS guess FROM totals QUALIFY row_number() OVER (PARTITION BY arm, pitcher ORDER BY w DESC, pitch_type) = 1),
+scored AS (SELECT arm, t.pitcher, round(avg(CASE WHEN guess = pitch_type THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS acc
+           FROM parts t JOIN calls USING (pitcher) WHERE is_test GROUP BY ALL)
+SELECT pitcher, max(acc) FILTER (WHERE arm = 'unweighted') AS baseline_accuracy, max(acc) FILTER (WHERE arm = 'unweighted') AS unweighted_accuracy,
+       max(acc) FILTER (WHERE arm = 'current') AS current_accuracy, max(acc) FILTER (WHERE arm = 'mild') AS mild_accuracy
+FROM scored GROUP BY pitcher""")
+def ablation_majority(spark, sf):
+    out = L.ablation(
+        sales_log(spark, sf), "pitcher", "game_pk", "game_date", L.RECENCY_ARMS, L.majority_fit("pitcher")
+    )
+    return out.select("pitcher", *[F.round(c, 6).alias(c) for c in out.columns if c != "pitcher"])
+
+
+@query("resume_games", """
+SELECT o_orderkey AS game_pk, o_custkey AS pitcher_id, CAST(o_orderdate AS DATE) AS target_date
+FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey
+WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' AND o_orderkey % 3 <> 0""")
+def resume_games(spark, sf):
+    done = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("game_pk"),
+        F.concat(F.col("o_custkey").cast("string"), F.lit(".0")).alias("pitcher_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, C.BACKTEST_VERSION).otherwise("older").alias("backtest_version"),
+        F.lit("stratified").alias("baseline_strategy"),
+    )
+    return R.pending_games(customer_log(spark, sf), done, "1996-01-01", "1998-12-31", CUSTOMERS)
+
+
+@query("career_profile", f"""
+WITH {SALES_LOG} SELECT pitcher, count(DISTINCT season) AS career_seasons, count(DISTINCT game_pk) AS career_games, count(*) AS career_pitches
+FROM log GROUP BY pitcher""")
+def career_profile(spark, sf):
+    return sales_log(spark, sf).groupBy("pitcher").agg(
+        F.countDistinct("season").alias("career_seasons"), F.countDistinct("game_pk").alias("career_games"),
+        F.count(F.lit(1)).alias("career_pitches"),
+    )
+
+
+@query("starter_dedup", """
+SELECT o_custkey AS pitcher_id, max(o_orderkey) AS game_pk FROM orders GROUP BY o_custkey""")
+def starter_dedup(spark, sf):
+    starters = table(spark, sf, "orders").select(F.col("o_custkey").alias("pitcher_id"), F.col("o_orderkey").alias("game_pk"))
+    return Q.keep_last(starters, ["pitcher_id"], ["game_pk"])
