@@ -189,7 +189,9 @@ def previous_group_results(
         return _previous_group_results_joined(df, keys, group, order, columns, suffix, hot.rows)
     by = [F.col(c) for c in order]
     inside = in_order([*keys, group], by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = in_order(keys, by)
+    # groups follow each other in `order`, so leading with the group changes nothing but lets all
+    # three windows share one sort
+    whole = in_order(keys, [F.col(group), *by])
     seen = df.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_in_{c}") for c in columns])
     before = seen.select("*", *[F.lag(f"_in_{c}").over(whole).alias(f"_pre_{c}") for c in columns])
     spread = before.select("*", *[F.first(f"_pre_{c}").over(inside).alias(f"{c}{suffix}") for c in columns])

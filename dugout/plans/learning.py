@@ -31,6 +31,7 @@ from dugout.operators import baselines as B
 from dugout.operators import evaluation as E
 from dugout.operators import split as P
 from dugout.operators import weights as W
+from dugout.session import cut_lineage
 
 LABEL = "pitch_type"
 # fixed values: stand-ins for missing input
@@ -279,25 +280,18 @@ def train(
         cols = feature_columns(log, extra_excluded=["weight", "is_test"])
     if pooled:
         cols = Columns(cols.numeric, [*cols.text, "_who"])
-    parts = P.chronological_split(log, key, game, date, fraction).persist()
-    try:
-        train_rows = parts.filter(~F.col("is_test")).drop("is_test")
-        test_rows = parts.filter("is_test").drop("is_test")
-        weighted = W.training_weights(train_rows, key, LABEL)
-        evaluated = fit_forest(weighted, cols, "weight", forest)
-        scored_train = predict(evaluated, train_rows)
-        scored_test = predict(evaluated, test_rows)
-        ranges = B.class_ranges(train_rows, [key], LABEL)
-        scored_test = B.stratified(scored_test, ranges, [key], LABEL, list(row_id), seed)
-        metrics = _metrics(parts, scored_train, scored_test, key, game)
-        everything = W.training_weights(log, key, LABEL, reference=reference)
-        production = fit_forest(everything, cols, "weight", forest)
-        # metrics are one row per key: keep them, let the cached split go
-        rows = metrics.collect() if not pooled else None
-        if rows is not None:
-            metrics = metrics.sparkSession.createDataFrame(rows, metrics.schema)
-    finally:
-        parts.unpersist()
+    # every fit reads its input many times: keep it in the shared checkpoint folder, not in executors
+    log = cut_lineage(log)
+    parts = P.chronological_split(log, key, game, date, fraction)
+    train_rows = parts.filter(~F.col("is_test")).drop("is_test")
+    test_rows = parts.filter("is_test").drop("is_test")
+    evaluated = fit_forest(cut_lineage(W.training_weights(train_rows, key, LABEL)), cols, "weight", forest)
+    ranges = B.class_ranges(train_rows, [key], LABEL)
+    scored_train = predict(evaluated, train_rows)
+    scored_test = B.stratified(predict(evaluated, test_rows), ranges, [key], LABEL, list(row_id), seed)
+    metrics = _metrics(parts, scored_train, scored_test, key, game)
+    everything = cut_lineage(W.training_weights(log, key, LABEL, reference=reference))
+    production = fit_forest(everything, cols, "weight", forest)
     return Training(production, metrics, scored_test)
 
 
@@ -426,10 +420,10 @@ def ablation(
     ``fit(train_rows, weight_column)`` returns a function that adds ``model_prediction``.
     """
     log = log if "season" in log.columns else log.withColumn("season", F.year(date))
-    parts = P.chronological_split(log, key, game, date, fraction)
+    parts = cut_lineage(P.chronological_split(log, key, game, date, fraction))
     train_rows = parts.filter(~F.col("is_test")).drop("is_test")
     test_rows = parts.filter("is_test").drop("is_test")
-    weighted = weight_arms(train_rows, key, arms, label)
+    weighted = cut_lineage(weight_arms(train_rows, key, arms, label))
     majority = B.majority(train_rows, [key], label).select(key, F.col(label).alias("_majority"))
     table = E.accuracy(test_rows.join(majority, key), [key], "_majority", label, "baseline_accuracy").select(
         key, "baseline_accuracy"

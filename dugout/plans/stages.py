@@ -76,8 +76,10 @@ def kg2(cleaned: DataFrame, hot: Hot | None | str = "auto", hot_rows: int = HOT_
     if hot is None:
         log = log.repartition("pitcher")
     by_pa = ["at_bat_number_of_game", "pitch_number_of_ab", CARRIED]
-    # position in the game counts rows in their original order, before the sort by renumbered PA
-    log = Q.add(log, GAME, ["game_date", CARRIED, "pitch_number_of_ab"], [Q.row_number("_n")], **kw)
+    # position in the game counts rows in their original order, before pitches are sorted within the
+    # renumbered PA; PAs follow each other in that order, so leading with the PA reuses clean's sort
+    original = ["at_bat_number_of_game", "game_date", CARRIED, "pitch_number_of_ab"]
+    log = Q.add(log, GAME, original, [Q.row_number("_n")], **kw)
     log = Q.add(log, GAME, by_pa, [Q.lag("pitch_type_of_prev_pitch", "pitch_type")], **kw)
     log = Q.prior_meetings(
         log, ["pitcher"], "batter", ["game_pk", "at_bat_number_of_game"], ["game_date", *by_pa],

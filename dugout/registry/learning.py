@@ -14,6 +14,7 @@ from dugout.plans import learning as L
 from dugout.plans import stages
 from dugout.registry import query
 from dugout.registry.logs import EVENT_CLASSES, event_log, pitch_log
+from dugout.session import cut_lineage
 
 SMALL = L.Forest(trees=4, depth=5, min_leaf=5, max_bins=32)
 LIGHT = ["balls", "strikes", "inning", "outs_when_up", "pitch_number_of_game", "prior_pa_vs_pitcher_career",
@@ -34,7 +35,7 @@ EVENT_COLUMNS = L.Columns(["prev_value", "mean3", "hour", "value"], ["prev_type"
 
 
 def _kg4(spark, sf):
-    return stages.published(stages.build(pitch_log(spark, sf)).kg4)
+    return cut_lineage(stages.published(stages.build(pitch_log(spark, sf)).kg4))
 
 
 @query("fill_constants", """
@@ -87,13 +88,13 @@ def feature_label_split(spark, sf):
 
 @query("forest_train_evaluate")
 def forest_train_evaluate(spark, sf):
-    kg4 = _kg4(spark, sf).persist()
+    kg4 = _kg4(spark, sf)
     return L.train(kg4, 2022, forest=SMALL, cols=L.Columns(LIGHT, LIGHT_TEXT)).metrics
 
 
 @query("forest_predictions")
 def forest_predictions(spark, sf):
-    parts = P.chronological_split(L.prepare_log(_kg4(spark, sf)), "pitcher", "game_pk", "game_date").persist()
+    parts = cut_lineage(P.chronological_split(L.prepare_log(_kg4(spark, sf)), "pitcher", "game_pk", "game_date"))
     cols = L.Columns(LIGHT, LIGHT_TEXT)
     fitted = L.fit_forest(parts.filter(~F.col("is_test")), cols, None, SMALL)
     out = L.predict(fitted, parts.filter("is_test"))
@@ -103,15 +104,17 @@ def forest_predictions(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    rows = _event_features(spark, sf).persist()
+    rows = cut_lineage(_event_features(spark, sf))
     fitted = L.fit_forest(rows, EVENT_COLUMNS, None, SMALL)
     return L.feature_importance(fitted, rows, 25)
 
 
 def _scored(spark, sf, name, fit):
-    rows = P.chronological_split(
-        _event_features(spark, sf).withColumn("day", F.col("ts").cast("date")), "pitcher", "game_pk", "day"
-    ).persist()
+    rows = cut_lineage(
+        P.chronological_split(
+            _event_features(spark, sf).withColumn("day", F.col("ts").cast("date")), "pitcher", "game_pk", "day"
+        )
+    )
     fitted = fit(rows.filter(~F.col("is_test")))
     scored = L.predict(fitted, rows.filter("is_test"))
     return scored.agg(
@@ -150,13 +153,13 @@ def model_comparison(spark, sf):
 
 @query("grouped_cross_validation")
 def grouped_cross_validation(spark, sf):
-    rows = P.group_folds(_event_features(spark, sf), ["game_pk"], 3).persist()
+    rows = cut_lineage(P.group_folds(_event_features(spark, sf), ["game_pk"], 3))
     score = L.cross_validate(rows, EVENT_COLUMNS, "fold", 3, L.Forest(trees=2, depth=4, max_bins=32))
     return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(score).alias("mean_cv_accuracy"), "n")
 
 
 @query("ablation_forest")
 def ablation_forest(spark, sf):
-    log = L.prepare_log(_kg4(spark, sf)).persist()
+    log = L.prepare_log(_kg4(spark, sf))
     fit = L.forest_fit(L.Columns(LIGHT, LIGHT_TEXT), L.Forest(trees=2, depth=4, max_bins=32))
     return L.ablation(log, "pitcher", "game_pk", "game_date", L.GATED_ARMS, fit)

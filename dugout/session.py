@@ -37,10 +37,12 @@ def local_session(name: str = "dugout", cores: int | str = "*", partitions: int
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names, so a lost executor costs no recompute."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        # only local sessions (tests) arrive here without a shared folder
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dugout-checkpoint-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="dugout-checkpoint-")
+        context.setCheckpointDir(shared)
     return df.checkpoint()
