@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dugout.session import cut_lineage
+
 HOT_ROWS = 2_000_000  # a group above this many rows is cut into chunks of about this size
 SMALL_BYTES = 64 * 1024 * 1024  # an input below this size cannot hold a group too big for a task
 MAX_CHUNKS = 1024  # per key; beyond it chunks grow instead, and the window sort spills
@@ -59,7 +61,10 @@ def find_hot(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> Hot | None
         .withColumn("_chunks", F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_rows") / rows)).cast("int"))
     )
     n_keys, n_chunks = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("_chunks"), F.lit(0))).first()
-    return Hot(hot, tuple(keys), rows, n_keys, n_chunks) if n_keys else None
+    if not n_keys:
+        return None
+    # the list of hot keys is short; keep it, so that using it does not count the table again
+    return Hot(cut_lineage(hot), tuple(keys), rows, n_keys, n_chunks)
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str], n_right: int, how: str) -> DataFrame:

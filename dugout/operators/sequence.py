@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions import scalar as S
 from dugout.operators.groups import CHUNK, HOT_ROWS, Hot, find_hot, in_order, with_chunks
+from dugout.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -73,7 +74,9 @@ def add(
     if hot is None:
         w = in_order(keys, [F.col(c) for c in order])
         return df.select("*", *[m.over(w, m.value).alias(m.out) for m in measures])
-    return _add_chunked(df, keys, order, measures, hot)
+    # the chunked plan reads its input several times; without a cut, a chain of operators would
+    # recompute its beginning once per path through the chain
+    return _add_chunked(cut_lineage(df), keys, order, measures, hot)
 
 
 def _add_chunked(
@@ -186,7 +189,7 @@ def previous_group_results(
     if hot == "auto":
         hot = find_hot(df, keys, hot_rows)
     if hot is not None:
-        return _previous_group_results_joined(df, keys, group, order, columns, suffix, hot.rows)
+        return _previous_group_results_joined(cut_lineage(df), keys, group, order, columns, suffix, hot.rows)
     by = [F.col(c) for c in order]
     inside = in_order([*keys, group], by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # groups follow each other in `order`, so leading with the group changes nothing but lets all
@@ -239,6 +242,7 @@ def prior_meetings(
         marked = df.select("*", F.first(other).over(first).alias("_party"), F.first(date).over(first).alias("_day"))
         met = in_order([*keys, "_party"], [F.col("_day"), *[F.col(g) for g in groups]])
         return marked.select("*", (F.dense_rank().over(met) - 1).cast("bigint").alias(out)).drop("_party", "_day")
+    df = cut_lineage(df)
     at = F.struct(*by)
     meetings = df.groupBy(*keys, *groups).agg(
         F.min_by(other, at).alias("_party"), F.min_by(date, at).alias("_day")

@@ -18,7 +18,6 @@ from dugout.operators import baselines as B
 from dugout.operators import evaluation as E
 from dugout.operators import sequence as Q
 from dugout.operators import weights as W
-from dugout.operators.groups import HOT_ROWS
 
 
 @dataclass(frozen=True)
@@ -154,45 +153,47 @@ def history_rows(results: DataFrame, names: Log = PITCHES, evaluated_at: Column
 
 
 # --- every day --------------------------------------------------------------------------------
-def prefix_totals(
-    log: DataFrame, classes: list[str], names: Log = PITCHES, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Per pitcher and date: class counts, games and rows of all earlier dates, and class counts of
+def game_counts(log: DataFrame, classes: list[str], names: Log = PITCHES) -> DataFrame:
+    """Class counts of each game and date, the one pass over the log that the prefixes need."""
+    return log.groupBy(names.key, names.date, names.game).agg(
+        *[F.count_if(F.col(names.label) == c).alias(f"_n{i}") for i, c in enumerate(classes)]
+    )
+
+
+def prefix_totals(per_game: DataFrame, n: int, names: Log = PITCHES) -> DataFrame:
+    """Per pitcher and date: class counts and games of all earlier dates, and class counts of
     earlier dates in the same season.
 
-    ``classes`` is the label vocabulary; counts are arrays in its order. Same-day rows, the other
-    game of a doubleheader included, are not part of a date's prefix.
+    ``per_game`` is ``game_counts`` over ``n`` classes; counts are arrays in their order. Same-day
+    rows, the other game of a doubleheader included, are not part of a date's prefix.
     """
-    n = len(classes)
-    daily = log.groupBy(names.key, names.date).agg(
-        *[F.count_if(F.col(names.label) == c).alias(f"_n{i}") for i, c in enumerate(classes)],
-        F.countDistinct(names.game).alias("_games"),
-        F.count(names.label).alias("_rows"),
+    counted = [f"_n{i}" for i in range(n)]
+    daily = per_game.groupBy(names.key, names.date).agg(
+        *[F.sum(c).alias(c) for c in counted], F.count(names.game).alias("_games")
     )
     daily = daily.withColumn("_season", F.year(names.date))
-    counted = [f"_n{i}" for i in range(n)] + ["_games", "_rows"]
+    # one row per key and calendar date: a key has at most as many rows as the calendar has days,
+    # however many rows the log has, so there is no need to look for oversized keys
     upto = Q.add(
-        daily, [names.key], [names.date], [Q.running_sum(f"_cum{c}", c) for c in counted], hot_rows=hot_rows
+        daily, [names.key], [names.date], [Q.running_sum(f"_cum{c}", c) for c in [*counted, "_games"]], hot=None
     )
     upto = Q.add(
-        upto, [names.key, "_season"], [names.date],
-        [Q.running_sum(f"_sea_n{i}", f"_n{i}") for i in range(n)], hot_rows=hot_rows,
+        upto, [names.key, "_season"], [names.date], [Q.running_sum(f"_sea{c}", c) for c in counted], hot=None
     )
     return upto.select(
         names.key,
         names.date,
         "_season",
-        F.array(*[F.col(f"_cum_n{i}") - F.col(f"_n{i}") for i in range(n)]).alias("prior_counts"),
-        F.array(*[F.col(f"_sea_n{i}") - F.col(f"_n{i}") for i in range(n)]).alias("season_counts"),
+        F.array(*[F.col(f"_cum{c}") - F.col(c) for c in counted]).alias("prior_counts"),
+        F.array(*[F.col(f"_sea{c}") - F.col(c) for c in counted]).alias("season_counts"),
         (F.col("_cum_games") - F.col("_games")).alias("prior_games"),
-        (F.col("_cum_rows") - F.col("_rows")).alias("prior_rows"),
     )
 
 
-def season_history(log: DataFrame, classes: list[str], names: Log = PITCHES) -> DataFrame:
+def season_history(per_game: DataFrame, n: int, names: Log = PITCHES) -> DataFrame:
     """Per pitcher and season: the class counts of each earlier season, as one small array."""
-    counts = log.groupBy(names.key, F.year(names.date).alias("_season")).agg(
-        F.array(*[F.count_if(F.col(names.label) == c) for c in classes]).alias("_counts")
+    counts = per_game.groupBy(names.key, F.year(names.date).alias("_season")).agg(
+        F.array(*[F.sum(f"_n{i}") for i in range(n)]).alias("_counts")
     )
     earlier = Window.partitionBy(names.key).orderBy("_season").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
@@ -217,18 +218,18 @@ def walk_forward(
     recency: W.Recency | None = W.MILD,
     min_games: int = 2,
     seed: int = 42,
-    hot_rows: int = HOT_ROWS,
     digits: int = 9,
 ) -> DataFrame:
     """Predict every row from the pitcher's earlier dates: recency-weighted majority as the model,
     stratified draw as the baseline. Rows whose pitcher has too little history keep an error."""
     classes = sorted(classes)
-    prefix = prefix_totals(log, classes, names, hot_rows)
     n = len(classes)
+    per_game = game_counts(log, classes, names)
+    prefix = prefix_totals(per_game, n, names)
     if recency is None:
         weighted = F.transform("prior_counts", lambda x: x.cast("double"))
     else:
-        prefix = prefix.join(season_history(log, classes, names), [names.key, "_season"], "left")
+        prefix = prefix.join(season_history(per_game, n, names), [names.key, "_season"], "left")
         past = F.coalesce(F.size("past"), F.lit(0))
         seasons = past + F.exists("season_counts", lambda x: x > 0).cast("int")
         prefix = prefix.withColumn(
@@ -236,17 +237,24 @@ def walk_forward(
             F.when(seasons >= 1, S.decay_factor(seasons, recency.start, recency.step, recency.floor)),
         )
 
-        def total(i: int) -> Column:
-            old = F.aggregate(
-                "past",
-                F.lit(0.0),
-                lambda acc, p: acc
-                + F.greatest(F.pow(F.col("_decay"), F.col("_season") - p["season"]), F.lit(recency.minimum))
-                * p["counts"][i],
-            )
-            return F.round(F.coalesce(old, F.lit(0.0)) + F.col("season_counts")[i], digits)
-
-        weighted = F.array(*[total(i) for i in range(n)])
+        # weigh each earlier season once, then add its counts to those of the running season
+        seasons_ago = lambda p: F.col("_season") - p["season"]
+        prefix = prefix.withColumn(
+            "past",
+            F.transform(
+                F.coalesce("past", F.array().cast("array<struct<season: int, counts: array<bigint>>>")),
+                lambda p: F.struct(
+                    F.greatest(F.pow(F.col("_decay"), seasons_ago(p)), F.lit(recency.minimum)).alias("w"),
+                    p["counts"].alias("counts"),
+                ),
+            ),
+        )
+        weighted = F.aggregate(
+            "past",
+            F.transform("season_counts", lambda x: x.cast("double")),
+            lambda acc, p: F.zip_with(acc, p["counts"], lambda a, c: a + p["w"] * c),
+            lambda acc: F.transform(acc, lambda x: F.round(x, digits)),
+        )
     upto = F.expr(
         "transform(sequence(1, size(prior_counts)), i -> aggregate(slice(prior_counts, 1, i), 0L, (a, x) -> a + x))"
     )

@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from dugout.registry import (  # noqa: F401
-        evaluation, learning, scalars, sequences, splits, stages, state, weights,
+        evaluation, files, learning, scalars, sequences, splits, stages, state, weights,
     )

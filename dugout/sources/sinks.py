@@ -38,9 +38,10 @@ def write_stages(stages: Stages, root: str, buckets: int | None = None) -> None:
 
 
 def write_prediction_logs(logs: DataFrame, path: str) -> None:
-    """Replace the dates in the batch, leave other dates alone."""
+    """Replace the dates in the batch, leave other dates alone. Rows are gathered by date so a date
+    has few files; the rebalance splits a date that is too large for one."""
     (
-        logs.repartition("game_date", F.pmod(F.xxhash64("game_pk"), F.lit(16)))
+        logs.hint("rebalance", F.col("game_date"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("game_date")
