@@ -61,16 +61,15 @@ def check_landing(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Only the start of each file decides; the scan reads lines, keeps the smallest offset per file.
     """
-    lines = spark.read.text(path, wholetext=False).select(
+    text = spark.read.text(path)
+    lines = text.select(
         F.input_file_name().alias("file"),
         F.monotonically_increasing_id().alias("at"),
-        F.lower(F.ltrim(F.regexp_replace("value", "^﻿", ""))).alias("line"),
+        F.lower(F.ltrim(F.regexp_replace("value", "^\ufeff", ""))).alias("line"),
     )
     first = lines.filter(F.length("line") > 0).groupBy("file").agg(F.min_by("line", "at").alias("first"))
-    files = (
-        spark.read.format("binaryFile").load(path)
-        .select(F.col("path").alias("file"), "length")
-    )
+    # scans skip files of length zero, the file listing does not
+    files = spark.createDataFrame([(f,) for f in text.inputFiles()], "file string")
     key = F.regexp_replace("file", "^file:/+", "/")
     return (
         files.withColumn("file", key)
@@ -92,7 +91,7 @@ def read_landing(spark: SparkSession, path: str | list[str], columns: list[str]
     if bad:
         raise ExportError("; ".join(f"{r.file}: {r.error}" for r in bad))
     raw = spark.read.option("header", True).csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
+    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     raw = schema.clean_names(raw)
     if columns is not None:
         raw = schema.canonical(raw, columns, "landed export")

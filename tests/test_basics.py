@@ -1,6 +1,7 @@
 """Scalars, schema contracts, weights, splits, history."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,9 +162,9 @@ def test_status_text(spark):
 
 
 # --- splits and baselines -----------------------------------------------------------------------
-@pytest.mark.parametrize("n, test", [(2, 1), (3, 1), (5, 1), (6, 2), (35, 8), (100, 20)])
+@pytest.mark.parametrize("n, test", [(2, 1), (3, 1), (5, 1), (6, 2), (35, 7), (36, 8), (100, 20)])
 def test_number_of_test_games(spark, n, test):
-    # 35 * 0.2 is a little more than 7 in floating point, and counts as such
+    assert test == min(max(1, math.ceil(n * 0.2)), n - 1)
     df = spark.range(n).select(F.lit(1).alias("k"), "id", F.expr("date_add(DATE'2024-01-01', CAST(id AS INT))").alias("d"))
     out = P.chronological_games(df, "k", "id", "d")
     assert out.filter("is_test").count() == test
