@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, path: str | list[str], ddl: str) -> DataFrame:
     return _typed(raw, want)
 
 
-def _typed(raw: DataFrame, want: StructType) -> DataFrame:
+def _typed(raw: DataFrame, want: StructType, *kept: str) -> DataFrame:
     def cell(field) -> F.Column:
         value = F.when(~F.col(f"`{field.name}`").isin(MISSING), F.col(f"`{field.name}`"))
         kind = field.dataType.simpleString()
@@ -47,7 +47,7 @@ def _typed(raw: DataFrame, want: StructType) -> DataFrame:
             return S.must_be_number(value).alias(field.name)
         return value.cast(field.dataType).alias(field.name)
 
-    return raw.select(*[cell(f) for f in want.fields])
+    return raw.select(*[cell(f) for f in want.fields], *kept)
 
 
 def read_pitch_log(spark: SparkSession, path: str | list[str], extra: dict[str, str] | None = None) -> DataFrame:
@@ -86,18 +86,27 @@ def check_landing(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_landing(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """Freshly landed exports: header cleaned of byte-order mark, blanks and quotes, bad files
-    refused, rows numbered in arrival order (``ingest_seq``) so later corrections can win."""
+    refused. ``ingest_seq`` orders rows by arrival (file time, file, place in the file), so later
+    corrections can win; it does not depend on how files are spread over tasks."""
     bad = check_landing(spark, path).limit(20).collect()
     if bad:
         raise ExportError("; ".join(f"{r.file}: {r.error}" for r in bad))
-    raw = spark.read.option("header", True).csv(path)
-    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
-    raw = schema.clean_names(raw)
+    # one schema for all files: a file with another header fails instead of shifting columns
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    arrival = F.struct(
+        F.col("_metadata.file_modification_time").alias("time"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    names = [c.lstrip("\ufeff").strip().strip('"') for c in raw.columns]
+    raw = raw.select("*", arrival.alias("ingest_seq")).toDF(*names, "ingest_seq")
     if columns is not None:
-        raw = schema.canonical(raw, columns, "landed export")
-    types = {c: t for t, names in C.RAW_TYPES.items() for c in names}
-    want = StructType.fromDDL(", ".join(f"`{c}` {types.get(c, 'string')}" for c in raw.columns))
-    return _typed(raw, want).withColumn("ingest_seq", F.monotonically_increasing_id())
+        schema.canonical(raw.drop("ingest_seq"), columns, "landed export")
+        names = list(columns)
+    types = {c: t for t, cs in C.RAW_TYPES.items() for c in cs}
+    want = StructType.fromDDL(", ".join(f"`{c}` {types.get(c, 'string')}" for c in names))
+    return _typed(raw, want, "ingest_seq")
 
 
 # --- schedules --------------------------------------------------------------------------------

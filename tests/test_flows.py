@@ -27,6 +27,25 @@ def test_landing_strips_bom_and_header(spark, tmp_path):
     assert [(r.pitcher, r.game_pk, r.pitch_type) for r in df.orderBy("game_pk").collect()] == [(1, 7, "FF"), (1, 8, None)]
 
 
+def test_later_file_wins(spark, tmp_path):
+    import os
+
+    from dugout.operators import sequence as Q
+
+    for name, speed, age in (("b.csv", 1.0, 100), ("a.csv", 2.0, 10)):
+        (tmp_path / name).write_text(f"pitcher,release_speed\n1,{speed}\n1,{speed + 0.5}\n")
+        os.utime(tmp_path / name, (1_700_000_000 - age, 1_700_000_000 - age))
+    df = readers.read_landing(spark, str(tmp_path))
+    assert Q.keep_last(df, ["pitcher"], ["ingest_seq"]).first().release_speed == 2.5
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("pitcher,game_pk\n1,2\n")
+    (tmp_path / "b.csv").write_text("game_pk,pitcher\n2,1\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_landing(spark, str(tmp_path)).collect()
+
+
 def test_landing_refuses_html_and_empty(spark, tmp_path):
     (tmp_path / "ok.csv").write_text("pitcher\n1\n")
     (tmp_path / "page.csv").write_text("\n <!DOCTYPE html><html></html>")
