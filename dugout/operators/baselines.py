@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions import scalar as S
 from dugout.operators import sequence as Q
+from dugout.operators.groups import settled
 from dugout.operators.usage import class_counts
 
 
@@ -59,7 +60,7 @@ def stratified(
     on = (spot >= F.col("lo")) & (spot < F.col("hi"))
     for k in keys:
         on = (F.col(k) == F.col(f"_of_{k}")) & on
-    return drawn.join(table, on, "left").drop("_h", "lo", "hi", "total", *[f"_of_{k}" for k in keys])
+    return drawn.join(settled(table), on, "left").drop("_h", "lo", "hi", "total", *[f"_of_{k}" for k in keys])
 
 
 def expected_stratified_accuracy(train: DataFrame, test: DataFrame, keys: list[str], label: str) -> DataFrame:

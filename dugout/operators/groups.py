@@ -22,6 +22,9 @@ SAMPLES_PER_CHUNK = 16
 BLOCK = 32  # cut points are looked up in two steps of this size
 BROADCAST_CUTS = 200_000  # hot keys x chunks up to which the cut table is broadcast
 
+BROADCAST_ROWS = 500_000  # rows of a few narrow columns, some tens of MB
+SURELY_SMALL_BYTES = 8 * 1024 * 1024  # below the optimizer's own broadcast limit
+
 CHUNK = "_chunk"
 
 
@@ -67,6 +70,21 @@ def find_hot(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> Hot | None
     return Hot(cut_lineage(hot), tuple(keys), rows, n_keys, n_chunks)
 
 
+def settled(small: DataFrame) -> DataFrame:
+    """The small side of a join against a log, computed once and broadcast if it is proven small.
+
+    Left to itself, adaptive execution finds out that a side is small only while it already shuffles
+    the log. Here the side (an aggregate per key) is kept in the shared folder and its rows are
+    counted; up to ``BROADCAST_ROWS`` narrow rows it is broadcast and the log stays where it is,
+    beyond that it is joined by shuffle. Sides the optimizer knows to be small need no job.
+    """
+    size = size_estimate(small)
+    if size is not None and size <= SURELY_SMALL_BYTES:
+        return small
+    kept = cut_lineage(small)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def _match(left: DataFrame, right: DataFrame, keys: list[str], n_right: int, how: str) -> DataFrame:
     """Null-safe equi-join on keys; the right side carries them as _k0, _k1, ..."""
     on = None

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dugout.functions import scalar as S
+from dugout.operators.groups import settled
 from dugout.operators.usage import repertoire_context
 
 
@@ -102,7 +103,7 @@ def recency_weights(
         df, about = df.withColumn("_ref", F.col(reference)), about.drop("_ref")
     elif reference is not None:
         about = about.withColumn("_ref", F.lit(reference))
-    joined = df.join(about.drop("career_seasons", "last_season"), keys)
+    joined = df.join(settled(about.drop("career_seasons", "last_season")), keys)
     return joined.withColumn(out, S.recency_weight(season, "_ref", "_decay", settings.minimum)).drop(
         "_decay", "_ref"
     )
@@ -198,7 +199,7 @@ def apply_adjustments(
         .when(F.col(season) == F.col("_latest"), F.col("_recent"))
     )
     return (
-        df.join(changed, [key, label], "left")
+        df.join(settled(changed), [key, label], "left")
         .withColumn(out, F.coalesce(weight, F.lit(1.0)))
         .drop("_latest", "_old", "_recent")
     )

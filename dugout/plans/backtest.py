@@ -18,6 +18,7 @@ from dugout.operators import baselines as B
 from dugout.operators import evaluation as E
 from dugout.operators import sequence as Q
 from dugout.operators import weights as W
+from dugout.operators.groups import settled
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ def before(log: DataFrame, targets: DataFrame, names: Log = PITCHES) -> DataFram
     """Rows dated strictly before the pitcher's target date. The first game of a doubleheader is
     not history for the second."""
     day = targets.groupBy(names.key).agg(F.min("target_date").alias("_target"))
-    earlier = log.join(day, names.key).filter(F.col(names.date) < F.col("_target"))
+    earlier = log.join(settled(day), names.key).filter(F.col(names.date) < F.col("_target"))
     return earlier.withColumn("_target_season", F.year("_target")).drop("_target")
 
 
@@ -71,7 +72,7 @@ def replay_day(
         )
         call = B.weighted_majority(weighted, [names.key], names.label, "weight")
         call = call.select(names.key, F.col(names.label).alias("model_prediction"))
-        predicted = target_rows(log, targets, names).join(call, names.key, "left")
+        predicted = target_rows(log, targets, names).join(settled(call), names.key, "left")
     ranges = B.class_ranges(history, [names.key], names.label)
     rows = B.stratified(predicted, ranges, [names.key], names.label, list(names.row_id), seed)
     return mark(rows, names)

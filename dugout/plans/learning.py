@@ -31,6 +31,7 @@ from dugout.operators import baselines as B
 from dugout.operators import evaluation as E
 from dugout.operators import split as P
 from dugout.operators import weights as W
+from dugout.operators.groups import settled
 from dugout.session import cut_lineage
 
 LABEL = "pitch_type"
@@ -443,6 +444,7 @@ def majority_fit(key: str, label: str = LABEL):
         call = B.weighted_majority(train_rows, [key], label, weight).select(
             key, F.col(label).alias("model_prediction")
         )
+        call = settled(call)
         return lambda rows: rows.join(call, key, "left")
 
     return fit

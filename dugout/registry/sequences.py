@@ -177,3 +177,28 @@ def prev_values_per_nation(spark, sf):
          Q.row_number("order_number")],
     )
     return out.select("o_orderkey", "prev_price", F.round("prev3_price", 4).alias("prev3_price"), "order_number")
+
+
+_HOT = """
+WITH log AS (
+  SELECT c_nationkey, o_orderkey, o_orderdate, o_totalprice
+  FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, lag(o_totalprice, 2) OVER w AS back2, row_number() OVER w AS order_number,
+       round(avg(o_totalprice) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS prev3_price,
+       CAST(sum(CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS large_so_far
+FROM log WINDOW w AS (PARTITION BY c_nationkey ORDER BY o_orderdate, o_orderkey)"""
+
+
+@query("windows_over_hot_keys", _HOT)
+def windows_over_hot_keys(spark, sf):
+    """The chunked form of the windows, forced by a low row limit: every nation is cut up."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    log = orders.join(customers, orders.o_custkey == customers.c_custkey).drop("c_custkey", "o_custkey")
+    out = Q.add(
+        log, ["c_nationkey"], ["o_orderdate", "o_orderkey"],
+        [Q.lag("back2", "o_totalprice", 2), Q.row_number("order_number"), Q.rolling_mean("prev3_price", "o_totalprice", 3),
+         Q.running_sum("large_so_far", F.when(F.col("o_totalprice") > 250000, 1).otherwise(0))],
+        hot_rows=20,
+    )
+    return out.select("o_orderkey", "back2", "order_number", F.round("prev3_price", 4).alias("prev3_price"), "large_so_far")
