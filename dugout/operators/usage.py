@@ -103,7 +103,7 @@ def repertoire_context(
 
 
 def weighted_share(df: DataFrame, keys: list[str], weight: str, out: str = "usage_percent") -> DataFrame:
-    """Percentage of the overall weight (pitches) held by each group; groups are few."""
+    """Percentage of the overall weight (pitches) held by each group."""
     totals = df.groupBy(*keys).agg(F.sum(weight).alias(weight))
-    whole = F.sum(weight).over(Window.partitionBy(F.lit(1)))
+    whole = df.agg(F.sum(weight)).scalar()
     return totals.withColumn(out, F.try_divide(F.col(weight) * 100.0, whole))

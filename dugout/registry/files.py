@@ -176,12 +176,26 @@ def game_summary_scan(spark, sf):
         F.create_map(F.lit("FF"), F.col("model_correct") / F.col("pitch_count")).alias("baseline_distribution"),
     )
     sinks.write_json(out, path)
-    # Spark writes one record per line; the reader's multi-line form is for single-record files
-    read = spark.read.schema(
-        "game_pk bigint, pitcher_id bigint, pitch_count bigint, model_accuracy double, baseline_strategy string, "
-        "baseline_distribution map<string, double>"
-    ).json(path)
-    return read.withColumn("share_ff", F.try_element_at("baseline_distribution", F.lit("FF"))).drop("baseline_distribution")
+    read = readers.read_game_summaries(spark, path, multiline=False)
+    return read.select(
+        "game_pk", "pitcher_id", "pitch_count", "model_accuracy", "baseline_strategy",
+        F.try_element_at("baseline_distribution", F.lit("FF")).alias("share_ff"),
+    )
+
+
+@query("daily_summary_scan", f"""
+WITH {GAME_HISTORY}
+SELECT strftime(game_date, '%Y-%m-%d') AS game_date, count(*) AS successful, CAST(sum(pitch_count) AS BIGINT) AS total_pitches,
+       CAST(sum(model_correct) AS BIGINT) AS model_correct FROM history GROUP BY game_date""")
+def daily_summary_scan(spark, sf):
+    """Daily summaries in their nested form, written as JSON and read back flat."""
+    days = game_history(spark, sf).groupBy(F.date_format("game_date", "yyyy-MM-dd").alias("game_date")).agg(
+        F.struct(F.count(F.lit(1)).alias("successful")).alias("statuses"),
+        F.struct(F.sum("pitch_count").alias("total_pitches"), F.sum("model_correct").alias("model_correct")).alias("aggregate_performance"),
+    )
+    path = scratch_path(spark, "daily")
+    sinks.write_json(days, path)
+    return readers.read_daily_summaries(spark, path, multiline=False).select("game_date", "successful", "total_pitches", "model_correct")
 
 
 @query("sorted_csv_store", "SELECT s_suppkey, s_name FROM supplier")

@@ -14,7 +14,7 @@ from dugout.plans import learning as L
 from dugout.plans import stages
 from dugout.registry import query
 from dugout.registry.logs import EVENT_CLASSES, event_log, pitch_log
-from dugout.session import cut_lineage
+from dugout.session import cut_lineage, scratch_path
 
 SMALL = L.Forest(trees=4, depth=5, min_leaf=5, max_bins=32)
 LIGHT = ["balls", "strikes", "inning", "outs_when_up", "pitch_number_of_game", "prior_pa_vs_pitcher_career",
@@ -88,8 +88,10 @@ def feature_label_split(spark, sf):
 
 @query("forest_train_evaluate")
 def forest_train_evaluate(spark, sf):
+    """The metrics record of every pitcher, from one pooled model, flattened."""
     kg4 = _kg4(spark, sf)
-    return L.train(kg4, 2022, forest=SMALL, cols=L.Columns(LIGHT, LIGHT_TEXT)).metrics
+    metrics = L.train(kg4, 2022, forest=SMALL, cols=L.Columns(LIGHT, LIGHT_TEXT)).metrics
+    return L.nested_metrics(metrics, forest=SMALL).select("pitcher.*", "dataset.*", "evaluation.*", "weighting.*")
 
 
 @query("forest_predictions")
@@ -102,6 +104,19 @@ def forest_predictions(spark, sf):
     return L.probability_columns(out, fitted.classes)
 
 
+@query("model_store")
+def model_store(spark, sf):
+    """A fitted pipeline written, read back and applied."""
+    from pyspark.ml import PipelineModel
+
+    rows = cut_lineage(_event_features(spark, sf))
+    fitted = L.fit_forest(rows, EVENT_COLUMNS, None, SMALL)
+    path = scratch_path(spark, "model")
+    fitted.save(path)
+    again = L.Fitted(PipelineModel.load(path), fitted.classes, EVENT_COLUMNS)
+    return L.predict(again, rows).select("event_id", "pitch_type", "model_prediction", "model_confidence")
+
+
 @query("feature_importance")
 def feature_importance(spark, sf):
     rows = cut_lineage(_event_features(spark, sf))

@@ -12,6 +12,7 @@ from dugout.operators import weights as W
 from dugout.plans import backtest as R
 from dugout.plans import learning as L
 from dugout.registry import query
+from dugout.registry import weights as X
 from dugout.registry.logs import SALES_LOG, sales_log, table
 
 _GAMES = f"""{SALES_LOG},
@@ -345,6 +346,68 @@ def ablation_majority(spark, sf):
     return out.select("pitcher", *[F.round(c, 6).alias(c) for c in out.columns if c != "pitcher"])
 
 
+# the repertoire arms need the usage context of the training rows: same SQL, other log
+_TRAIN_CONTEXT = (
+    X.CONTEXT.replace(SALES_LOG, _SPLIT.replace("log AS (", "everything AS (", 1).replace("FROM log", "FROM everything")
+                      .replace("SELECT log.*", "SELECT everything.*") + ", log AS (SELECT * FROM parts WHERE NOT is_test)")
+)
+_CAT_WEIGHT = f"""CASE WHEN first_season < latest_season AND latest_total >= {X.ENOUGH} AND pt IS NOT NULL AND season < latest_season THEN
+   CASE WHEN recent < 0.025::DOUBLE AND peak >= 0.03::DOUBLE THEN 0.1::DOUBLE
+        WHEN prior >= 0.03::DOUBLE AND recent < prior * 0.8::DOUBLE THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 1.0::DOUBLE END"""
+
+
+def _arms_sql(ctes: str, weighted: str, arms: list[tuple[str, str]]) -> str:
+    totals = " UNION ALL ".join(_ARM.format(arm=a, w=w) for a, w in arms)
+    out = ", ".join(f"max(acc) FILTER (WHERE arm = '{a}') AS {a}_accuracy" for a, _ in arms)
+    return f"""
+WITH {ctes},
+careers AS (SELECT pitcher, max(season) AS ref, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay FROM log GROUP BY pitcher),
+weighted AS ({weighted}), totals AS ({totals}),
+calls AS (SELECT arm, pitcher, pitch_type AS guess FROM totals QUALIFY row_number() OVER (PARTITION BY arm, pitcher ORDER BY w DESC, pitch_type) = 1),
+scored AS (SELECT arm, t.pitcher, round(avg(CASE WHEN guess = pitch_type THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS acc
+           FROM parts t JOIN calls USING (pitcher) WHERE is_test GROUP BY ALL)
+SELECT pitcher, {out} FROM scored GROUP BY pitcher"""
+
+
+_RECENT = "greatest(pow(decay, ref - season), 0.1::DOUBLE)"
+
+
+@query("ablation_repertoire", _arms_sql(
+    _TRAIN_CONTEXT,
+    f"""SELECT l.pitcher, l.pitch_type, {_RECENT} AS r, {_CAT_WEIGHT} AS c FROM log l JOIN careers USING (pitcher)
+        LEFT JOIN ctx ON ctx.pitcher = l.pitcher AND ctx.pitch_type = l.pitch_type""",
+    [("unweighted", "1.0::DOUBLE"), ("recency", "r"), ("repertoire", "c"), ("combined", "r * c")],
+))
+def ablation_repertoire(spark, sf):
+    arms = {
+        "unweighted": (None, None), "recency": (W.MILD, None), "repertoire": (None, X.CATEGORICAL),
+        "combined": (W.MILD, X.CATEGORICAL),
+    }
+    return _ablation(spark, sf, arms)
+
+
+def _ablation(spark, sf, arms):
+    out = L.ablation(sales_log(spark, sf), "pitcher", "game_pk", "game_date", arms, L.majority_fit("pitcher"))
+    return out.select("pitcher", *[F.round(f"{a}_accuracy", 6).alias(f"{a}_accuracy") for a in arms])
+
+
+@query("ablation_gated", _arms_sql(
+    f"{_TRAIN_CONTEXT}, {X._C_ADJ}, {X._G_ADJ.replace('adj AS', 'gated_adj AS')}",
+    f"""SELECT l.pitcher, l.pitch_type, {_RECENT} AS r,
+               coalesce(CASE WHEN l.season < a.latest_season THEN a.old_multiplier ELSE a.recent_multiplier END, 1.0::DOUBLE) AS u,
+               coalesce(CASE WHEN l.season < g.latest_season THEN g.old_multiplier ELSE g.recent_multiplier END, 1.0::DOUBLE) AS g
+        FROM log l JOIN careers USING (pitcher)
+        LEFT JOIN adj a ON a.pitcher = l.pitcher AND a.pitch_type = l.pitch_type
+        LEFT JOIN gated_adj g ON g.pitcher = l.pitcher AND g.pitch_type = l.pitch_type""",
+    [("unweighted", "1.0::DOUBLE"), ("recency", "r"), ("ungated", "r * u"), ("gated", "r * g")],
+))
+def ablation_gated(spark, sf):
+    arms = {
+        "unweighted": (None, None), "recency": (W.MILD, None), "ungated": (W.MILD, X.CONTINUOUS), "gated": (W.MILD, X.GATED),
+    }
+    return _ablation(spark, sf, arms)
+
+
 @query("resume_games", """
 SELECT o_orderkey AS game_pk, o_custkey AS pitcher_id, CAST(o_orderdate AS DATE) AS target_date
 FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey

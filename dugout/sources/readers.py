@@ -207,8 +207,9 @@ def logs_of(history: DataFrame, logs: DataFrame) -> DataFrame:
     return logs.join(games, ["game_pk", "pitcher"], "left_semi")
 
 
-def read_game_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per-game JSON summaries with the baseline distribution as a map."""
+def read_game_summaries(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
+    """Per-game JSON summaries with the baseline distribution as a map: one indented record per
+    file, or one record per line as Spark writes them."""
     ddl = """game_pk bigint, game_date string, pitcher_id bigint, pitcher_name string,
         pitch_count bigint, model_accuracy double, baseline_accuracy double,
         accuracy_over_baseline double, accuracy_over_baseline_pp double,
@@ -216,10 +217,10 @@ def read_game_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame
         model_accuracy_percent double, baseline_accuracy_percent double, baseline_strategy string,
         model_path string, predictions_path string, summary_path string, generated_at_utc string,
         important_note string, baseline_distribution map<string, double>"""
-    return spark.read.schema(ddl).option("multiLine", True).json(path)
+    return spark.read.schema(ddl).option("multiLine", multiline).json(path)
 
 
-def read_daily_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_daily_summaries(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
     """Daily JSON summaries, flattened."""
     ddl = """game_date string, season bigint, generated_at_utc string, baseline_strategy string,
         model_version string, feature_version string, evaluation_version string,
@@ -230,7 +231,7 @@ def read_daily_summaries(spark: SparkSession, path: str | list[str]) -> DataFram
             baseline_correct: bigint, model_accuracy: double, baseline_accuracy: double,
             accuracy_over_baseline: double, accuracy_over_baseline_pp: double,
             relative_improvement: double, relative_improvement_percent: double>"""
-    table = spark.read.schema(ddl).option("multiLine", True).json(path)
+    table = spark.read.schema(ddl).option("multiLine", multiline).json(path)
     return table.select(
         *[c for c in table.columns if c not in ("statuses", "aggregate_performance")],
         "statuses.*", "aggregate_performance.*",
