@@ -76,9 +76,22 @@ def lookup(c: Column | str, table: Mapping[str, str], default: Column | str | No
 
 
 # --- status of a replayed game ----------------------------------------------------------------
+# fixed values: status texts of finished games, and the messages that tell outcomes apart
+FINISHED = ["game over", "completed"]
+NOT_READY = ["completed game was not found", "savant may not have published"]
+TOO_LITTLE = ["no pre-game history", "at least two games are required", "no usable pitches remain"]
+
+
+def _mentions(message: Column, phrases: list[str]) -> Column:
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | message.contains(phrase)
+    return found
+
+
 def is_final(status: Column | str) -> Column:
     s = F.lower(F.trim(_col(status)))
-    return F.coalesce(s.contains("final") | s.isin("game over", "completed"), F.lit(False))
+    return F.coalesce(s.contains("final") | s.isin(FINISHED), F.lit(False))
 
 
 def outcome(error: Column | str) -> Column:
@@ -86,17 +99,8 @@ def outcome(error: Column | str) -> Column:
     message = F.lower(_col(error))
     return (
         F.when(_col(error).isNull(), "success")
-        .when(
-            message.contains("completed game was not found")
-            | message.contains("savant may not have published"),
-            "statcast_not_ready",
-        )
-        .when(
-            message.contains("no pre-game history")
-            | message.contains("at least two games are required")
-            | message.contains("no usable pitches remain"),
-            "insufficient_history",
-        )
+        .when(_mentions(message, NOT_READY), "statcast_not_ready")
+        .when(_mentions(message, TOO_LITTLE), "insufficient_history")
         .otherwise("failed")
     )
 

@@ -63,11 +63,13 @@ def add(
     measures: list[Measure],
     hot: Hot | None | str = "auto",
     hot_rows: int = HOT_ROWS,
+    reread: bool = False,
 ) -> DataFrame:
     """Append one column per measure.
 
     ``hot``: "auto" looks for oversized keys, None states that there are none (the caller has
     already checked a coarser key), or the result of ``find_hot`` for exactly these keys.
+    ``reread``: the input is a stored table, so the chunked plan may scan it several times.
     """
     if hot == "auto":
         hot = find_hot(df, keys, hot_rows)
@@ -76,7 +78,7 @@ def add(
         return df.select("*", *[m.over(w, m.value).alias(m.out) for m in measures])
     # the chunked plan reads its input several times; without a cut, a chain of operators would
     # recompute its beginning once per path through the chain
-    return _add_chunked(cut_lineage(df), keys, order, measures, hot)
+    return _add_chunked(df if reread else cut_lineage(df), keys, order, measures, hot)
 
 
 def _add_chunked(

@@ -11,6 +11,7 @@ from dugout.operators import history as H
 from dugout.operators import sequence as Q
 from dugout.operators.groups import HOT_ROWS
 from dugout.plans import stages as P
+from dugout.session import cut_lineage
 
 NO_ROWS = "No pitches were found."
 FEW_GAMES = "At least two games are required."
@@ -44,7 +45,8 @@ def run(
     wanted = incoming.join(asked, "pitcher", "left_semi")
     strange = incoming.select("pitcher").distinct().join(asked, "pitcher", "left_anti")
     log = H.overlap_refresh(existing, wanted, ranges, newest=list(newest))
-    log = log.join(asked, "pitcher", "left_semi")
+    # the refreshed log is read by every stage and by the run log
+    log = cut_lineage(log.join(asked, "pitcher", "left_semi"))
     stages = P.build(log.drop(*newest), hot_rows)
 
     raw = log.groupBy("pitcher").agg(F.count(F.lit(1)).alias("rows_in"), F.count("pitch_type").alias("rows_out"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dugout.plans.stages import Stages, published
+from dugout.plans.stages import Stages, kg3, kg4, published
+from dugout.session import cut_lineage
 
 KEYED_ORDER = ["pitcher", "game_date", "game_pk", "at_bat_number_of_game", "pitch_number_of_ab"]
 
@@ -28,12 +29,14 @@ def write_sorted_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def write_stages(stages: Stages, root: str, buckets: int | None = None) -> None:
-    """One Parquet dataset per stage. Rows are range-partitioned by pitcher and order, so a pitcher
-    with very many rows spans several files and readers still prune by pitcher statistics."""
-    for name in ("kg2", "kg3", "kg4"):
-        stage = published(getattr(stages, name))
-        args = ([buckets] if buckets else []) + KEYED_ORDER
-        placed = stage.repartitionByRange(*args).sortWithinPartitions(*KEYED_ORDER)
+    """One Parquet dataset per stage, each computed from the one before and not from the raw log
+    again. Rows are range-partitioned by pitcher and order, so a pitcher with very many rows spans
+    several files and readers still prune by pitcher statistics."""
+    two = cut_lineage(stages.kg2)
+    three = cut_lineage(kg3(two))
+    args = ([buckets] if buckets else []) + KEYED_ORDER
+    for name, stage in (("kg2", two), ("kg3", three), ("kg4", kg4(three))):
+        placed = published(stage).repartitionByRange(*args).sortWithinPartitions(*KEYED_ORDER)
         placed.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
