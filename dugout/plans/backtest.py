@@ -7,7 +7,9 @@ rows of a game are never listed per game.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +80,27 @@ def replay_day(
     return mark(rows, names)
 
 
+def replay_days(
+    log: DataFrame,
+    pending: DataFrame,
+    fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    names: Log = PITCHES,
+    seed: int = 42,
+) -> Iterator[tuple[date, DataFrame]]:
+    """Replay target games (key, game, target_date) date by date with a fitted model.
+
+    ``fit`` gets the rows of the day's pitchers before that day, with ``_target_season``, and
+    returns a function that adds ``model_prediction`` to rows. One prediction log per date is handed
+    out, to be written before the next date is fitted; the list of dates is as long as the calendar.
+    """
+    days = [r[0] for r in pending.select("target_date").distinct().orderBy("target_date").collect()]
+    for day in days:
+        targets = pending.filter(F.col("target_date") == F.lit(day))
+        predict = fit(before(log, targets, names))
+        predicted = predict(target_rows(log, targets, names))
+        yield day, replay_day(log, targets, names, predicted=predicted, seed=seed)
+
+
 def mark(rows: DataFrame, names: Log = PITCHES) -> DataFrame:
     """Add whether model and baseline were right."""
     actual = F.col(names.label)

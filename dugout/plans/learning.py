@@ -458,6 +458,21 @@ def forest_fit(cols: Columns, forest: Forest = Forest(), label: str = LABEL):
     return fit
 
 
+def forest_on_history(
+    cols: Columns, forest: Forest = Forest(), key: str = "pitcher", date: str = "game_date", label: str = LABEL
+):
+    """The production model in the form ``replay_days`` takes: recency x repertoire weights as of the
+    target season, then a forest."""
+
+    def fit(history: DataFrame):
+        log = history.withColumn("_season", F.year(date))
+        weighted = W.training_weights(log, key, label, reference="_target_season", season="_season")
+        fitted = fit_forest(cut_lineage(weighted), cols, "weight", forest, label)
+        return lambda rows: predict(fitted, rows)
+
+    return fit
+
+
 def cross_validate(
     train_rows: DataFrame, cols: Columns, fold: str, folds: int = 5, forest: Forest = Forest(), label: str = LABEL
 ) -> float:

@@ -104,6 +104,20 @@ def forest_predictions(spark, sf):
     return L.probability_columns(out, fitted.classes)
 
 
+@query("replay_with_forest")
+def replay_with_forest(spark, sf):
+    """Every user's last game, replayed with a forest fitted on the earlier ones."""
+    from dugout.plans import backtest
+
+    kg4 = _kg4(spark, sf)
+    last = kg4.agg(F.max("game_date")).scalar()
+    pending = kg4.filter(F.col("game_date") == last).select("pitcher", "game_pk", F.col("game_date").alias("target_date")).distinct()
+    fit = L.forest_on_history(L.Columns(LIGHT, LIGHT_TEXT), SMALL)
+    days = backtest.replay_days(kg4, cut_lineage(pending), fit)
+    results = [backtest.game_results(log, ["pitcher", "game_pk", "game_date"]) for _, log in days]
+    return L.comparison(results)
+
+
 @query("model_store")
 def model_store(spark, sf):
     """A fitted pipeline written, read back and applied."""

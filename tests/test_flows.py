@@ -238,6 +238,21 @@ def test_train_reports_failures_and_results(spark, kg4):
     assert nested.evaluation.test_games == 1 and nested.random_forest.n_estimators == 800
 
 
+def test_replay_days_with_a_forest(spark, kg4):
+    pending = kg4.filter("pitcher = 1 AND game_pk >= 103").select("pitcher", "game_pk", F.col("game_date").alias("target_date")).distinct()
+    seen = []
+
+    def fit(history):
+        seen.append(history.agg(F.max("game_date")).first()[0])
+        return L.forest_on_history(COLS, SMALL)(history)
+
+    logs = dict(R.replay_days(kg4, pending, fit))
+    assert len(logs) == 2 and all(last < day for last, day in zip(seen, logs))
+    rows = [r for log in logs.values() for r in log.collect()]
+    assert {r.game_pk for r in rows} == {103, 104} and all(r.model_confidence > 0 for r in rows)
+    assert len(rows) == kg4.filter("pitcher = 1 AND game_pk >= 103").count()
+
+
 def test_ablation_arms_share_one_split(spark, kg4):
     log = L.prepare_log(kg4)
     out = L.ablation(log, "pitcher", "game_pk", "game_date", L.CONTINUOUS_ARMS, L.majority_fit("pitcher"))
