@@ -63,11 +63,15 @@ def stratified(
     return drawn.join(settled(table), on, "left").drop("_h", "lo", "hi", "total", *[f"_of_{k}" for k in keys])
 
 
-def expected_stratified_accuracy(train: DataFrame, test: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """What the stratified baseline scores on average: sum over classes of p_train * p_test."""
-    p = class_ranges(train, keys, label).select(*keys, label, F.col("prior").alias("p_train"))
-    q = class_ranges(test, keys, label).select(*keys, label, F.col("prior").alias("p_test"))
-    both = q.join(p, [*keys, label], "left")
-    return both.groupBy(*keys).agg(
-        F.sum(F.coalesce(F.col("p_train"), F.lit(0.0)) * F.col("p_test")).alias("expected_accuracy")
+def expected_stratified_accuracy(
+    parts: DataFrame, keys: list[str], label: str, is_test: str = "is_test"
+) -> DataFrame:
+    """What the stratified baseline scores on average: sum over classes of p_train * p_test, from one
+    pass over train and test rows."""
+    counts = parts.groupBy(*keys, label).agg(
+        F.count_if(~F.col(is_test)).cast("double").alias("_a"), F.count_if(is_test).cast("double").alias("_b")
+    )
+    return counts.groupBy(*keys).agg(
+        F.coalesce(F.try_divide(F.sum(F.col("_a") * F.col("_b")), F.sum("_a") * F.sum("_b")), F.lit(0.0))
+        .alias("expected_accuracy")
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dugout.functions import scalar as S
 from dugout.operators import sequence as Q
-from dugout.operators.groups import HOT_ROWS
+from dugout.operators.groups import HOT_ROWS, find_hot
 
 
 def games(df: DataFrame, key: str, game: str, date: str) -> DataFrame:
@@ -19,9 +19,13 @@ def games(df: DataFrame, key: str, game: str, date: str) -> DataFrame:
 def game_order(df: DataFrame, key: str, game: str, date: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Games numbered chronologically per key (date, then game id), with the key's total."""
     per_game = games(df, key, game, date)
-    ranked = Q.add(per_game, [key], ["first_date", game], [Q.row_number("game_rank")], hot_rows=hot_rows)
-    totals = per_game.groupBy(key).agg(F.count(F.lit(1)).alias("career_games"))
-    return ranked.join(totals, key)
+    hot = find_hot(per_game, [key], hot_rows)
+    if hot is None:  # rank and total from one partitioning
+        total = F.count(F.lit(1)).over(Window.partitionBy(key))
+        ranked = Q.add(per_game, [key], ["first_date", game], [Q.row_number("game_rank")], hot=None)
+        return ranked.withColumn("career_games", total)
+    ranked = Q.add(per_game, [key], ["first_date", game], [Q.row_number("game_rank")], hot)
+    return ranked.join(per_game.groupBy(key).agg(F.count(F.lit(1)).alias("career_games")), key)
 
 
 def test_games(n: str, fraction: float):

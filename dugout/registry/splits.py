@@ -152,9 +152,7 @@ q AS (SELECT pitcher, pitch_type, count(*) / sum(count(*)) OVER (PARTITION BY pi
 SELECT pitcher, round(sum(coalesce(p_train, 0) * p_test), 6) AS expected_accuracy FROM q LEFT JOIN p USING (pitcher, pitch_type) GROUP BY pitcher""")
 def expected_stratified_accuracy(spark, sf):
     parts = P.chronological_split(sales_log(spark, sf), "pitcher", "game_pk", "game_date")
-    out = B.expected_stratified_accuracy(
-        parts.filter(~F.col("is_test")), parts.filter("is_test"), ["pitcher"], "pitch_type"
-    )
+    out = B.expected_stratified_accuracy(parts, ["pitcher"], "pitch_type")
     return out.withColumn("expected_accuracy", F.round("expected_accuracy", 6))
 
 

@@ -171,6 +171,19 @@ def test_number_of_test_games(spark, n, test):
     assert out.filter("is_test").agg(F.min("id")).first()[0] == n - test
 
 
+def test_game_order_of_a_hot_key(spark):
+    df = spark.range(300).select((F.col("id") % 2).alias("k"), F.col("id").alias("g"), F.expr("date_add(DATE'2024-01-01', CAST(id * 7 % 100 AS INT))").alias("d"))
+    plain, cut = (sorted(tuple(r) for r in P.game_order(df, "k", "g", "d", h).collect()) for h in (10**9, 20))
+    assert plain == cut and len(plain) == 300
+
+
+def test_expected_accuracy(spark):
+    rows = [(1, "A", False)] * 3 + [(1, "B", False)] + [(1, "A", True), (1, "C", True)] + [(2, "A", True)]
+    df = spark.createDataFrame(rows, "k int, c string, is_test boolean")
+    out = {r.k: r.expected_accuracy for r in B.expected_stratified_accuracy(df, ["k"], "c").collect()}
+    assert out == {1: pytest.approx(0.375), 2: 0.0}
+
+
 def test_one_game_is_an_error_row(spark):
     df = spark.createDataFrame([(1, 1, dt.date(2024, 1, 1)), (2, 1, dt.date(2024, 1, 1)), (2, 2, dt.date(2024, 1, 2))], "k int, g int, d date")
     assert [r.k for r in P.unsplittable(P.chronological_games(df, "k", "g", "d"), "k").collect()] == [1]
