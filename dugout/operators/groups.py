@@ -70,6 +70,12 @@ def find_hot(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> Hot | None
     return Hot(cut_lineage(hot), tuple(keys), rows, n_keys, n_chunks)
 
 
+def kept_once(aggregate: DataFrame) -> DataFrame:
+    """An aggregate that several plans will read: stored once unless it is cheap to compute again."""
+    size = size_estimate(aggregate)
+    return aggregate if size is not None and size <= SMALL_BYTES else cut_lineage(aggregate)
+
+
 def settled(small: DataFrame) -> DataFrame:
     """The small side of a join against a log, computed once and broadcast if it is proven small.
 

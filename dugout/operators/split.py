@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions import scalar as S
 from dugout.operators import sequence as Q
-from dugout.operators.groups import HOT_ROWS, find_hot
+from dugout.operators.groups import HOT_ROWS, find_hot, kept_once
 
 
 def games(df: DataFrame, key: str, game: str, date: str) -> DataFrame:
@@ -18,7 +18,7 @@ def games(df: DataFrame, key: str, game: str, date: str) -> DataFrame:
 
 def game_order(df: DataFrame, key: str, game: str, date: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Games numbered chronologically per key (date, then game id), with the key's total."""
-    per_game = games(df, key, game, date)
+    per_game = kept_once(games(df, key, game, date))
     hot = find_hot(per_game, [key], hot_rows)
     if hot is None:  # rank and total from one partitioning
         total = F.count(F.lit(1)).over(Window.partitionBy(key))

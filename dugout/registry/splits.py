@@ -14,6 +14,7 @@ from dugout.plans import learning as L
 from dugout.registry import query
 from dugout.registry import weights as X
 from dugout.registry.logs import SALES_LOG, sales_log, table
+from dugout.session import cut_lineage
 
 _GAMES = f"""{SALES_LOG},
 g AS (SELECT pitcher, game_pk, min(game_date) AS first_date FROM log GROUP BY ALL),
@@ -138,7 +139,8 @@ drawn AS (SELECT t.pitcher, game_pk, l_linenumber, l_partkey, t.pitch_type AS ac
 SELECT d.pitcher, game_pk, l_linenumber, l_partkey, actual, r.pitch_type AS baseline_prediction
 FROM drawn d LEFT JOIN ranges r ON d.pitcher = r.pitcher AND h % total >= lo AND h % total < hi""")
 def stratified_baseline(spark, sf):
-    parts = P.chronological_split(sales_log(spark, sf), "pitcher", "game_pk", "game_date")
+    # the split is read three times below
+    parts = cut_lineage(P.chronological_split(sales_log(spark, sf), "pitcher", "game_pk", "game_date"))
     ranges = B.class_ranges(parts.filter(~F.col("is_test")), ["pitcher"], "pitch_type")
     test = parts.filter("is_test").withColumnRenamed("pitch_type", "actual")
     out = B.stratified(test, ranges, ["pitcher"], "pitch_type", ["game_pk", "l_linenumber", "l_partkey"])

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # late stages read the shuffle in pieces of this size; fits executor memory at any data scale
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # rows here are up to 120 columns wide: generated methods beyond what the JVM compiles would run
+    # interpreted, so let such stages run without whole-stage generation
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
