@@ -17,7 +17,7 @@ def majority(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return Q.keep_first(counts, keys, [-F.col("n"), F.col(label)])
 
 
-def weighted_majority(df: DataFrame, keys: list[str], label: str, weight: str, digits: int = 9) -> DataFrame:
+def weighted_majority(df: DataFrame, keys: list[str], label: str, weight: str, digits: int = 12) -> DataFrame:
     """Class with the largest total weight per key; of equals the smallest. Totals are compared
     after rounding: floating sums depend on the order in which partitions arrive."""
     totals = df.groupBy(*keys, label).agg(F.round(F.sum(weight), digits).alias("total_weight"))

@@ -242,7 +242,7 @@ def walk_forward(
     recency: W.Recency | None = W.MILD,
     min_games: int = 2,
     seed: int = 42,
-    digits: int = 9,
+    digits: int = 12,
 ) -> DataFrame:
     """Predict every row from the pitcher's earlier dates: recency-weighted majority as the model,
     stratified draw as the baseline. Rows whose pitcher has too little history keep an error."""

@@ -190,7 +190,7 @@ _REPLAY = f"""{_CUSTOMER_LOG},
 targets AS (SELECT pitcher, max(game_date) AS target_date FROM log GROUP BY pitcher),
 train AS (SELECT log.*, year(target_date) AS ref FROM log JOIN targets USING (pitcher) WHERE game_date < target_date),
 careers AS (SELECT pitcher, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay FROM train GROUP BY pitcher),
-totals AS (SELECT pitcher, pitch_type, round(sum(greatest(pow(decay, ref - season), 0.1::DOUBLE)), 9) AS w
+totals AS (SELECT pitcher, pitch_type, round(sum(greatest(pow(decay, ref - season), 0.1::DOUBLE)), 12) AS w
            FROM train JOIN careers USING (pitcher) GROUP BY ALL),
 calls AS (SELECT pitcher, pitch_type AS model_prediction FROM totals
           QUALIFY row_number() OVER (PARTITION BY pitcher ORDER BY w DESC, pitch_type) = 1),
@@ -261,7 +261,7 @@ gd AS (SELECT pitcher, game_date, count(DISTINCT game_pk) AS games FROM log GROU
 prior_games AS (SELECT t.pitcher, t.game_date, sum(games) AS prior_games FROM t JOIN gd ON gd.pitcher = t.pitcher AND gd.game_date < t.game_date GROUP BY ALL),
 train AS (SELECT t.pitcher, t.game_date, y, d.season, d.pitch_type, sum(n) AS n FROM t JOIN d ON d.pitcher = t.pitcher AND d.game_date < t.game_date GROUP BY ALL),
 careers AS (SELECT pitcher, game_date, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay FROM train GROUP BY ALL),
-totals AS (SELECT pitcher, game_date, pitch_type, sum(n) AS n, round(sum(n * greatest(pow(decay, y - season), 0.1::DOUBLE)), 9) AS w
+totals AS (SELECT pitcher, game_date, pitch_type, sum(n) AS n, round(sum(n * greatest(pow(decay, y - season), 0.1::DOUBLE)), 12) AS w
            FROM train JOIN careers USING (pitcher, game_date) GROUP BY ALL),
 calls AS (SELECT pitcher, game_date, pitch_type AS model_prediction FROM totals
           QUALIFY row_number() OVER (PARTITION BY pitcher, game_date ORDER BY w DESC, pitch_type) = 1),
@@ -322,7 +322,7 @@ def walk_forward_status(spark, sf):
 
 
 # --- experiments with the SQL-checkable classifier ----------------------------------------------
-_ARM = """SELECT '{arm}' AS arm, pitcher, pitch_type, round(sum({w}), 9) AS w FROM weighted GROUP BY ALL"""
+_ARM = """SELECT '{arm}' AS arm, pitcher, pitch_type, round(sum({w}), 12) AS w FROM weighted GROUP BY ALL"""
 
 
 @query("ablation_majority", f"""
