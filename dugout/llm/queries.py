@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import minhash_forest, mixing, packing_binary, quality_qda, secret_scan
+from dugout.llm import (
+    ann_partitions, flat_graph, language_zstd, license_scan, minhash_forest, mixing, packing_binary, quality_qda, secret_scan, warc_index,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +113,48 @@ def op10(spark, sf_dir):
 
     pieces = packing_binary.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.drop("ids")
+
+
+@query("op1_learned_partitions")
+def op1(spark, sf_dir):
+    """The five nearest vectors of every fiftieth."""
+    return ann_partitions.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op8_capture_index", """
+WITH rows AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), best AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS best FROM rows
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM best""")
+def op8(spark, sf_dir):
+    """Pages written as WARC, found through the index and read back."""
+    return warc_index.archived(table(spark, sf_dir, "pages"))
+
+
+@query("op9_compression_language")
+def op9(spark, sf_dir):
+    """The language of every text; a fifth of the ids is never learned from."""
+    own = quality_qda.remainder(F.col("doc_id"), 5)
+    found = language_zstd.predicted(table(spark, sf_dir, "documents"), own != 0)
+    return found.select("doc_id", (own == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    """License notices in every text."""
+    found = license_scan.scanned(table(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["start"], m["end"]))
+    return found.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"),
+                        F.array_join(F.array_sort(F.array_distinct("matches.template")), ",").alias("licenses"),
+                        F.array_join(spans, ",").alias("spans"))
+
+
+@query("op4_flat_graph")
+def op4(spark, sf_dir):
+    """Links and components of near-equal vectors."""
+    return flat_graph.grouped(table(spark, sf_dir, "embeddings"))
