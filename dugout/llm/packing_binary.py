@@ -12,10 +12,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from dugout.llm.store import prepare
 LONGEST = 4096
 CLOSE = 2
 TAIL = ".,!?;:*$%&#|"
-KNOWN = 400_000  # words remembered by a worker; then it starts afresh
+KNOWN = 800_000  # words remembered by a worker; then it starts afresh
 
 SCHEMA = """doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint,
     sequence_id bigint, offset bigint, bucket int"""
@@ -35,43 +36,61 @@ SCHEMA = """doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bi
 _TOKENIZERS: dict[str, "Words"] = {}
 
 
-class Words(dict):
+class Words:
     """Ids (little-endian unsigned 32 bit) of what stands between single spaces, looked up once.
 
     The tokenizer's own splitting drops white space and never joins across it, and it parts letters
-    from the punctuation after them, so ids of the parts in a row are the ids of the text.
+    from the punctuation after them, so ids of the parts in a row are the ids of the text. Its
+    normalisation of ASCII letters is lower case, so these go to its model directly.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {"": b""}
 
-    def _stem(self, word: str) -> tuple[str, str]:
-        stem = word.rstrip(TAIL)
-        return (stem, word[len(stem):]) if stem and stem[-1].isalpha() else (word, "")
+    def _unknown(self, words: list[str]) -> None:
+        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[word] = array("I", got.ids).tobytes()
 
     def learn(self, new: set[str]) -> None:
-        if len(self) > KNOWN:
-            self.clear()
-            self[""] = b""
-        parts = {w: self._stem(w) for w in new}
-        unknown = list({p for pair in parts.values() for p in pair} - self.keys())
-        for word, got in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-            self[word] = np.array(got.ids, "<u4").tobytes()
-        for word, (stem, tail) in parts.items():
-            if tail:
-                self[word] = self[stem] + self[tail]
+        known, tokenize = self.known, self.model.tokenize
+        if len(known) > KNOWN:
+            known.clear()
+            known[""] = b""
+        cut, others = [], set()
+        for word in new:
+            stem = word.rstrip(TAIL)
+            if stem.isalpha() and stem.isascii():
+                small = stem.lower()
+                if (ids := known.get(small)) is None:
+                    ids = known[small] = array("I", [t.id for t in tokenize(small)]).tobytes()
+                if len(stem) == len(word):
+                    known[word] = ids
+                    continue
+            elif not (stem and stem[-1].isalpha()) or len(stem) == len(word):
+                others.add(word)
+                continue
+            else:
+                ids = known.get(stem)
+                if ids is None:
+                    others.add(stem)
+            tail = word[len(stem):]
+            if tail not in known:
+                others.add(tail)
+            cut.append((word, small if stem.isascii() and stem.isalpha() else stem, tail))
+        if others:
+            self._unknown(list(others))
+        for word, stem, tail in cut:
+            known[word] = known[stem] + known[tail]
 
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new = set(words).difference(self)
-        if new:
+        while new := set(words).difference(self.known):  # twice where it has just started afresh
             self.learn(new)
-            if new := set(words).difference(self):  # it has just started afresh
-                self.learn(new)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def words_of(path: str) -> Words:
@@ -95,6 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, close: int = C
     end = int(close).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         words = words_of(tokenizer)
         sequence = TaskContext.get().partitionId() << 40
         for batch in T.slices(batches, "text"):
