@@ -6,8 +6,10 @@
    follow it in that order, those with the longest common prefix first: where a region of the order
    is crowded, the window lies deep, where it is thin, down to a prefix of three minima (two sets of
    similarity 0.75 share it in one of the 16 trees with probability 0.9998).
-3. Candidates whose signatures disagree clearly are left out, and so are pairs of rows already
-   chained by surer pairs, so a group of n near copies sends on the order of n pairs.
+3. Candidates whose signatures disagree clearly are left out. Of the others, three edge-disjoint
+   spanning forests of the likeliest pairs are kept per run of rows and tree: however a group is
+   divided in two, the three likeliest pairs across are among them, so a group of n near copies sends
+   on the order of n pairs and hangs together by any of them.
 4. Every candidate pair is confirmed on the full sets, and confirmed links give the components.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; texts of
@@ -35,6 +37,7 @@ WINDOW = 32
 PERCENT = 75
 CLEARLY_LESS = 0.58  # estimate of 128 minima; similarity 0.75 falls below once in 100,000 pairs
 SURE = 0.85
+FORESTS = 3  # likeliest pairs kept across any division of a group
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(75))
@@ -108,7 +111,7 @@ def _orders(classes: DataFrame) -> DataFrame:
 def _pairs(batch, fresh: int) -> list[tuple[int, int]]:
     """Candidate pairs of sorted rows that hold at least one row from ``fresh`` on."""
     tree, key, ids, sketch = batch
-    lo, hi, sure = [], [], []
+    lo, hi, like = [], [], []
     total = sketch.shape[1] * 2
     for step in range(1, min(WINDOW, len(ids) - 1) + 1):
         begin = max(0, fresh - step)
@@ -122,26 +125,29 @@ def _pairs(batch, fresh: int) -> list[tuple[int, int]]:
         i, likeness = i[near], likeness[near]
         lo.append(np.minimum(ids[i], ids[i + step]))
         hi.append(np.maximum(ids[i], ids[i + step]))
-        sure.append(likeness >= SURE)
+        like.append(likeness)
     if not lo:
         return []
-    lo, hi, sure = map(np.concatenate, (lo, hi, sure))
-    # surer pairs first and always in the order of ids, so that the trees agree on them
-    parent: dict[int, int] = {}
+    lo, hi, like = map(np.concatenate, (lo, hi, like))
+    forests: list[dict[int, int]] = [{} for _ in range(FORESTS)]
 
-    def root(x: int) -> int:
+    def root(parent: dict[int, int], x: int) -> int:
         while (up := parent.get(x, x)) != x:
             parent[x] = x = parent.get(up, up)
         return x
 
     out = []
-    for k in np.lexsort((hi, lo, ~sure)).tolist():
+    # the likeliest first and equals by id, so that the trees agree on what they choose
+    for k in np.lexsort((hi, lo, -like)).tolist():
         a, b = int(lo[k]), int(hi[k])
-        x, y = root(a), root(b)
-        if x != y:
-            out.append((a, b))
-            if sure[k]:
+        for parent in forests:
+            x, y = root(parent, a), root(parent, b)
+            if x != y:
                 parent[max(x, y)] = min(x, y)
+                out.append((a, b))
+                break
+            if like[k] >= SURE:
+                break
     return out
 
 
