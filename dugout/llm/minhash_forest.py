@@ -6,9 +6,9 @@
    follow it in that order, those with the longest common prefix first: where a region of the order
    is crowded, the window lies deep, where it is thin, down to a prefix of three minima (two sets of
    similarity 0.75 share it in one of the 16 trees with probability 0.9998).
-3. Candidates whose signatures disagree clearly are left out. Of the others, three edge-disjoint
+3. Candidates whose signatures disagree clearly are left out. Of the others, eight edge-disjoint
    spanning forests of the likeliest pairs are kept per run of rows and tree: however a group is
-   divided in two, the three likeliest pairs across are among them, so a group of n near copies sends
+   divided in two, the eight likeliest pairs across are among them (all, in a group of up to 16), so a group of n near copies sends
    on the order of n pairs and hangs together by any of them.
 4. Every candidate pair is confirmed on the full sets, and confirmed links give the components.
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from dugout.llm import text as T
 from dugout.llm.components import components
+from dugout.llm.membership import marked, without
 from dugout.llm.store import kept, prepare
 
 TREES, DEPTH = 16, 8
@@ -36,8 +37,8 @@ LEAST_DEPTH = 3
 WINDOW = 32
 PERCENT = 75
 CLEARLY_LESS = 0.58  # estimate of 128 minima; similarity 0.75 falls below once in 100,000 pairs
-SURE = 0.85
-FORESTS = 3  # likeliest pairs kept across any division of a group
+SURE, SURE_FORESTS = 0.88, 3  # fewer suffice for pairs as likely as this
+FORESTS = 8  # likeliest pairs kept across any division of a group
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(75))
@@ -129,6 +130,8 @@ def _pairs(batch, fresh: int) -> list[tuple[int, int]]:
     if not lo:
         return []
     lo, hi, like = map(np.concatenate, (lo, hi, like))
+    _, once = np.unique(np.stack([lo, hi], 1), axis=0, return_index=True)  # rows may span several trees
+    lo, hi, like = lo[once], hi[once], like[once]
     forests: list[dict[int, int]] = [{} for _ in range(FORESTS)]
 
     def root(parent: dict[int, int], x: int) -> int:
@@ -140,14 +143,12 @@ def _pairs(batch, fresh: int) -> list[tuple[int, int]]:
     # the likeliest first and equals by id, so that the trees agree on what they choose
     for k in np.lexsort((hi, lo, -like)).tolist():
         a, b = int(lo[k]), int(hi[k])
-        for parent in forests:
+        for parent in forests[:SURE_FORESTS] if like[k] >= SURE else forests:
             x, y = root(parent, a), root(parent, b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((a, b))
                 break
-            if like[k] >= SURE:
-                break
     return out
 
 
@@ -185,14 +186,16 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
             sets = sets_of(batch.column("text"))
-            keys = zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist())
-            mine = [i for i, (s, d) in enumerate(zip(sets, keys)) if digest(s) == d]
+            digests = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(mine, pa.int64())),
-                 pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))], ["id", "members"])
+                [batch.column("id"), pa.array([d[0] for d in digests], pa.int64()),
+                 pa.array([d[1] for d in digests], pa.int64()),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "d1", "d2", "members"])
 
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    members = kept(texts.join(wanted, "id").mapInArrow(run, "id bigint, members array<bigint>"), "forest-sets")
+    texts = marked(texts, F.col("id"), wanted.select("id")).filter("_m_maybe").select("id", "text")
+    sets = texts.mapInArrow(run, "id bigint, d1 bigint, d2 bigint, members array<bigint>")
+    members = kept(sets.join(wanted, ["id", "d1", "d2"]).select("id", "members"), "forest-sets")
     both = (
         pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("_a")), "a")
         .join(members.select(F.col("id").alias("b"), F.col("members").alias("_b")), "b")
@@ -228,4 +231,4 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """The rows of ``docs`` but for those whose group has a smaller ``doc_id``."""
     gone = kept(grouped(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(),
                 "forest-gone")
-    return docs.join(gone, docs[doc_id].cast("bigint") == gone["_gone"], "left_anti")
+    return without(docs, doc_id, gone)
