@@ -79,6 +79,8 @@ def lookup(c: Column | str, table: Mapping[str, str], default: Column | str | No
 # fixed values: status texts of finished games, and the messages that tell outcomes apart
 FINISHED = ["game over", "completed"]
 NOT_READY = ["completed game was not found", "savant may not have published"]
+NO_HISTORY = "No pre-game history exists."
+FEW_GAMES = "At least two games are required."
 TOO_LITTLE = ["no pre-game history", "at least two games are required", "no usable pitches remain"]
 
 

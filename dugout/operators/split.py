@@ -48,7 +48,7 @@ def unsplittable(split_games: DataFrame, key: str) -> DataFrame:
     return (
         split_games.filter(F.col("is_test").isNull())
         .select(key).distinct()
-        .withColumn("error", F.lit("At least two games are required."))
+        .withColumn("error", F.lit(S.FEW_GAMES))
     )
 
 

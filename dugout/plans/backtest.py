@@ -289,8 +289,8 @@ def walk_forward(
         names.date,
         F.when(enough, _argmax(weighted, classes)).alias("model_prediction"),
         F.when(enough, upto).alias("_upto"),
-        F.when(~known, F.lit("No pre-game history exists."))
-        .when(~enough, F.lit("At least two games are required."))
+        F.when(~known, F.lit(S.NO_HISTORY))
+        .when(~enough, F.lit(S.FEW_GAMES))
         .alias("error"),
     )
     rows = log.join(table, [names.key, names.date])

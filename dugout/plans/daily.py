@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dugout.functions import scalar as S
 from dugout.operators import history as H
 from dugout.operators import sequence as Q
 from dugout.operators.groups import HOT_ROWS
@@ -14,7 +15,7 @@ from dugout.plans import stages as P
 from dugout.session import cut_lineage
 
 NO_ROWS = "No pitches were found."
-FEW_GAMES = "At least two games are required."
+FEW_GAMES = S.FEW_GAMES
 STRANGE = "The batch holds a pitcher that was not requested."
 
 

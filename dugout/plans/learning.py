@@ -21,7 +21,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -48,6 +48,7 @@ class Forest:
     features: str = "log2"
     seed: int = 42
     max_bins: int = 64
+    bootstrap: bool = True
 
 
 @dataclass(frozen=True)
@@ -128,8 +129,24 @@ class Fitted:
     cols: Columns
     prepare: Callable[[DataFrame, Columns], DataFrame] = impute_constants
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+    def save(self, path: str, metrics: DataFrame | None = None) -> None:
+        """The whole artefact: pipeline, classes, columns, how inputs are prepared, metrics."""
+        spark = SparkSession.active()
+        self.model.write().overwrite().save(f"{path}/pipeline")
+        about = [(self.classes, self.cols.numeric, self.cols.text, self.prepare.__name__)]
+        schema = "classes array<string>, numeric array<string>, text array<string>, prepare string"
+        spark.createDataFrame(about, schema).coalesce(1).write.mode("overwrite").json(f"{path}/about")
+        if metrics is not None:
+            metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+
+    @staticmethod
+    def load(path: str) -> Fitted:
+        """What ``save`` wrote, with nothing needed from the session that fitted it."""
+        schema = "classes array<string>, numeric array<string>, text array<string>, prepare string"
+        about = SparkSession.active().read.schema(schema).json(f"{path}/about").first()
+        ways = {f.__name__: f for f in (impute_constants, _linear_prepare)}
+        cols = Columns(list(about.numeric), list(about.text))
+        return Fitted(PipelineModel.load(f"{path}/pipeline"), list(about.classes), cols, ways[about.prepare])
 
 
 def _fit(train: DataFrame, cols: Columns, stages: list, label: str, prepare=impute_constants) -> Fitted:
@@ -145,7 +162,7 @@ def fit_forest(
     """Weighted random forest."""
     classifier = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", numTrees=forest.trees, maxDepth=forest.depth,
-        minInstancesPerNode=forest.min_leaf, featureSubsetStrategy=forest.features, bootstrap=True,
+        minInstancesPerNode=forest.min_leaf, featureSubsetStrategy=forest.features, bootstrap=forest.bootstrap,
         seed=forest.seed, maxBins=forest.max_bins,
         **({"weightCol": weight} if weight else {}),
     )
@@ -175,16 +192,18 @@ def _linear_prepare(df: DataFrame, cols: Columns) -> DataFrame:
     )
 
 
-def fit_logistic(train: DataFrame, cols: Columns, label: str = LABEL, iterations: int = 2000) -> Fitted:
-    # regParam plays the part of an L2 penalty of strength 1 spread over the rows
+def fit_logistic(
+    train: DataFrame, cols: Columns, label: str = LABEL, iterations: int = 2000, penalty: float = 1e-4
+) -> Fitted:
+    # the penalty plays the part of an L2 penalty of strength 1 spread over the rows
     classifier = LogisticRegression(
-        featuresCol="_features", labelCol="_label", family="multinomial", maxIter=iterations, regParam=1e-4
+        featuresCol="_features", labelCol="_label", family="multinomial", maxIter=iterations, regParam=penalty
     )
     return _fit(train, cols, [*_linear_encoding(cols), classifier], label, _linear_prepare)
 
 
-def fit_svm(train: DataFrame, cols: Columns, label: str = LABEL, iterations: int = 5000) -> Fitted:
-    one = LinearSVC(featuresCol="_features", labelCol="_label", maxIter=iterations, regParam=1e-4)
+def fit_svm(train: DataFrame, cols: Columns, label: str = LABEL, iterations: int = 5000, penalty: float = 1e-4) -> Fitted:
+    one = LinearSVC(featuresCol="_features", labelCol="_label", maxIter=iterations, regParam=penalty)
     classifier = OneVsRest(classifier=one, featuresCol="_features", labelCol="_label")
     return _fit(train, cols, [*_linear_encoding(cols), classifier], label, _linear_prepare)
 
@@ -254,6 +273,8 @@ class Training:
     production: Fitted
     metrics: DataFrame
     test_predictions: DataFrame
+    errors: DataFrame  # keys that cannot be split, with the reason
+    forest: Forest
 
 
 def train(
@@ -268,15 +289,18 @@ def train(
     pooled: bool = True,
     seed: int = 42,
     row_id: list[str] = ("game_pk", "pitcher", "at_bat_number_of_game", "pitch_number_of_ab"),
+    rules: W.Rules | None = W.CONTINUOUS,
 ) -> Training:
     """Chronological split, weights from training rows alone, fit, score against the baseline, then
     refit on everything with the caller's reference season.
 
-    ``pooled`` adds the key as a categorical input, so one model serves all pitchers.
+    ``pooled`` adds the key as a categorical input, so one model serves all pitchers. Beyond
+    ``KEY_SLOTS`` keys share slots by hash, so the input's width does not grow with the keys. Keys with
+    a single game are in no part of the split; they are listed in ``errors``.
     """
     log = prepare_log(kg4, date)
     if pooled:
-        log = log.withColumn("_who", F.col(key).cast("string"))
+        log = log.withColumn("_who", key_slot(log, key))
     if cols is None:
         cols = feature_columns(log, extra_excluded=["weight", "is_test"])
     if pooled:
@@ -286,14 +310,27 @@ def train(
     parts = P.chronological_split(log, key, game, date, fraction)
     train_rows = parts.filter(~F.col("is_test")).drop("is_test")
     test_rows = parts.filter("is_test").drop("is_test")
-    evaluated = fit_forest(cut_lineage(W.training_weights(train_rows, key, LABEL)), cols, "weight", forest)
+    weighted = W.training_weights(train_rows, key, LABEL, rules=rules)
+    evaluated = fit_forest(cut_lineage(weighted), cols, "weight", forest)
     ranges = B.class_ranges(train_rows, [key], LABEL)
     scored_train = predict(evaluated, train_rows)
     scored_test = B.stratified(predict(evaluated, test_rows), ranges, [key], LABEL, list(row_id), seed)
     metrics = _metrics(parts, scored_train, scored_test, key, game)
-    everything = cut_lineage(W.training_weights(log, key, LABEL, reference=reference))
+    everything = cut_lineage(W.training_weights(log, key, LABEL, reference=reference, rules=rules))
     production = fit_forest(everything, cols, "weight", forest)
-    return Training(production, metrics, scored_test)
+    alone = log.groupBy(key).agg(F.countDistinct(game).alias("_games")).filter("_games < 2")
+    errors = alone.select(key, F.lit("modeling").alias("stage"), F.lit(S.FEW_GAMES).alias("error"))
+    return Training(production, metrics, scored_test, errors, forest)
+
+
+KEY_SLOTS = 1024  # of the pooled model's key input
+
+
+def key_slot(log: DataFrame, key: str, slots: int = KEY_SLOTS) -> Column:
+    """The key as a category: itself where there are at most ``slots`` keys, else a hashed bucket."""
+    few = log.select(key).distinct().limit(slots + 1).count() <= slots
+    name = F.col(key).cast("string")
+    return name if few else F.concat(F.lit("slot "), F.pmod(F.xxhash64(name), F.lit(slots)).cast("string"))
 
 
 def _metrics(parts: DataFrame, scored_train: DataFrame, scored_test: DataFrame, key: str, game: str) -> DataFrame:
@@ -324,8 +361,9 @@ def _metrics(parts: DataFrame, scored_train: DataFrame, scored_test: DataFrame,
     ).drop("_train_seasons")
 
 
-def nested_metrics(metrics: DataFrame, key: str = "pitcher", forest: Forest = Forest()) -> DataFrame:
-    """The metrics record in its nested form, ready for a JSON sink."""
+def nested_metrics(metrics: DataFrame, forest: Forest, key: str = "pitcher") -> DataFrame:
+    """The metrics record in its nested form, ready for a JSON sink. ``forest``: the settings of the
+    fitted model (``Training.forest``)."""
     group = F.struct
     return metrics.select(
         group(F.col(key).alias("pitcher_id")).alias("pitcher"),
@@ -340,7 +378,7 @@ def nested_metrics(metrics: DataFrame, key: str = "pitcher", forest: Forest = Fo
         group(
             F.lit(forest.trees).alias("n_estimators"), F.lit(forest.depth).alias("max_depth"),
             F.lit(forest.min_leaf).alias("min_samples_leaf"), F.lit(forest.features).alias("max_features"),
-            F.lit(True).alias("bootstrap"), F.lit(forest.seed).alias("random_state"),
+            F.lit(forest.bootstrap).alias("bootstrap"), F.lit(forest.seed).alias("random_state"),
         ).alias("random_forest"),
         group(
             F.lit("mild_recency_x_continuous_repertoire").alias("method"),
@@ -360,7 +398,7 @@ def train_each(
         try:
             return p, train(kg4.filter(F.col(key) == p), reference, key, pooled=False, **kw), None
         except Exception as e:  # noqa: BLE001 - reported per pitcher
-            return p, None, (p, "modeling", type(e).__name__, str(e)[:2000])
+            return p, None, (p, "modeling", type(e).__name__, str(e))
 
     with ThreadPoolExecutor(at_once) as pool:
         results = list(pool.map(one, pitchers))
@@ -459,14 +497,15 @@ def forest_fit(cols: Columns, forest: Forest = Forest(), label: str = LABEL):
 
 
 def forest_on_history(
-    cols: Columns, forest: Forest = Forest(), key: str = "pitcher", date: str = "game_date", label: str = LABEL
+    cols: Columns, forest: Forest = Forest(), key: str = "pitcher", date: str = "game_date", label: str = LABEL,
+    rules: W.Rules | None = W.CONTINUOUS, recency: W.Recency | None = W.MILD,
 ):
     """The production model in the form ``replay_days`` takes: recency x repertoire weights as of the
     target season, then a forest."""
 
     def fit(history: DataFrame):
         log = history.withColumn("_season", F.year(date))
-        weighted = W.training_weights(log, key, label, reference="_target_season", season="_season")
+        weighted = W.training_weights(log, key, label, reference="_target_season", rules=rules, recency=recency, season="_season")
         fitted = fit_forest(cut_lineage(weighted), cols, "weight", forest, label)
         return lambda rows: predict(fitted, rows)
 
@@ -482,7 +521,7 @@ def cross_validate(
     classifier = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", numTrees=forest.trees, maxDepth=forest.depth,
         minInstancesPerNode=forest.min_leaf, featureSubsetStrategy=forest.features, seed=forest.seed,
-        maxBins=forest.max_bins,
+        maxBins=forest.max_bins, bootstrap=forest.bootstrap,
     )
     cv = CrossValidator(
         estimator=Pipeline(stages=[*_encoding(cols), classifier]),

@@ -1,6 +1,9 @@
-"""Spark ML operators. Tree ensembles and solvers have no SQL counterpart; encoders do.
+"""Spark ML operators, on inputs for which SQL knows the exact answer.
 
-Fits here use few trees and iterations so the queries stay quick; the defaults are the real sizes.
+A single deep tree without bootstrap on one categorical input has the weighted class shares of each
+category in its leaves; an unpenalised logistic regression predicts the largest share; linear and
+boosted classifiers give back a label that is a function of the category. The full-width forest on
+all inputs of the feature log is checked row by row for what holds of any forest.
 """
 
 from __future__ import annotations
@@ -8,30 +11,46 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from dugout.operators import sequence as Q
 from dugout.operators import split as P
+from dugout.operators import weights as W
 from dugout.plans import learning as L
 from dugout.plans import stages
 from dugout.registry import query
-from dugout.registry.logs import EVENT_CLASSES, event_log, pitch_log
+from dugout.registry import splits as S
+from dugout.registry import stages as G
+from dugout.registry import weights as X
+from dugout.registry.logs import EVENT_CLASSES, event_log, pitch_log, sales_log
 from dugout.session import cut_lineage, scratch_path
 
-SMALL = L.Forest(trees=4, depth=5, min_leaf=5, max_bins=32)
-LIGHT = ["balls", "strikes", "inning", "outs_when_up", "pitch_number_of_game", "prior_pa_vs_pitcher_career",
-         "release_speed_of_prev_pitch", "prev3_pitch_rate_FF", "prev3_pitch_rate_SL"]
-LIGHT_TEXT = ["count_state", "pitch_type_of_prev_pitch", "stand"]
+# settings of the models below, one value each
+EXACT = L.Forest(trees=1, depth=30, min_leaf=1, features="all", bootstrap=False)
+WIDE = L.Forest(trees=20, depth=10)
+ROUNDS = 10
+SVM_ROUNDS = 30
+
+
+def _outcomes(spark, sf):
+    """Events with an outcome: six in ten have that of their own type, the others that of a view."""
+    return event_log(spark, sf).select(
+        "event_id", F.col("pitch_type").alias("kind"), F.col("value"), (F.col("event_id") % 10).alias("digit"),
+        F.lit(1.0).alias("constant"), (1.0 + F.col("event_id") % 3).alias("weight"),
+        F.concat(F.lit("after "), F.when(F.col("event_id") * 7 % 10 < 6, F.col("pitch_type")).otherwise("view")).alias("pitch_type"),
+        F.concat(F.lit("after "), F.col("pitch_type")).alias("certain"),
+        F.when(F.col("event_id") % 10 < 4, "low").otherwise("high").alias("half"),
+    )
 
 
-def _event_features(spark, sf):
-    """Event log with a few features from earlier events; event type is the class."""
-    log = Q.add(
-        event_log(spark, sf), ["pitcher"], ["ts", "event_id"],
-        [Q.lag("prev_type", "pitch_type"), Q.lag("prev_value", "value"), Q.rolling_mean("mean3", "value", 3)],
-    )
-    return log.withColumns({"hour": F.hour("ts"), "game_pk": F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))})
+KIND = L.Columns([], ["kind"])
+_OUTCOMES = """rows AS (
+  SELECT event_id, event_type AS kind, event_id % 10 AS digit, 1.0::DOUBLE + event_id % 3 AS weight,
+         'after ' || CASE WHEN event_id * 7 % 10 < 6 THEN event_type ELSE 'view' END AS pitch_type FROM events)"""
 
 
-EVENT_COLUMNS = L.Columns(["prev_value", "mean3", "hour", "value"], ["prev_type"])
+def _calls(weight: str = "weight", where: str = "true", by: str = "kind") -> str:
+    """The class of the largest weighted share of each category, and the share."""
+    return f"""shares AS (SELECT {by}, pitch_type, sum({weight}) AS w FROM rows WHERE {where} GROUP BY ALL),
+calls AS (SELECT {by}, pitch_type AS guess, w / sum(w) OVER (PARTITION BY {by}) AS share FROM shares
+          QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY w DESC, pitch_type) = 1)"""
 
 
 def _kg4(spark, sf):
@@ -86,109 +105,165 @@ def feature_label_split(spark, sf):
     return log.select(*[F.col(c).alias(f"x_{c}") for c in cols.all], "pitch_type")
 
 
-@query("forest_train_evaluate")
-def forest_train_evaluate(spark, sf):
-    """The metrics record of every pitcher, from one pooled model, flattened."""
-    kg4 = _kg4(spark, sf)
-    metrics = L.train(kg4, 2022, forest=SMALL, cols=L.Columns(LIGHT, LIGHT_TEXT)).metrics
-    return L.nested_metrics(metrics, forest=SMALL).select("pitcher.*", "dataset.*", "evaluation.*", "weighting.*")
+_AFTER = [f"after {c}" for c in EVENT_CLASSES]
 
 
-@query("forest_predictions")
+@query("forest_predictions", f"""
+WITH {_OUTCOMES}, {_calls(where="event_id % 7 <> 0")}
+SELECT event_id, pitch_type, guess AS model_prediction, round(share, 9) AS model_confidence,
+       {", ".join(f"coalesce((SELECT round(s.w / sum(t.w), 9) FROM shares s JOIN shares t ON t.kind = s.kind WHERE s.kind = rows.kind AND s.pitch_type = '{c}' GROUP BY s.w), 0.0::DOUBLE) AS \"prob_{c}\"" for c in _AFTER)}
+FROM rows JOIN calls USING (kind) WHERE event_id % 7 = 0""")
 def forest_predictions(spark, sf):
-    parts = cut_lineage(P.chronological_split(L.prepare_log(_kg4(spark, sf)), "pitcher", "game_pk", "game_date"))
-    cols = L.Columns(LIGHT, LIGHT_TEXT)
-    fitted = L.fit_forest(parts.filter(~F.col("is_test")), cols, None, SMALL)
-    out = L.predict(fitted, parts.filter("is_test"))
-    out = out.select("pitcher", "game_pk", "pitch_type", "model_prediction", "model_confidence", "probabilities")
-    return L.probability_columns(out, fitted.classes)
-
-
-@query("replay_with_forest")
-def replay_with_forest(spark, sf):
-    """Every user's last game, replayed with a forest fitted on the earlier ones."""
-    from dugout.plans import backtest
-
-    kg4 = _kg4(spark, sf)
-    last = kg4.agg(F.max("game_date")).scalar()
-    pending = kg4.filter(F.col("game_date") == last).select("pitcher", "game_pk", F.col("game_date").alias("target_date")).distinct()
-    fit = L.forest_on_history(L.Columns(LIGHT, LIGHT_TEXT), SMALL)
-    days = backtest.replay_days(kg4, cut_lineage(pending), fit)
-    results = [backtest.game_results(log, ["pitcher", "game_pk", "game_date"]) for _, log in days]
-    return L.comparison(results)
-
-
-@query("model_store")
+    """Weighted shares as a tree finds them."""
+    rows = cut_lineage(_outcomes(spark, sf))
+    fitted = L.fit_forest(rows.filter("event_id % 7 <> 0"), KIND, "weight", EXACT)
+    out = L.predict(fitted, rows.filter("event_id % 7 = 0").select("event_id", "kind", "pitch_type"))
+    out = L.probability_columns(out.drop("kind"), fitted.classes)
+    return out.select("event_id", "pitch_type", "model_prediction",
+                      *[F.round(c, 9).alias(c) for c in ("model_confidence", *[f"prob_{c}" for c in _AFTER])])
+
+
+@query("forest_invariants", f"""
+WITH {G._KG3_SQL} SELECT pitcher, game_pk, at_bat_number_of_game, pitch_number_of_ab, true AS sums_to_one, true AS is_largest, true AS is_known
+FROM kg3 WHERE pitch_type IS NOT NULL AND game_pk IS NOT NULL AND game_date IS NOT NULL""")
+def forest_invariants(spark, sf):
+    """All inputs of the feature log: what holds of every forest, per row."""
+    log = L.prepare_log(_kg4(spark, sf))
+    fitted = L.fit_forest(log, L.feature_columns(log), None, WIDE)
+    out = L.predict(fitted, log)
+    p = F.map_values("probabilities")
+    return out.select(
+        "pitcher", "game_pk", "at_bat_number_of_game", "pitch_number_of_ab",
+        (F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        (F.element_at("probabilities", F.col("model_prediction")) == F.col("model_confidence")).alias("is_largest"),
+        F.array_contains(F.map_keys("probabilities"), F.col("model_prediction")).alias("is_known"))
+
+
+@query("model_store", f"""
+WITH {_OUTCOMES}, {_calls()}
+SELECT event_id, guess AS model_prediction, round(share, 9) AS model_confidence FROM rows JOIN calls USING (kind)""")
 def model_store(spark, sf):
-    """A fitted pipeline written, read back and applied."""
-    from pyspark.ml import PipelineModel
-
-    rows = cut_lineage(_event_features(spark, sf))
-    fitted = L.fit_forest(rows, EVENT_COLUMNS, None, SMALL)
+    """A fitted artefact written, loaded with nothing but its folder, and applied."""
+    rows = cut_lineage(_outcomes(spark, sf))
     path = scratch_path(spark, "model")
-    fitted.save(path)
-    again = L.Fitted(PipelineModel.load(path), fitted.classes, EVENT_COLUMNS)
-    return L.predict(again, rows).select("event_id", "pitch_type", "model_prediction", "model_confidence")
+    fitted = L.fit_forest(rows, KIND, "weight", EXACT)
+    fitted.save(path, rows.agg(F.count(F.lit(1)).alias("rows")))
+    out = L.predict(L.Fitted.load(path), rows.select("event_id", "kind"))
+    return out.select("event_id", "model_prediction", F.round("model_confidence", 9).alias("model_confidence"))
 
 
-@query("feature_importance")
+@query("feature_importance", """
+SELECT * FROM (VALUES ('digit', 1.0::DOUBLE), ('constant', 0.0::DOUBLE)) AS t(feature, importance) WHERE EXISTS (FROM events)""")
 def feature_importance(spark, sf):
-    rows = cut_lineage(_event_features(spark, sf))
-    fitted = L.fit_forest(rows, EVENT_COLUMNS, None, SMALL)
+    """Only one input tells the halves apart."""
+    rows = cut_lineage(_outcomes(spark, sf))
+    fitted = L.fit_forest(rows, L.Columns(["digit", "constant"], []), None, EXACT, label="half")
     return L.feature_importance(fitted, rows, 25)
 
 
-def _scored(spark, sf, name, fit):
-    rows = cut_lineage(
-        P.chronological_split(
-            _event_features(spark, sf).withColumn("day", F.col("ts").cast("date")), "pitcher", "game_pk", "day"
-        )
-    )
-    fitted = fit(rows.filter(~F.col("is_test")))
-    scored = L.predict(fitted, rows.filter("is_test"))
-    return scored.agg(
-        F.count(F.lit(1)).alias("test_rows"),
-        F.avg((F.col("model_prediction") == F.col("pitch_type")).cast("double")).alias("test_accuracy"),
-    ).select(F.lit(name).alias("model"), "test_rows", "test_accuracy")
+_GUESSED = f"""
+WITH {_OUTCOMES}, {_calls("1")} SELECT event_id, guess AS model_prediction FROM rows JOIN calls USING (kind)"""
 
 
-@query("logistic_regression")
+@query("logistic_regression", _GUESSED)
 def logistic_regression(spark, sf):
-    return _scored(spark, sf, "Logistic Regression", lambda t: L.fit_logistic(t, EVENT_COLUMNS, iterations=10))
+    """Without a penalty, fitted probabilities are shares."""
+    rows = cut_lineage(_outcomes(spark, sf))
+    fitted = L.fit_logistic(rows, KIND, penalty=0.0)
+    return L.predict(fitted, rows.select("event_id", "kind")).select("event_id", "model_prediction")
 
 
-@query("linear_svm")
-def linear_svm(spark, sf):
-    return _scored(spark, sf, "Linear SVM", lambda t: L.fit_svm(t, EVENT_COLUMNS, iterations=3))
+_CERTAIN = "SELECT event_id, 'after ' || event_type AS model_prediction FROM events"
 
 
-@query("gradient_boosting")
-def gradient_boosting(spark, sf):
-    return _scored(spark, sf, "Gradient Boosting", lambda t: L.fit_boosting(t, EVENT_COLUMNS, iterations=2, depth=3))
+@query("linear_svm", _CERTAIN)
+def linear_svm(spark, sf):
+    """A separable label comes back."""
+    rows = cut_lineage(_outcomes(spark, sf))
+    fitted = L.fit_svm(rows, KIND, label="certain", iterations=SVM_ROUNDS, penalty=0.01)
+    return L.predict(fitted, rows.select("event_id", "kind")).select("event_id", "model_prediction")
 
 
-@query("model_comparison")
+@query("gradient_boosting", _CERTAIN)
+def gradient_boosting(spark, sf):
+    rows = cut_lineage(_outcomes(spark, sf))
+    fitted = L.fit_boosting(rows, KIND, label="certain", iterations=ROUNDS)
+    return L.predict(fitted, rows.select("event_id", "kind")).select("event_id", "model_prediction")
+
+
+@query("model_comparison", f"""
+WITH {_OUTCOMES}, {_calls("1", "event_id % 7 <> 0")},
+hits AS (SELECT count(*) AS test_rows, round(avg(CASE WHEN guess = pitch_type THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS a,
+                round(avg(CASE WHEN pitch_type = 'after view' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS b
+         FROM rows JOIN calls USING (kind) WHERE event_id % 7 = 0)
+SELECT model, test_rows, CASE WHEN model = 'Constant' THEN b ELSE a END AS test_accuracy
+FROM hits, (VALUES ('Random Forest'), ('Logistic Regression'), ('Constant')) AS m(model)""")
 def model_comparison(spark, sf):
-    rows = _event_features(spark, sf)
-    return L.comparison(
-        [
-            _scored(spark, sf, "Random Forest", lambda t: L.fit_forest(t, EVENT_COLUMNS, None, SMALL)),
-            _scored(spark, sf, "Logistic Regression", lambda t: L.fit_logistic(t, EVENT_COLUMNS, iterations=5)),
-            rows.agg(F.count(F.lit(1)).alias("test_rows"), F.avg((F.col("pitch_type") == "view").cast("double")).alias("test_accuracy"))
-            .select(F.lit("Constant").alias("model"), "test_rows", "test_accuracy"),
-        ]
-    )
-
-
-@query("grouped_cross_validation")
+    rows = cut_lineage(_outcomes(spark, sf))
+    train, test = rows.filter("event_id % 7 <> 0"), rows.filter("event_id % 7 = 0")
+
+    def line(name, guessed):
+        hit = F.round(F.avg((F.col("model_prediction") == F.col("pitch_type")).cast("double")), 9)
+        return guessed.agg(F.count(F.lit(1)).alias("test_rows"), hit.alias("test_accuracy")).select(
+            F.lit(name).alias("model"), "test_rows", "test_accuracy")
+
+    return L.comparison([
+        line("Random Forest", L.predict(L.fit_forest(train, KIND, None, EXACT), test)),
+        line("Logistic Regression", L.predict(L.fit_logistic(train, KIND, penalty=0.0), test)),
+        line("Constant", test.withColumn("model_prediction", F.lit("after view"))),
+    ])
+
+
+@query("grouped_cross_validation", f"""
+WITH {_OUTCOMES}, folded AS (SELECT *, CAST({S._hash("event_id")} % 5 AS INTEGER) AS fold FROM rows),
+shares AS (SELECT f.fold, kind, pitch_type, count(*) AS w FROM folded JOIN (SELECT DISTINCT fold FROM folded) f ON f.fold <> folded.fold GROUP BY ALL),
+calls AS (SELECT fold, kind, pitch_type AS guess FROM shares QUALIFY row_number() OVER (PARTITION BY fold, kind ORDER BY w DESC, pitch_type) = 1),
+scores AS (SELECT fold, avg(CASE WHEN guess = pitch_type THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS acc FROM folded JOIN calls USING (fold, kind) GROUP BY fold)
+SELECT round(avg(acc), 9) AS mean_cv_accuracy, (SELECT count(*) FROM rows) AS n FROM scores""")
 def grouped_cross_validation(spark, sf):
-    rows = cut_lineage(P.group_folds(_event_features(spark, sf), ["game_pk"], 3))
-    score = L.cross_validate(rows, EVENT_COLUMNS, "fold", 3, L.Forest(trees=2, depth=4, max_bins=32))
-    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(score).alias("mean_cv_accuracy"), "n")
+    rows = cut_lineage(P.group_folds(_outcomes(spark, sf), ["event_id"]))
+    score = L.cross_validate(rows, KIND, "fold", forest=EXACT)
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.round(F.lit(score), 9).alias("mean_cv_accuracy"), "n")
 
 
-@query("ablation_forest")
+# --- the key as the only input: a tree finds each key's weighted majority class ------------------
+@query("ablation_forest", S.MAJORITY_ABLATION)
 def ablation_forest(spark, sf):
-    log = L.prepare_log(_kg4(spark, sf))
-    fit = L.forest_fit(L.Columns(LIGHT, LIGHT_TEXT), L.Forest(trees=2, depth=4, max_bins=32))
-    return L.ablation(log, "pitcher", "game_pk", "game_date", L.GATED_ARMS, fit)
+    log = sales_log(spark, sf).withColumn("who", F.col("pitcher").cast("string"))
+    out = L.ablation(log, "pitcher", "game_pk", "game_date", L.RECENCY_ARMS, L.forest_fit(L.Columns([], ["who"]), EXACT))
+    return out.select("pitcher", *[F.round(c, 6).alias(c) for c in out.columns if c != "pitcher"])
+
+
+@query("forest_train_evaluate", S.TRAINED)
+def forest_train_evaluate(spark, sf):
+    """The metrics record of every pitcher, from one pooled model, flattened."""
+    trained = L.train(
+        sales_log(spark, sf), forest=EXACT, cols=L.Columns([], []), row_id=["game_pk", "l_linenumber", "l_partkey"],
+        rules=X.CONTINUOUS)
+    record = L.nested_metrics(trained.metrics, trained.forest)
+    whole = ["career_seasons", "career_games", "career_pitches", "train_games", "test_games", "train_pitches", "test_pitches",
+             "evaluation_reference_season"]
+    rates = ["train_accuracy", "test_accuracy", "baseline_accuracy", "accuracy_over_baseline"]
+    decay = ["evaluation_decay_factor", "production_decay_factor"]
+    return record.select("pitcher.*", "dataset.*", "evaluation.*", F.col("weighting.method").alias("weighting_method"),
+                         *[F.col(f"weighting.{c}") for c in decay], "random_forest.*").select(
+        F.col("pitcher_id").alias("pitcher"), *whole, *[F.round(c, 6).alias(c) for c in [*rates, *decay]],
+        F.col("method").alias("split_method"), "weighting_method", "n_estimators", "max_depth", "bootstrap")
+
+
+@query("replay_with_forest", S.YEARS_REPLAYED)
+def replay_with_forest(spark, sf):
+    """Every year of every pitcher replayed with a model of the years before it."""
+    from dugout.plans import backtest
+
+    log = sales_log(spark, sf).withColumns({"game_date": F.trunc("game_date", "year"), "who": F.col("pitcher").cast("string")})
+    log = cut_lineage(log)
+    first = log.agg(F.min("game_date")).scalar()
+    pending = log.filter(F.col("game_date") > first).select("pitcher", "game_pk", F.col("game_date").alias("target_date")).distinct()
+    names = backtest.Log(row_id=("game_pk", "l_linenumber", "l_partkey"))
+    # halving weights have exact sums, so ties are ties in any order of rows
+    halving = W.Recency(start=0.5, step=0.0, floor=0.5, minimum=0.125)
+    fit = L.forest_on_history(L.Columns([], ["who"]), EXACT, rules=None, recency=halving)
+    days = backtest.replay_days(log, cut_lineage(pending), fit, names)
+    results = [backtest.game_results(rows, ["pitcher", "game_date"]) for _, rows in days]
+    return L.comparison(results).select("pitcher", "game_date", "pitch_count", "model_correct", "baseline_correct")

@@ -325,7 +325,7 @@ def walk_forward_status(spark, sf):
 _ARM = """SELECT '{arm}' AS arm, pitcher, pitch_type, round(sum({w}), 12) AS w FROM weighted GROUP BY ALL"""
 
 
-@query("ablation_majority", f"""
+MAJORITY_ABLATION = f"""
 WITH {_SPLIT}, tr AS (SELECT * FROM parts WHERE NOT is_test),
 careers AS (SELECT pitcher, max(season) AS ref,
     greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS mild,
@@ -338,7 +338,10 @@ scored AS (SELECT arm, t.pitcher, round(avg(CASE WHEN guess = pitch_type THEN 1.
            FROM parts t JOIN calls USING (pitcher) WHERE is_test GROUP BY ALL)
 SELECT pitcher, max(acc) FILTER (WHERE arm = 'unweighted') AS baseline_accuracy, max(acc) FILTER (WHERE arm = 'unweighted') AS unweighted_accuracy,
        max(acc) FILTER (WHERE arm = 'current') AS current_accuracy, max(acc) FILTER (WHERE arm = 'mild') AS mild_accuracy
-FROM scored GROUP BY pitcher""")
+FROM scored GROUP BY pitcher"""
+
+
+@query("ablation_majority", MAJORITY_ABLATION)
 def ablation_majority(spark, sf):
     out = L.ablation(
         sales_log(spark, sf), "pitcher", "game_pk", "game_date", L.RECENCY_ARMS, L.majority_fit("pitcher")
@@ -437,3 +440,55 @@ SELECT o_custkey AS pitcher_id, max(o_orderkey) AS game_pk FROM orders GROUP BY
 def starter_dedup(spark, sf):
     starters = table(spark, sf, "orders").select(F.col("o_custkey").alias("pitcher_id"), F.col("o_orderkey").alias("game_pk"))
     return Q.keep_last(starters, ["pitcher_id"], ["game_pk"])
+
+
+# --- questions for the classifiers that have the key as their only input -------------------------
+_ROW_WEIGHT = """r * coalesce(CASE WHEN l.season < a.latest_season THEN a.old_multiplier ELSE a.recent_multiplier END, 1.0::DOUBLE)"""
+
+
+def _weighted_calls(ref: str) -> str:
+    """Weighted majority class per pitcher of ``log``, recency as of ``ref`` times repertoire."""
+    return f"""{X._C_ADJ},
+careers AS (SELECT pitcher, max(season) AS ref, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay FROM log GROUP BY pitcher),
+aged AS (SELECT log.*, greatest(pow(decay, {ref} - season), 0.1::DOUBLE) AS r FROM log JOIN careers USING (pitcher)),
+totals AS (SELECT l.pitcher, l.pitch_type, round(sum({_ROW_WEIGHT}), 12) AS w FROM aged l
+           LEFT JOIN adj a ON a.pitcher = l.pitcher AND a.pitch_type = l.pitch_type GROUP BY ALL),
+calls AS (SELECT pitcher, pitch_type AS guess FROM totals QUALIFY row_number() OVER (PARTITION BY pitcher ORDER BY w DESC, pitch_type) = 1)"""
+
+
+_RIGHT = "avg(CASE WHEN guess = pitch_type THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+TRAINED = f"""
+WITH {_TRAIN_CONTEXT}, {_weighted_calls("ref")}, train AS (SELECT * FROM log), {_RANGES},
+drawn AS (SELECT t.pitcher, t.pitch_type AS actual, {_hash("game_pk", "l_linenumber", "l_partkey")} AS h FROM parts t WHERE is_test),
+base AS (SELECT d.pitcher, avg(CASE WHEN r.pitch_type = actual THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS b
+         FROM drawn d LEFT JOIN ranges r ON d.pitcher = r.pitcher AND h % total >= lo AND h % total < hi GROUP BY d.pitcher),
+hits AS (SELECT pitcher, {_RIGHT} FILTER (NOT is_test) AS a, {_RIGHT} FILTER (is_test) AS t FROM parts JOIN calls USING (pitcher) GROUP BY pitcher),
+sizes AS (SELECT pitcher, count(DISTINCT season) AS career_seasons, count(DISTINCT game_pk) AS career_games, count(*) AS career_pitches,
+                 count(DISTINCT game_pk) FILTER (NOT is_test) AS train_games, count(DISTINCT game_pk) FILTER (is_test) AS test_games,
+                 count(*) FILTER (NOT is_test) AS train_pitches, count(*) FILTER (is_test) AS test_pitches,
+                 max(season) FILTER (NOT is_test) AS evaluation_reference_season, count(DISTINCT season) FILTER (NOT is_test) AS seasons
+          FROM parts GROUP BY pitcher)
+SELECT pitcher, career_seasons, career_games, career_pitches, train_games, test_games, train_pitches, test_pitches,
+       evaluation_reference_season, round(a, 6) AS train_accuracy, round(t, 6) AS test_accuracy, round(b, 6) AS baseline_accuracy,
+       round(t - b, 6) AS accuracy_over_baseline,
+       round(greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (seasons - 1)), 6) AS evaluation_decay_factor,
+       round(greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (career_seasons - 1)), 6) AS production_decay_factor,
+       'chronological_game_split' AS split_method, 'mild_recency_x_continuous_repertoire' AS weighting_method,
+       1 AS n_estimators, 30 AS max_depth, false AS bootstrap
+FROM sizes JOIN hits USING (pitcher) JOIN base USING (pitcher)"""
+
+# a pitcher before a year is a pitcher of its own
+_BEFORE = 10000
+YEARS_REPLAYED = f"""
+WITH {SALES_LOG.replace("log AS (", "everything AS (", 1)},
+years AS (SELECT DISTINCT season AS y FROM everything),
+train AS (SELECT everything.* REPLACE (pitcher * {_BEFORE} + y AS pitcher) FROM everything JOIN years ON season < y),
+totals AS (SELECT pitcher, pitch_type, sum(greatest(pow(0.5::DOUBLE, pitcher % {_BEFORE} - season), 0.125::DOUBLE)) AS w FROM train GROUP BY ALL),
+calls AS (SELECT pitcher, pitch_type AS guess FROM totals QUALIFY row_number() OVER (PARTITION BY pitcher ORDER BY w DESC, pitch_type) = 1),
+{_RANGES},
+played AS (SELECT pitcher * {_BEFORE} + season AS pitcher, season, pitch_type AS actual, {_hash("game_pk", "l_linenumber", "l_partkey")} AS h FROM everything)
+SELECT p.pitcher // {_BEFORE} AS pitcher, make_date(season, 1, 1) AS game_date, count(*) AS pitch_count,
+       count(*) FILTER (WHERE guess = actual) AS model_correct, count(*) FILTER (WHERE r.pitch_type = actual) AS baseline_correct
+FROM played p LEFT JOIN calls ON calls.pitcher = p.pitcher
+     LEFT JOIN ranges r ON r.pitcher = p.pitcher AND h % total >= lo AND h % total < hi
+WHERE season > (SELECT min(y) FROM years) GROUP BY ALL"""

@@ -20,7 +20,7 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     wanted = sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = local_session("check", cores=8)
+    spark = local_session("check", cores=int(__import__("os").environ.get("CHECK_CORES", 8)))
     con = connect(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
     failed = 0

@@ -202,10 +202,10 @@ def test_predictions_and_reload(spark, kg4, tmp_path):
     assert r.model_prediction == max(sorted(r.probabilities), key=r.probabilities.get)
     wide = L.probability_columns(out, fitted.classes).first()
     assert wide["prob_FF"] == pytest.approx(r.probabilities["FF"])
-    fitted.save(str(tmp_path / "m"))
-    from pyspark.ml import PipelineModel
-
-    again = L.Fitted(PipelineModel.load(str(tmp_path / "m")), fitted.classes, COLS)
+    fitted.save(str(tmp_path / "m"), kg4.agg(F.count(F.lit(1)).alias("rows")))
+    again = L.Fitted.load(str(tmp_path / "m"))
+    assert (again.classes, again.cols, again.prepare) == (fitted.classes, COLS, fitted.prepare)
+    assert spark.read.parquet(str(tmp_path / "m" / "metrics")).first().rows == kg4.count()
     assert L.predict(again, rows).first().model_prediction == r.model_prediction
     top = L.feature_importance(fitted, kg4, 3).collect()
     assert len(top) == 3 and top[0].importance >= top[-1].importance
@@ -234,8 +234,21 @@ def test_train_reports_failures_and_results(spark, kg4):
     m = models[1].metrics.first()
     assert (m.train_games, m.test_games, m.career_games) == (4, 1, 5)
     assert m.train_pitches + m.test_pitches == m.career_pitches
-    nested = L.nested_metrics(models[1].metrics).first()
-    assert nested.evaluation.test_games == 1 and nested.random_forest.n_estimators == 800
+    nested = L.nested_metrics(models[1].metrics, models[1].forest).first()
+    assert nested.evaluation.test_games == 1 and nested.random_forest.n_estimators == SMALL.trees
+
+
+def test_pooled_training_names_keys_with_one_game(spark, kg4):
+    log = kg4.filter("pitcher = 1").unionByName(kg4.filter("pitcher = 2 AND game_pk = 100"))
+    trained = L.train(log, 2024, forest=SMALL, cols=COLS)
+    assert [r.pitcher for r in trained.metrics.collect()] == [1]
+    assert [(r.pitcher, r.error) for r in trained.errors.collect()] == [(2, "At least two games are required.")]
+
+
+def test_many_keys_share_slots(spark):
+    log = spark.range(50).select(F.col("id").alias("pitcher"))
+    assert log.select(L.key_slot(log, "pitcher", 50)).distinct().count() == 50
+    assert log.select(L.key_slot(log, "pitcher", 8)).distinct().count() <= 8
 
 
 def test_replay_days_with_a_forest(spark, kg4):
