@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dugout.session import scratch_path
 
+BATCH = "8m"  # bytes of an Arrow batch
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package beside the driver's own path (clusters ship it with
-    ``--py-files``); then the folder does not exist there, which does no harm."""
+    ``--py-files``; then the folder does not exist there, which does no harm), and hand them a few
+    megabytes at once, however long the texts are."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return spark
 
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK = 1 << 20  # bytes hashed at once; words never straddle chunks
-SLICE = 4 << 20  # bytes of text handled at once by operators (a longer text is a slice of its own)
+CHUNK = 1 << 18  # bytes hashed at once; words never straddle chunks
+SLICE = 1 << 20  # bytes of text handled at once by operators (a longer text is a slice of its own)
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240917))
