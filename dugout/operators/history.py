@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from dugout import columns as C
 from dugout import schema
 from dugout.functions import scalar as S
 from dugout.operators import sequence as Q
+from dugout.operators.groups import settled
+from dugout.session import cut_lineage
 
 HISTORY_KEY = ["game_pk", "pitcher_id"]
 
@@ -99,17 +104,34 @@ def overlap_refresh(
     newest: list[Column | str] = ("ingest_seq",),
 ) -> DataFrame:
     """Replace each requested pitcher's overlap by the new batch: rows that disappeared upstream
-    disappear here, corrections win, rows before the request stay."""
+    disappear here, corrections win, rows before the request stay.
+
+    Only the batch is deduplicated; stored rows are unique already, so they are filtered by two joins
+    with small sides and neither ranked nor sorted.
+    """
     starts = ranges.filter("needed").select(key, F.col("request_start").alias("_start"))
+    batch = cut_lineage(Q.keep_last(incoming, keys, list(newest)))
     kept = (
-        existing.join(starts, key, "left")
+        existing.join(settled(starts), key, "left")
         .filter(F.col("_start").isNull() | (F.col(date) < F.col("_start")))
         .drop("_start")
     )
-    both = kept.withColumn("_batch", F.lit(0)).unionByName(
-        incoming.withColumn("_batch", F.lit(1)), allowMissingColumns=True
-    )
-    return Q.keep_last(both, keys, ["_batch", *newest]).drop("_batch")
+    renewed = settled(batch.select(*[F.col(k).alias(f"_new_{k}") for k in keys]))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+    out = kept.join(renewed, same, "left_anti").unionByName(batch, allowMissingColumns=True)
+    return out.select(*existing.columns, *[c for c in out.columns if c not in existing.columns])
+
+
+def failed_fetches(ranges: DataFrame, control: DataFrame, failures: DataFrame, key: str = "pitcher") -> DataFrame:
+    """``request_ranges`` with the keys whose fetch failed (column ``key`` of ``failures``) left as they
+    were: nothing of theirs is replaced, and what they cover does not advance."""
+    lost = failures.select(key).distinct().withColumn("_lost", F.lit(True))
+    before = control.select(key, F.col("covered_through").alias("_covered"))
+    joined = ranges.join(settled(lost), key, "left").join(settled(before), key, "left")
+    return joined.withColumns({
+        "needed": F.col("needed") & F.col("_lost").isNull(),
+        "covered_through": F.when(F.col("_lost"), F.col("_covered")).otherwise(F.col("covered_through")),
+    }).drop("_lost", "_covered")
 
 
 # --- work lists -------------------------------------------------------------------------------

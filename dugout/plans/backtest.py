@@ -40,8 +40,12 @@ PITCHES = Log()
 # --- one day ----------------------------------------------------------------------------------
 def before(log: DataFrame, targets: DataFrame, names: Log = PITCHES) -> DataFrame:
     """Rows dated strictly before the pitcher's target date. The first game of a doubleheader is
-    not history for the second."""
-    day = targets.groupBy(names.key).agg(F.min("target_date").alias("_target"))
+    not history for the second. A pitcher with targets on several dates is an error: replay these
+    date by date (``replay_days``)."""
+    several = F.concat(F.lit("targets on several dates for "), F.col(names.key).cast("string"))
+    day = targets.groupBy(names.key).agg(F.min("target_date").alias("_target"), F.max("target_date").alias("_last"))
+    day = day.select(names.key, F.when(F.col("_target") == F.col("_last"), F.col("_target"))
+                     .otherwise(F.raise_error(several).cast("date")).alias("_target"))
     earlier = log.join(settled(day), names.key).filter(F.col(names.date) < F.col("_target"))
     return earlier.withColumn("_target_season", F.year("_target")).drop("_target")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dugout.functions import scalar as S
 from dugout.operators import history as H
 from dugout.operators import sequence as Q
 from dugout.operators.groups import HOT_ROWS
@@ -15,17 +15,18 @@ from dugout.plans import stages as P
 from dugout.session import cut_lineage
 
 NO_ROWS = "No pitches were found."
-FEW_GAMES = S.FEW_GAMES
 STRANGE = "The batch holds a pitcher that was not requested."
 
 
 @dataclass(frozen=True)
 class DailyRun:
-    """The refreshed log, its stages, and one run-log row per pitcher and stage."""
+    """The refreshed log of all pitchers, the stages of the day's, one run-log row per pitcher and
+    stage, and what to store as covered."""
 
     log: DataFrame
     stages: P.Stages
     run_log: DataFrame
+    covered: DataFrame
 
 
 def run(
@@ -37,34 +38,51 @@ def run(
     refresh_days: int = 7,
     newest: list[str] = ("ingest_seq",),
     hot_rows: int = HOT_ROWS,
+    failures: DataFrame | None = None,
+    fit: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DailyRun:
     """``existing`` and ``incoming`` are pitch logs, ``control`` has pitcher, debut and
     covered_through, ``starters`` the pitchers of the day (column pitcher). Rows of pitchers nobody
-    asked for are kept out and reported; a pitcher's failure never stops the others."""
+    asked for are kept out and reported; a pitcher's failure never stops the others.
+
+    ``failures`` (pitcher, error) are fetches that did not come through: these pitchers keep their
+    stored rows and what they cover. ``fit`` trains on the stages' features and returns the pitchers
+    it could not train (pitcher, error); without it no line speaks of modeling.
+    """
     asked = Q.keep_last(starters.select("pitcher"), ["pitcher"], ["pitcher"])
     ranges = H.request_ranges(control.join(asked, "pitcher", "left_semi"), history_through, refresh_days)
+    none = F.lit(None).cast("string")
+    if failures is None:
+        failures = asked.limit(0).withColumn("error", none)
+    failures = failures.groupBy("pitcher").agg(F.min("error").alias("_fetch"))
+    ranges = H.failed_fetches(ranges, control, failures)
+    incoming = incoming.join(failures, "pitcher", "left_anti")
     wanted = incoming.join(asked, "pitcher", "left_semi")
     strange = incoming.select("pitcher").distinct().join(asked, "pitcher", "left_anti")
-    log = H.overlap_refresh(existing, wanted, ranges, newest=list(newest))
-    # the refreshed log is read by every stage and by the run log
-    log = cut_lineage(log.join(asked, "pitcher", "left_semi"))
+    everyone = H.overlap_refresh(existing, wanted, ranges, newest=list(newest))
+    # the day's part of the refreshed log is read by every stage and by the run log
+    log = cut_lineage(everyone.join(asked, "pitcher", "left_semi"))
     stages = P.build(log.drop(*newest), hot_rows)
+    features = cut_lineage(stages.kg4.groupBy("pitcher").agg(F.count(F.lit(1)).alias("rows_featured")))
 
     raw = log.groupBy("pitcher").agg(F.count(F.lit(1)).alias("rows_in"), F.count("pitch_type").alias("rows_out"))
-    games = (
-        log.filter(F.col("pitch_type").isNotNull())
-        .groupBy("pitcher").agg(F.countDistinct("game_pk").alias("games"))
-    )
-    per_pitcher = asked.join(raw, "pitcher", "left").join(games, "pitcher", "left")
+    per_pitcher = asked.join(raw, "pitcher", "left").join(features, "pitcher", "left").join(failures, "pitcher", "left")
+    if fit is None:
+        per_pitcher = per_pitcher.withColumn("_fit", none)
+    else:
+        untrained = fit(stages.kg4).groupBy("pitcher").agg(F.min("error").alias("_fit"))
+        per_pitcher = per_pitcher.join(untrained, "pitcher", "left")
     zero = F.lit(0).cast("bigint")
-    n, kept, played = (F.coalesce(c, zero) for c in ("rows_in", "rows_out", "games"))
-    none = F.lit(None).cast("string")
-    steps = F.array(
-        F.struct(F.lit("download").alias("stage"), n.alias("rows"), F.when(n == 0, NO_ROWS).otherwise(none).alias("error")),
+    n, kept, featured = (F.coalesce(c, zero) for c in ("rows_in", "rows_out", "rows_featured"))
+    fetched = F.coalesce(F.col("_fetch"), F.when(n == 0, NO_ROWS))
+    steps = [
+        F.struct(F.lit("download").alias("stage"), n.alias("rows"), fetched.alias("error")),
         F.struct(F.lit("cleaning").alias("stage"), kept.alias("rows"), F.when((n > 0) & (kept == 0), NO_ROWS).otherwise(none).alias("error")),
-        F.struct(F.lit("feature_engineering").alias("stage"), kept.alias("rows"), none.alias("error")),
-        F.struct(F.lit("modeling").alias("stage"), kept.alias("rows"), F.when((kept > 0) & (played < 2), FEW_GAMES).otherwise(none).alias("error")),
-    )
+        F.struct(F.lit("feature_engineering").alias("stage"), featured.alias("rows"), F.when(featured == 0, NO_ROWS).otherwise(none).alias("error")),
+    ]
+    if fit is not None:
+        steps.append(F.struct(F.lit("modeling").alias("stage"), featured.alias("rows"), F.col("_fit").alias("error")))
+    steps = F.array(*steps)
     # a stage is reported when the stages before it went through
     lines = per_pitcher.select("pitcher", n.alias("_in"), kept.alias("_out"), F.explode(steps).alias("s"))
     lines = lines.filter(
@@ -76,7 +94,7 @@ def run(
     run_log = lines.unionByName(intruders).withColumn(
         "status", F.when(F.col("error").isNull(), "success").otherwise("failed")
     )
-    return DailyRun(log, stages, run_log)
+    return DailyRun(everyone, stages, run_log, covered(ranges))
 
 
 def covered(ranges: DataFrame) -> DataFrame:

@@ -50,11 +50,17 @@ def unexpected_keys(df: DataFrame, requested: DataFrame, key: str) -> DataFrame:
     return seen.join(requested.select(F.col(key).cast("bigint").alias(key)), key, "left_anti")
 
 
+SHOWN = 20  # keys named in an error; the rest are counted
+
+
 def require_keys(df: DataFrame, requested: DataFrame, key: str) -> DataFrame:
     """Fail when the batch holds rows of a key that was not requested."""
-    strange = unexpected_keys(df, requested, key).limit(20).collect()
-    if strange:
-        raise ValueError(f"batch holds {key} values that were not requested: {sorted(r[0] for r in strange)}")
+    strange = unexpected_keys(df, requested, key)
+    named = sorted(r[0] for r in strange.limit(SHOWN).collect())
+    if named:
+        more = strange.count() - len(named) if len(named) == SHOWN else 0
+        rest = f" and {more} more" if more else ""
+        raise ValueError(f"batch holds {key} values that were not requested: {named}{rest}")
     return df
 
 

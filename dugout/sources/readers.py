@@ -84,13 +84,18 @@ def check_landing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+SHOWN = 20  # files named in an error; the rest are counted
+
+
 def read_landing(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """Freshly landed exports: header cleaned of byte-order mark, blanks and quotes, bad files
     refused. ``ingest_seq`` orders rows by arrival (file time, file, place in the file), so later
     corrections can win; it does not depend on how files are spread over tasks."""
-    bad = check_landing(spark, path).limit(20).collect()
+    refused = check_landing(spark, path)
+    bad = refused.limit(SHOWN).collect()
     if bad:
-        raise ExportError("; ".join(f"{r.file}: {r.error}" for r in bad))
+        more = refused.count() - len(bad) if len(bad) == SHOWN else 0
+        raise ExportError("; ".join(f"{r.file}: {r.error}" for r in bad) + (f"; and {more} more" if more else ""))
     # one schema for all files: a file with another header fails instead of shifting columns
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     arrival = F.struct(

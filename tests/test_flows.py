@@ -164,20 +164,54 @@ def test_history_rows_fit_the_history(spark):
     assert (row.training_cutoff, row.season, row.backtest_version) == ("2024-04-14", 2024, C.BACKTEST_VERSION)
 
 
+def test_history_batches_rewrite_their_months_only(spark, tmp_path):
+    path = str(tmp_path / "history")
+    rows = lambda game, n, at: spark.createDataFrame(
+        [(f"2024-{game:02d}-05", game, 7, n, at)], "game_date string, game_pk int, pitcher_id int, pitch_count int, evaluated_at_utc string")
+    listed = lambda: {d.name: sorted(f.name for f in d.iterdir()) for d in (tmp_path / "history").glob("month=*")}
+    sinks.store_history(rows(4, 10, "a").union(rows(5, 20, "a")), path)
+    files = listed()
+    sinks.store_history(rows(5, 21, "b").union(rows(6, 30, "b")), path)
+    assert listed()["month=2024-04"] == files["month=2024-04"] and listed()["month=2024-05"] != files["month=2024-05"]
+    got = readers.read_history(spark, path)
+    assert sorted((r.game_date, r.pitch_count) for r in got.collect()) == [("2024-04-05", 10), ("2024-05-05", 21), ("2024-06-05", 30)]
+
+
+def test_targets_on_several_dates_are_refused(spark):
+    log = spark.createDataFrame([(1, 1, dt.date(2024, 1, 1))], "pitcher int, game_pk int, game_date date")
+    targets = spark.createDataFrame([(1, dt.date(2024, 1, 5)), (1, dt.date(2024, 1, 6))], "pitcher int, target_date date")
+    with pytest.raises(Exception, match="several dates"):
+        R.before(log, targets).collect()
+
+
 def test_daily_run(spark):
     old = PF.frame(spark, PF.season_log(games=3, per_game=8)).withColumn("ingest_seq", F.lit(0))
     new = old.filter("game_pk = 102").withColumn("ingest_seq", F.lit(1))
     control = spark.createDataFrame([(1, dt.date(2020, 1, 1), dt.date(2024, 6, 1)), (5, dt.date(2020, 1, 1), None)],
                                     "pitcher long, debut date, covered_through date")
-    run = daily.run(old, new, control, control.select("pitcher"), "2025-01-01")
+    refused = spark.createDataFrame([(1, "too short")], "pitcher long, error string")
+    run = daily.run(old, new, control, control.select("pitcher"), "2025-01-01", fit=lambda kg4: refused)
     lines = {(r.pitcher, r.stage): r for r in run.run_log.collect()}
-    assert lines[(1, "modeling")].status == "success"
+    assert (lines[(1, "modeling")].status, lines[(1, "modeling")].error) == ("failed", "too short")
+    assert lines[(1, "feature_engineering")].rows == run.stages.kg4.count()
     assert lines[(5, "download")].error == daily.NO_ROWS and (5, "cleaning") not in lines
     assert lines[(2, "download")].error == daily.STRANGE
-    assert run.log.filter("pitcher = 2").count() == 0
+    # the log of pitchers nobody asked for is still there
+    assert run.log.filter("pitcher = 2").count() == old.filter("pitcher = 2").count() > 0
     assert run.log.filter("pitcher = 1 AND game_pk = 102 AND ingest_seq = 0").count() == 0
 
 
+def test_a_failed_fetch_leaves_the_log_alone(spark):
+    old = PF.frame(spark, PF.season_log(games=3, per_game=8)).withColumn("ingest_seq", F.lit(0))
+    control = spark.createDataFrame([(1, dt.date(2020, 1, 1), dt.date(2024, 6, 1))], "pitcher long, debut date, covered_through date")
+    lost = spark.createDataFrame([(1, "timeout")], "pitcher long, error string")
+    run = daily.run(old, old.limit(0), control, control.select("pitcher"), "2025-01-01", failures=lost)
+    assert run.log.exceptAll(old).count() == 0 and run.log.count() == old.count()
+    assert run.covered.first().covered_through == dt.date(2024, 6, 1)
+    assert [(r.error, r.status) for r in run.run_log.filter("stage = 'download'").collect()] == [("timeout", "failed")]
+    assert run.run_log.filter("stage = 'modeling'").count() == 0
+
+
 # --- models -----------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def kg4(spark):
