@@ -123,17 +123,29 @@ def season_weight_table(
 
 
 # --- repertoire -------------------------------------------------------------------------------
+def _moves(recent: Column, prior: Column, rules: Rules) -> tuple[Column, Column]:
+    """Whether a class declines and whether it rises."""
+    declines = (prior >= rules.decline_min_prior) & (recent < prior * rules.decline_ratio)
+    below = F.lit(True) if rules.rise_max_prior is None else prior <= rules.rise_max_prior
+    return declines, ~declines & (recent > prior) & (recent >= rules.rise_min_recent) & below
+
+
+def multipliers(recent: Column, prior: Column, rules: Rules = CONTINUOUS) -> tuple[Column, Column]:
+    """Factors for rows of older seasons and of the last one, from a class's usage in both."""
+    declines, rises = _moves(recent, prior, rules)
+    shrink = S.clip((recent + rules.smoothing) / (prior + rules.smoothing), rules.old_floor, 1.0)
+    boost = S.clip(F.lit(1.0) + (recent - prior) * rules.rise_scale, 1.0, rules.recent_cap)
+    return F.when(declines, shrink).otherwise(1.0), F.when(rises, boost).otherwise(1.0)
+
+
 def adjustments(
     df: DataFrame, key: str, label: str, rules: Rules = CONTINUOUS, season: str = "season"
 ) -> DataFrame:
     """Status and multipliers per key and class; keys without a fair comparison have no rows."""
     context = repertoire_context(df, key, season, label, rules.min_recent, rules.min_older).filter("usable")
     recent, prior = F.col("recent_usage"), F.col("prior_usage")
-    declines = (prior >= rules.decline_min_prior) & (recent < prior * rules.decline_ratio)
-    below = F.lit(True) if rules.rise_max_prior is None else prior <= rules.rise_max_prior
-    rises = ~declines & (recent > prior) & (recent >= rules.rise_min_recent) & below
-    shrink = S.clip((recent + rules.smoothing) / (prior + rules.smoothing), rules.old_floor, 1.0)
-    boost = S.clip(F.lit(1.0) + (recent - prior) * rules.rise_scale, 1.0, rules.recent_cap)
+    declines, rises = _moves(recent, prior, rules)
+    old, new = multipliers(recent, prior, rules)
     status = (
         F.when(declines & (recent < rules.inactive_below), rules.inactive_name)
         .when(declines, rules.declining_name)
@@ -144,8 +156,7 @@ def adjustments(
     return context.select(
         key, label, "latest_season", "recent_usage", "prior_usage",
         status.alias("status"),
-        F.when(declines, shrink).otherwise(1.0).alias("old_multiplier"),
-        F.when(rises, boost).otherwise(1.0).alias("recent_multiplier"),
+        old.alias("old_multiplier"), new.alias("recent_multiplier"),
     )
 
 

@@ -21,6 +21,7 @@ from dugout.operators import evaluation as E
 from dugout.operators import sequence as Q
 from dugout.operators import weights as W
 from dugout.operators.groups import settled
+from dugout.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -239,50 +240,75 @@ def _argmax(values: Column, classes: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in classes]), spot)
 
 
+def _summed(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _weighted_counts(prefix: DataFrame, recency: W.Recency | None, rules: W.Rules | None, digits: int) -> DataFrame:
+    """Add ``_weighted``: a date's earlier class counts, each season's with its weights. The seasons of
+    a pitcher are one short array, so the rules are expressions over it."""
+    spot = F.array(F.struct(F.col("_season").alias("season"), F.col("season_counts").alias("counts")))
+    none = F.array().cast("array<struct<season: int, counts: array<bigint>>>")
+    running = F.when(F.exists("season_counts", lambda x: x > 0), spot).otherwise(none)
+    out = prefix.withColumn("_seasons", F.concat(F.coalesce("past", none), running))
+    n = F.size("_seasons")
+    latest = F.try_element_at("_seasons", F.lit(-1))
+    if recency is not None:
+        decay = S.decay_factor(n, recency.start, recency.step, recency.floor)
+        out = out.withColumn("_decay", F.when(n >= 1, decay))
+    zeros = F.transform("season_counts", lambda x: F.lit(0).cast("bigint"))
+    if rules is not None:
+        older = F.filter(F.slice("_seasons", 1, F.greatest(n - 1, F.lit(0))),
+                         lambda s: _summed(s["counts"]) >= rules.min_older)
+        out = out.withColumns({"_older": older, "_latest": latest})
+        pair = F.when(F.size("_older") > 2, F.slice("_older", -2, 2)).otherwise(F.col("_older"))
+        add = lambda a, s: F.zip_with(a, s["counts"], lambda x, y: x + y)
+        out = out.withColumn("_prior", F.aggregate(pair, zeros, add))
+        of_latest, of_prior = _summed(F.col("_latest.counts")), _summed(F.col("_prior"))
+        usable = (n >= 2) & (of_latest >= rules.min_recent) & (F.size("_older") > 0)
+        ones = F.transform("season_counts", lambda x: F.lit(1.0))
+        factor = lambda i: F.when(usable, F.zip_with(
+            F.col("_latest.counts"), F.col("_prior"),
+            lambda c, p: W.multipliers(c / of_latest, p / of_prior, rules)[i])).otherwise(ones)
+        out = out.withColumns({"_old": factor(0), "_new": factor(1)})
+
+    def weighed(s: Column) -> Column:
+        w = F.lit(1.0) if recency is None else F.greatest(
+            F.pow(F.col("_decay"), F.col("_season") - s["season"]), F.lit(recency.minimum))
+        if rules is None:
+            return F.transform(s["counts"], lambda c: c * w)
+        own = F.when(s["season"] == F.col("_latest.season"), F.col("_new")).otherwise(F.col("_old"))
+        return F.zip_with(s["counts"], own, lambda c, m: c * w * m)
+
+    total = F.aggregate(
+        "_seasons", F.transform("season_counts", lambda x: F.lit(0.0)),
+        lambda acc, s: F.zip_with(acc, weighed(s), lambda a, c: a + c),
+        lambda acc: F.transform(acc, lambda x: F.round(x, digits)),
+    )
+    return out.withColumn("_weighted", total)
+
+
 def walk_forward(
     log: DataFrame,
-    classes: list[str],
     names: Log = PITCHES,
     recency: W.Recency | None = W.MILD,
+    rules: W.Rules | None = W.CONTINUOUS,
     min_games: int = 2,
     seed: int = 42,
     digits: int = 12,
 ) -> DataFrame:
-    """Predict every row from the pitcher's earlier dates: recency-weighted majority as the model,
-    stratified draw as the baseline. Rows whose pitcher has too little history keep an error."""
-    classes = sorted(classes)
+    """Predict every row from the pitcher's earlier dates: majority by recency x repertoire weights as
+    the model, stratified draw as the baseline. Rows whose pitcher has too little history keep an
+    error. Every label of the log counts; there are few, and they are looked up first."""
+    labels = log.select(names.label).filter(F.col(names.label).isNotNull()).distinct()
+    classes = sorted(r[0] for r in labels.collect())
     n = len(classes)
-    per_game = game_counts(log, classes, names)
+    # read by both kinds of prefix
+    per_game = cut_lineage(game_counts(log, classes, names))
     prefix = prefix_totals(per_game, n, names)
-    if recency is None:
-        weighted = F.transform("prior_counts", lambda x: x.cast("double"))
-    else:
-        prefix = prefix.join(season_history(per_game, n, names), [names.key, "_season"], "left")
-        past = F.coalesce(F.size("past"), F.lit(0))
-        seasons = past + F.exists("season_counts", lambda x: x > 0).cast("int")
-        prefix = prefix.withColumn(
-            "_decay",
-            F.when(seasons >= 1, S.decay_factor(seasons, recency.start, recency.step, recency.floor)),
-        )
-
-        # weigh each earlier season once, then add its counts to those of the running season
-        seasons_ago = lambda p: F.col("_season") - p["season"]
-        prefix = prefix.withColumn(
-            "past",
-            F.transform(
-                F.coalesce("past", F.array().cast("array<struct<season: int, counts: array<bigint>>>")),
-                lambda p: F.struct(
-                    F.greatest(F.pow(F.col("_decay"), seasons_ago(p)), F.lit(recency.minimum)).alias("w"),
-                    p["counts"].alias("counts"),
-                ),
-            ),
-        )
-        weighted = F.aggregate(
-            "past",
-            F.transform("season_counts", lambda x: x.cast("double")),
-            lambda acc, p: F.zip_with(acc, p["counts"], lambda a, c: a + p["w"] * c),
-            lambda acc: F.transform(acc, lambda x: F.round(x, digits)),
-        )
+    prefix = prefix.join(season_history(per_game, n, names), [names.key, "_season"], "left")
+    prefix = _weighted_counts(prefix, recency, rules, digits)
+    weighted = F.col("_weighted")
     upto = F.expr(
         "transform(sequence(1, size(prior_counts)), i -> aggregate(slice(prior_counts, 1, i), 0L, (a, x) -> a + x))"
     )

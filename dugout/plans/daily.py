@@ -54,7 +54,7 @@ def run(
     none = F.lit(None).cast("string")
     if failures is None:
         failures = asked.limit(0).withColumn("error", none)
-    failures = failures.groupBy("pitcher").agg(F.min("error").alias("_fetch"))
+    failures = failures.join(asked, "pitcher", "left_semi").groupBy("pitcher").agg(F.min("error").alias("_fetch"))
     ranges = H.failed_fetches(ranges, control, failures)
     incoming = incoming.join(failures, "pitcher", "left_anti")
     wanted = incoming.join(asked, "pitcher", "left_semi")

@@ -183,19 +183,23 @@ _CUSTOMER_LOG = """log AS (
   SELECT o_custkey AS pitcher, o_orderkey AS game_pk, CAST(o_orderdate AS DATE) AS game_date, l_linenumber, l_partkey,
          p_type AS pitch_type, CAST(year(o_orderdate) AS INTEGER) AS season
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
-CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+# customers have short careers: the gates are the real ones, the row thresholds are not
+FEW = 5
+RULES = W.Rules(min_recent=FEW, min_older=FEW)
 _H = _hash("game_pk", "l_linenumber", "l_partkey")
 
-_REPLAY = f"""{_CUSTOMER_LOG},
-targets AS (SELECT pitcher, max(game_date) AS target_date FROM log GROUP BY pitcher),
-train AS (SELECT log.*, year(target_date) AS ref FROM log JOIN targets USING (pitcher) WHERE game_date < target_date),
+_MULTIPLIER = "coalesce(CASE WHEN l.season < a.latest_season THEN a.old_multiplier ELSE a.recent_multiplier END, 1.0::DOUBLE)"
+_REPLAY = f"""{_CUSTOMER_LOG.replace("log AS (", "everything AS (", 1)},
+targets AS (SELECT pitcher, max(game_date) AS target_date FROM everything GROUP BY pitcher),
+train AS (SELECT everything.*, year(target_date) AS ref FROM everything JOIN targets USING (pitcher) WHERE game_date < target_date),
+{X.CONTEXT.replace(SALES_LOG, "log AS (SELECT * FROM train)").replace(f">= {X.ENOUGH}", f">= {FEW}")}, {X._C_ADJ},
 careers AS (SELECT pitcher, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay FROM train GROUP BY pitcher),
-totals AS (SELECT pitcher, pitch_type, round(sum(greatest(pow(decay, ref - season), 0.1::DOUBLE)), 12) AS w
-           FROM train JOIN careers USING (pitcher) GROUP BY ALL),
+totals AS (SELECT l.pitcher, l.pitch_type, round(sum(greatest(pow(decay, ref - l.season), 0.1::DOUBLE) * {_MULTIPLIER}), 12) AS w
+           FROM train l JOIN careers USING (pitcher) LEFT JOIN adj a ON a.pitcher = l.pitcher AND a.pitch_type = l.pitch_type GROUP BY ALL),
 calls AS (SELECT pitcher, pitch_type AS model_prediction FROM totals
           QUALIFY row_number() OVER (PARTITION BY pitcher ORDER BY w DESC, pitch_type) = 1),
 {_RANGES},
-game_rows AS (SELECT log.*, {_H} AS h FROM log JOIN targets ON log.pitcher = targets.pitcher AND game_date = target_date),
+game_rows AS (SELECT everything.*, {_H} AS h FROM everything JOIN targets ON everything.pitcher = targets.pitcher AND game_date = target_date),
 replayed AS (
   SELECT g.pitcher, game_pk, game_date, l_linenumber, l_partkey, g.pitch_type AS actual_pitch, model_prediction, r.pitch_type AS baseline_prediction,
          coalesce(model_prediction = g.pitch_type, false) AS model_correct, coalesce(r.pitch_type = g.pitch_type, false) AS baseline_correct
@@ -210,7 +214,7 @@ def _replayed(spark, sf):
     last = log.groupBy("pitcher").agg(F.max("game_date").alias("target_date"))
     targets = log.join(last, "pitcher").filter(F.col("game_date") == F.col("target_date"))
     targets = targets.select("pitcher", "game_pk", "target_date").distinct()
-    return R.replay_day(log, targets, CUSTOMERS, rules=None)
+    return R.replay_day(log, targets, CUSTOMERS, rules=RULES)
 
 
 @query("replay_log", f"WITH {_REPLAY} SELECT {', '.join(_REPLAY_COLUMNS)} FROM replayed")
@@ -261,8 +265,22 @@ gd AS (SELECT pitcher, game_date, count(DISTINCT game_pk) AS games FROM log GROU
 prior_games AS (SELECT t.pitcher, t.game_date, sum(games) AS prior_games FROM t JOIN gd ON gd.pitcher = t.pitcher AND gd.game_date < t.game_date GROUP BY ALL),
 train AS (SELECT t.pitcher, t.game_date, y, d.season, d.pitch_type, sum(n) AS n FROM t JOIN d ON d.pitcher = t.pitcher AND d.game_date < t.game_date GROUP BY ALL),
 careers AS (SELECT pitcher, game_date, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay FROM train GROUP BY ALL),
-totals AS (SELECT pitcher, game_date, pitch_type, sum(n) AS n, round(sum(n * greatest(pow(decay, y - season), 0.1::DOUBLE)), 12) AS w
-           FROM train JOIN careers USING (pitcher, game_date) GROUP BY ALL),
+stot AS (SELECT pitcher, game_date, season, sum(n) AS total FROM train GROUP BY ALL),
+lat AS (SELECT pitcher, game_date, max(season) AS latest_season, count(*) AS seasons FROM stot GROUP BY ALL),
+rel AS (SELECT *, row_number() OVER (PARTITION BY pitcher, game_date ORDER BY season DESC) AS rk
+        FROM stot JOIN lat USING (pitcher, game_date) WHERE season < latest_season AND total >= {FEW}),
+prior_n AS (SELECT pitcher, game_date, pitch_type, sum(n) AS pn FROM train JOIN rel USING (pitcher, game_date, season) WHERE rk <= 2 GROUP BY ALL),
+prior_t AS (SELECT pitcher, game_date, sum(total) AS pt FROM rel WHERE rk <= 2 GROUP BY ALL),
+usages AS (SELECT k.pitcher, k.game_date, k.pitch_type, latest_season, coalesce(c.n, 0) / lt.total AS recent, coalesce(pn / pt, 0.0::DOUBLE) AS prior
+           FROM (SELECT DISTINCT pitcher, game_date, pitch_type FROM train) k JOIN lat USING (pitcher, game_date) JOIN prior_t USING (pitcher, game_date)
+           JOIN stot lt ON lt.pitcher = k.pitcher AND lt.game_date = k.game_date AND lt.season = latest_season
+           LEFT JOIN train c ON c.pitcher = k.pitcher AND c.game_date = k.game_date AND c.season = latest_season AND c.pitch_type = k.pitch_type
+           LEFT JOIN prior_n n ON n.pitcher = k.pitcher AND n.game_date = k.game_date AND n.pitch_type = k.pitch_type
+           WHERE seasons >= 2 AND lt.total >= {FEW}),
+adj AS (SELECT pitcher, game_date, pitch_type, latest_season, {X._smooth(X._C_DECLINE, X._C_RISE)} FROM usages),
+totals AS (SELECT l.pitcher, l.game_date, l.pitch_type, sum(l.n) AS n, round(sum(l.n * greatest(pow(decay, y - l.season), 0.1::DOUBLE) * {_MULTIPLIER}), 12) AS w
+           FROM train l JOIN careers USING (pitcher, game_date)
+           LEFT JOIN adj a ON a.pitcher = l.pitcher AND a.game_date = l.game_date AND a.pitch_type = l.pitch_type GROUP BY ALL),
 calls AS (SELECT pitcher, game_date, pitch_type AS model_prediction FROM totals
           QUALIFY row_number() OVER (PARTITION BY pitcher, game_date ORDER BY w DESC, pitch_type) = 1),
 ranges AS (SELECT pitcher, game_date, pitch_type, sum(n) OVER (PARTITION BY pitcher, game_date ORDER BY pitch_type) - n AS lo,
@@ -279,7 +297,7 @@ forward AS (
 
 
 def _forward(spark, sf):
-    return R.walk_forward(customer_log(spark, sf), CLASSES, CUSTOMERS)
+    return R.walk_forward(customer_log(spark, sf), CUSTOMERS, rules=RULES)
 
 
 @query("walk_forward", f"""

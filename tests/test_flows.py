@@ -136,7 +136,7 @@ def test_replay_uses_earlier_dates_only(spark):
 
 def test_walk_forward_equals_replay_of_each_game(spark):
     log = simple_log(spark)
-    forward = R.walk_forward(log, ["CH", "FF", "SL"], NAMES)
+    forward = R.walk_forward(log, NAMES)
     rows = {(r.pitcher, r.game_pk, r.n): r for r in forward.collect()}
     assert rows[(1, 10, 0)].error == "No pre-game history exists."
     assert rows[(1, 11, 0)].error == "At least two games are required."
@@ -152,12 +152,14 @@ def test_walk_forward_equals_replay_of_each_game(spark):
 
 def test_unknown_label_does_not_break_the_walk(spark):
     log = simple_log(spark).withColumn("pitch_type", F.lit("ZZ"))
-    assert {r.error for r in R.walk_forward(log, ["FF", "SL"], NAMES).collect()} == {"No pre-game history exists."}
+    rows = R.walk_forward(log, NAMES).collect()
+    assert {r.model_prediction for r in rows if r.error is None} == {"ZZ"}
+    assert {r.error for r in rows} == {None, "No pre-game history exists.", "At least two games are required."}
 
 
 def test_history_rows_fit_the_history(spark):
     log = simple_log(spark)
-    games = R.walk_forward_games(R.walk_forward(log, ["CH", "FF", "SL"], NAMES), NAMES)
+    games = R.walk_forward_games(R.walk_forward(log, NAMES), NAMES)
     rows = R.history_rows(games, NAMES)
     assert set(rows.columns) <= set(C.HISTORY_TYPES)
     row = rows.filter("game_pk = 13").first()
