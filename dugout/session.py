@@ -62,3 +62,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder, so a lost executor costs no recompute of what led here."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this session has kept in the shared folder. For the end of a run: results not yet
+    written elsewhere may still read from it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

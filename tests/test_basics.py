@@ -296,3 +296,14 @@ def test_single_match(spark):
         H.single_match(df, F.col("id") == 9, "x")
     with pytest.raises(LookupError, match="ambiguous"):
         H.single_match(df, F.col("id") > 0, "x")
+
+
+def test_scratch_goes_at_the_end_of_a_run(spark):
+    from dugout import session
+
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    session.drop_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert session.cut_lineage(spark.range(3)).count() == 3
