@@ -10,7 +10,9 @@
    spanning forests of the likeliest pairs are kept per run of rows and tree: however a group is
    divided in two, the eight likeliest pairs across are among them (all, in a group of up to 16), so a group of n near copies sends
    on the order of n pairs and hangs together by any of them.
-4. Every candidate pair is confirmed on the full sets, and confirmed links give the components.
+4. Every candidate pair is confirmed on the full sets, and confirmed links give components.
+5. What the windows and forests leave open is done whole: in every run of more than ``WINDOW`` classes with
+   three minima in common, all pairs of different components are compared (``minhash_runs``).
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; texts of
 fewer than five words have their whole sequence as one shingle; repeated texts share a class; a null
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dugout.llm import minhash_runs as R
 from dugout.llm import text as T
 from dugout.llm.components import components
 from dugout.llm.membership import marked, without
@@ -95,8 +98,7 @@ def _orders(classes: DataFrame) -> DataFrame:
             if not n:
                 continue
             values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, -1)
-            low = values[:, 1::2] & 15
-            packed = low[:, ::2] << 4 | low[:, 1::2]
+            packed = _packed(values)
             keys = values.reshape(n, TREES, 2 * DEPTH)
             sketch = pa.FixedSizeBinaryArray.from_buffers(
                 pa.binary(packed.shape[1]), n, [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
@@ -109,19 +111,29 @@ def _orders(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(run, "tree int, key binary, id bigint, sketch binary")
 
 
+def _packed(values: np.ndarray) -> np.ndarray:
+    """Four bits of each minimum of signatures given as bytes, two to a byte."""
+    low = values[:, 1::2] & 15
+    return low[:, ::2] << 4 | low[:, 1::2]
+
+
+def _likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimated similarity of pairs of packed signatures."""
+    agree = _NIBBLES[one ^ other].sum(1, dtype=np.int64) / (one.shape[1] * 2)
+    return (agree - 1 / 16) / (1 - 1 / 16)
+
+
 def _pairs(batch, fresh: int) -> list[tuple[int, int]]:
     """Candidate pairs of sorted rows that hold at least one row from ``fresh`` on."""
     tree, key, ids, sketch = batch
     lo, hi, like = [], [], []
-    total = sketch.shape[1] * 2
     for step in range(1, min(WINDOW, len(ids) - 1) + 1):
         begin = max(0, fresh - step)
         i = np.flatnonzero((tree[begin:-step] == tree[begin + step :])
                            & (key[begin:-step] == key[begin + step :]).all(1)) + begin
         if not len(i):
             continue
-        agree = _NIBBLES[sketch[i] ^ sketch[i + step]].sum(1, dtype=np.int64) / total
-        likeness = (agree - 1 / 16) / (1 - 1 / 16)
+        likeness = _likeness(sketch[i], sketch[i + step])
         near = (likeness >= CLEARLY_LESS) & (ids[i] != ids[i + step])
         i, likeness = i[near], likeness[near]
         lo.append(np.minimum(ids[i], ids[i + step]))
@@ -177,11 +189,9 @@ def candidates(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str = "doc_id",
-              text: str = "text") -> DataFrame:
-    """Those of ``pairs`` whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = kept(wanted.join(classes.select("id", "d1", "d2"), "id"), "forest-wanted")
+def members(docs: DataFrame, classes: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, members): the full sets of those of ``classes`` that the distinct ``ids`` name."""
+    wanted = kept(ids.join(classes.select("id", "d1", "d2"), "id"), "forest-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
@@ -195,15 +205,44 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     texts = marked(texts, F.col("id"), wanted.select("id")).filter("_m_maybe").select("id", "text")
     sets = texts.mapInArrow(run, "id bigint, d1 bigint, d2 bigint, members array<bigint>")
-    members = kept(sets.join(wanted, ["id", "d1", "d2"]).select("id", "members"), "forest-sets")
+    return kept(sets.join(wanted, ["id", "d1", "d2"]).select("id", "members"), "forest-sets")
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str = "doc_id",
+              text: str = "text") -> DataFrame:
+    """Those of ``pairs`` whose full sets are similar enough."""
+    sets = members(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), doc_id, text)
     both = (
-        pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("_a")), "a")
-        .join(members.select(F.col("id").alias("b"), F.col("members").alias("_b")), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("_a")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("members").alias("_b")), "b")
     )
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.filter(100 * shared >= PERCENT * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
+def remaining(docs: DataFrame, classes: DataFrame, found: DataFrame, doc_id: str = "doc_id",
+              text: str = "text") -> DataFrame:
+    """Confirmed links (a, b) between different components of ``found`` (id, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, -1)
+            first = values.view(">u2").reshape(n, TREES, DEPTH)[:, :, :LEAST_DEPTH].astype(np.int64)
+            runs = (np.arange(TREES) << 48) + (first << 16 * np.arange(LEAST_DEPTH)).sum(2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("n"), batch.column("part"),
+                 pa.array([s.tobytes() for s in _packed(values)], pa.binary()),
+                 pa.array(list(runs), pa.list_(pa.int64()))], ["id", "n", "part", "sketch", "runs"])
+
+    parts = classes.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("part"), "signature")
+    parts = kept(parts.mapInArrow(run, "id bigint, n bigint, part bigint, sketch binary, runs array<bigint>"), "forest-parts")
+    return R.links(parts, lambda ids: members(docs, classes, ids, doc_id, text), WINDOW,
+                   R.screened(_likeness, CLEARLY_LESS, PERCENT), R.linked(PERCENT))
+
+
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     prepare(docs.sparkSession)
@@ -215,6 +254,9 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     pairs = kept(candidates(classes), "forest-pairs")
     links = kept(confirmed(docs, classes, pairs, doc_id, text), "forest-links")
     found = components(links)
+    rest = kept(remaining(docs, classes, found, doc_id, text), "forest-links")
+    if not rest.isEmpty():
+        found = components(links.union(rest))
     of_class = kept(
         classes.select("n", "d1", "d2", "id").join(found, "id", "left")
         .select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id")), "forest-components")

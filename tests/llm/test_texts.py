@@ -89,6 +89,41 @@ def test_forest_finds_the_plain_groups(spark, rows):
     assert odd.kept.all() and odd.component_id.isna().all()
 
 
+def family(size, planted):
+    """Texts alike at 0.72 by a long passage; ids 2k and 2k + 1 of the first ``planted`` pairs at 0.77."""
+    passage, made = prose(256, 900, 5000), []
+    for i in range(size):
+        own = [f"own{i}w{k}" for k in range(48)]
+        if i % 2 and i < 2 * planted:
+            own[:9] = [f"own{i - 1}w{k}" for k in range(9)]
+        made.append((i, passage + " " + " ".join(own)))
+    return made
+
+
+def test_pairs_in_a_family_below_the_threshold_are_found(spark):
+    made = family(700, 100)
+    sets = [shingles(t) for _, t in made]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 1) > 0.765 and max(alike(0, 2), alike(300, 301)) < 0.73
+    got = minhash_forest.grouped(spark.createDataFrame(made, "doc_id bigint, text string")).collect()
+    groups = {r.doc_id: r.component_id for r in got}
+    assert all(groups[i] == (i - 1 if i % 2 and i < 200 else i) for i in range(700))
+
+
+@pytest.mark.parametrize("rows, wide", [(64, 4096), (2048, 50)])
+def test_blocks_of_runs_do_not_change_the_links(spark, monkeypatch, rows, wide):
+    from dugout.llm import minhash_runs
+
+    monkeypatch.setattr(minhash_runs, "ROWS", rows)
+    members = np.random.default_rng(1).integers(0, 40, (30, 25))
+    sets = [np.unique(m) for m in members]
+    monkeypatch.setattr(minhash_runs, "WIDE", wide // 10)
+    shared = minhash_runs._shared(np.concatenate(sets), np.array([len(s) for s in sets]), np.arange(30), np.arange(5, 30))
+    assert (shared == [[len(set(a) & set(b)) for b in map(set, sets[5:])] for a in map(set, sets)]).all()
+    got = minhash_forest.grouped(spark.createDataFrame(family(200, 30), "doc_id bigint, text string")).collect()
+    assert all(r.component_id == (r.doc_id - 1 if r.doc_id % 2 and r.doc_id < 60 else r.doc_id) for r in got)
+
+
 def test_forest_stage_keeps_columns(docs, none):
     out = minhash_forest.without_copies(clashing(docs))
     assert out.columns == clashing(docs).columns
