@@ -7,12 +7,12 @@
    is crowded, the window lies deep, where it is thin, down to a prefix of three minima (two sets of
    similarity 0.75 share it in one of the 16 trees with probability 0.9998).
 3. Candidates whose signatures disagree clearly are left out. Of the others, eight edge-disjoint
-   spanning forests of the likeliest pairs are kept per run of rows and tree: however a group is
-   divided in two, the eight likeliest pairs across are among them (all, in a group of up to 16), so a group of n near copies sends
-   on the order of n pairs and hangs together by any of them.
+   spanning forests of the likeliest pairs go first per run of rows and tree: however a group is
+   divided in two, the eight likeliest pairs across are among them (all, in a group of up to 16), so
+   a group of n near copies is mostly joined by on the order of n pairs. The rest waits for step 5.
 4. Every candidate pair is confirmed on the full sets, and confirmed links give components.
-5. What the windows and forests leave open is done whole: in every run of more than ``WINDOW`` classes with
-   three minima in common, all pairs of different components are compared (``minhash_runs``).
+5. What the windows and forests leave open is done whole: in every run of classes with three minima
+   in common, all pairs that confirmed links have not joined are compared (``minhash_runs``).
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; texts of
 fewer than five words have their whole sequence as one shingle; repeated texts share a class; a null
@@ -41,7 +41,7 @@ WINDOW = 32
 PERCENT = 75
 CLEARLY_LESS = 0.58  # estimate of 128 minima; similarity 0.75 falls below once in 100,000 pairs
 SURE, SURE_FORESTS = 0.88, 3  # fewer suffice for pairs as likely as this
-FORESTS = 8  # likeliest pairs kept across any division of a group
+FORESTS = 8  # likeliest pairs confirmed first across any division of a group
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(75))
@@ -239,7 +239,7 @@ def remaining(docs: DataFrame, classes: DataFrame, found: DataFrame, doc_id: str
 
     parts = classes.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("part"), "signature")
     parts = kept(parts.mapInArrow(run, "id bigint, n bigint, part bigint, sketch binary, runs array<bigint>"), "forest-parts")
-    return R.links(parts, lambda ids: members(docs, classes, ids, doc_id, text), WINDOW,
+    return R.links(parts, lambda ids: members(docs, classes, ids, doc_id, text),
                    R.screened(_likeness, CLEARLY_LESS, PERCENT), R.linked(PERCENT))
 
 

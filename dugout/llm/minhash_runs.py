@@ -164,15 +164,15 @@ def linked(percent: int):
     return run
 
 
-def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], more_than: int, screen, link) -> DataFrame:
+def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], screen, link) -> DataFrame:
     """(a, b) confirmed between different components of ``classes`` (id, n, part, sketch, runs: an
-    array of tree << 48 | prefix) that share a run of ``more_than`` rows or more; ``sets_of`` gives (id, members) of a table of distinct ids."""
+    array of tree << 48 | prefix); ``sets_of`` gives (id, members) of a table of distinct ids."""
     each = classes.select("id", "n", "part", F.explode("runs").alias("run"))
     runs = each.groupBy("run").agg(
         F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_members"), F.min("part").alias("_low"),
         F.max("part").alias("_high"))
     runs = kept(
-        runs.filter((F.col("_low") != F.col("_high")) & (F.col("_rows") > more_than)).select(
+        runs.filter("_low <> _high").select(
             "run", F.greatest(F.ceil(F.col("_rows") / ROWS), F.ceil(F.col("_members") / MEMBERS)).cast("int").alias("_blocks")),
         "runs-open")
     rows = classes.select("id", "n", "part", "sketch", "runs", F.explode("runs").alias("run"))

@@ -110,6 +110,13 @@ def test_pairs_in_a_family_below_the_threshold_are_found(spark):
     assert all(groups[i] == (i - 1 if i % 2 and i < 200 else i) for i in range(700))
 
 
+def test_pairs_that_no_forest_sends_are_brought_back(spark, monkeypatch):
+    nothing = lambda classes: classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    monkeypatch.setattr(minhash_forest, "candidates", nothing)
+    got = minhash_forest.grouped(spark.createDataFrame(family(24, 12), "doc_id bigint, text string")).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 @pytest.mark.parametrize("rows, wide", [(64, 4096), (2048, 50)])
 def test_blocks_of_runs_do_not_change_the_links(spark, monkeypatch, rows, wide):
     from dugout.llm import minhash_runs
