@@ -1,6 +1,6 @@
 """Weighted classifiers on KG4-like tables, with Spark ML.
 
-Two ways to fit: one pooled model with the pitcher as a feature, which is one distributed job
+Two ways to fit: one pooled model with the pitcher's class shares as features, which is one distributed job
 whatever the number of pitchers, and one model per pitcher for the bounded list of a day's
 starters, whose fits run side by side.
 """
@@ -275,6 +275,7 @@ class Training:
     test_predictions: DataFrame
     errors: DataFrame  # keys that cannot be split, with the reason
     forest: Forest
+    shares: DataFrame | None = None  # of the pooled production model: join to rows by ``with_shares``
 
 
 def train(
@@ -294,36 +295,55 @@ def train(
     """Chronological split, weights from training rows alone, fit, score against the baseline, then
     refit on everything with the caller's reference season.
 
-    ``pooled`` adds the key as a categorical input, so one model serves all pitchers. Beyond
-    ``KEY_SLOTS`` keys share slots by hash, so the input's width does not grow with the keys. Keys with
-    a single game are in no part of the split; they are listed in ``errors``.
+    ``pooled`` adds each key's class shares among the rows fitted on as numeric inputs, so one model
+    serves all pitchers: as many inputs as classes, whatever the number of keys, and a key's inputs
+    depend on its own rows alone. Keys with a single game are in no part of the split; they are listed
+    in ``errors``.
     """
     log = prepare_log(kg4, date)
-    if pooled:
-        log = log.withColumn("_who", key_slot(log, key))
     if cols is None:
         cols = feature_columns(log, extra_excluded=["weight", "is_test"])
-    if pooled:
-        cols = Columns(cols.numeric, [*cols.text, "_who"])
     # every fit reads its input many times: keep it in the shared checkpoint folder, not in executors
     log = cut_lineage(log)
     parts = P.chronological_split(log, key, game, date, fraction)
     train_rows = parts.filter(~F.col("is_test")).drop("is_test")
     test_rows = parts.filter("is_test").drop("is_test")
     weighted = W.training_weights(train_rows, key, LABEL, rules=rules)
-    evaluated = fit_forest(cut_lineage(weighted), cols, "weight", forest)
+    shares = None
+    told = lambda rows: rows
+    if pooled:
+        classes = sorted(r[0] for r in log.select(LABEL).distinct().collect())
+        cols = Columns([*cols.numeric, *[f"_share_{i}" for i in range(len(classes))]], cols.text)
+        own = settled(class_shares(train_rows, key, classes))
+        shares = cut_lineage(class_shares(log, key, classes))
+        told = lambda rows: with_shares(rows, own, key)
+    evaluated = fit_forest(cut_lineage(told(weighted)), cols, "weight", forest)
     ranges = B.class_ranges(train_rows, [key], LABEL)
-    scored_train = predict(evaluated, train_rows)
-    scored_test = B.stratified(predict(evaluated, test_rows), ranges, [key], LABEL, list(row_id), seed)
+    scored = lambda rows: predict(evaluated, told(rows)).select(
+        *rows.columns, "model_prediction", "probabilities", "model_confidence")
+    scored_train = scored(train_rows)
+    scored_test = B.stratified(scored(test_rows), ranges, [key], LABEL, list(row_id), seed)
     metrics = _metrics(parts, scored_train, scored_test, key, game)
-    everything = cut_lineage(W.training_weights(log, key, LABEL, reference=reference, rules=rules))
+    everything = W.training_weights(log, key, LABEL, reference=reference, rules=rules)
+    everything = cut_lineage(with_shares(everything, settled(shares), key) if pooled else everything)
     production = fit_forest(everything, cols, "weight", forest)
     alone = log.groupBy(key).agg(F.countDistinct(game).alias("_games")).filter("_games < 2")
     errors = alone.select(key, F.lit("modeling").alias("stage"), F.lit(S.FEW_GAMES).alias("error"))
-    return Training(production, metrics, scored_test, errors, forest)
+    return Training(production, metrics, scored_test, errors, forest, shares)
+
+
+def class_shares(rows: DataFrame, key: str, classes: list[str], label: str = LABEL) -> DataFrame:
+    """(_key, _share_0, ...): which share of a key's rows has each of ``classes``."""
+    return rows.groupBy(F.col(key).alias("_key")).agg(
+        *[F.avg((F.col(label) == c).cast("double")).alias(f"_share_{i}") for i, c in enumerate(classes)])
+
+
+def with_shares(rows: DataFrame, shares: DataFrame, key: str = "pitcher") -> DataFrame:
+    """``rows`` with their key's class shares; a key without any has NULL."""
+    return rows.join(shares, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
-KEY_SLOTS = 1024  # of the pooled model's key input
+KEY_SLOTS = 1024  # of ``key_slot``
 
 
 def key_slot(log: DataFrame, key: str, slots: int = KEY_SLOTS) -> Column:

@@ -281,6 +281,20 @@ def test_pooled_training_names_keys_with_one_game(spark, kg4):
     assert [(r.pitcher, r.error) for r in trained.errors.collect()] == [(2, "At least two games are required.")]
 
 
+def test_more_keys_do_not_change_the_inputs_of_a_key(spark, kg4):
+    some = kg4.filter("pitcher = 1")
+    many = some.filter("game_pk = 100").limit(1).drop("pitcher").crossJoin(
+        spark.range(5000, 5000 + L.KEY_SLOTS).select(F.col("id").cast(some.schema["pitcher"].dataType).alias("pitcher")))
+    few, more = (L.train(log, 2024, forest=SMALL, cols=L.Columns([], []))
+                 for log in (some, some.unionByName(many)))
+    assert few.production.cols == more.production.cols and not few.production.cols.text
+    own = few.shares.first()
+    assert own == more.shares.filter("_key = 1").first() and abs(sum(own[1:]) - 1) < 1e-9
+    assert more.shares.count() == L.KEY_SLOTS + 1
+    scored = L.predict(few.production, L.with_shares(some, few.shares))
+    assert scored.filter("model_prediction IS NULL").isEmpty()
+
+
 def test_many_keys_share_slots(spark):
     log = spark.range(50).select(F.col("id").alias("pitcher"))
     assert log.select(L.key_slot(log, "pitcher", 50)).distinct().count() == 50
