@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dugout.llm import (
-    ann_partitions, flat_graph, language_zstd, license_scan, minhash_forest, mixing, packing_binary, quality_qda, secret_scan, warc_index,
+    ann_partitions, conversation_repair, flat_graph, html_text, language_zstd, license_scan, minhash_forest, mixing, packing_binary,
+    periodic_runs, quality_qda, secret_scan, warc_index,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +159,96 @@ def op2(spark, sf_dir):
 def op4(spark, sf_dir):
     """Links and components of near-equal vectors."""
     return flat_graph.grouped(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_host_suffixes")
+def op11(spark, sf_dir):
+    """The main text of every page."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def repair_sql() -> str:
+    """The repair as a recursion over rows: per state the least (cost, audit, lines), compared as structs."""
+    def edit(state: str, letter: str, cost: str, line: str = "") -> str:
+        grown = f"{state}.lines || chr(10) || {line}" if line else f"{state}.lines"
+        return (f"CASE WHEN {state} IS NOT NULL THEN {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', "
+                f"'lines': {grown}}} END")
+
+    insert = lambda state, role: edit(state, "I", "2", f"'{role}:'")
+    delete = lambda state: edit(state, "D", "3")
+    rerole = lambda state, role: edit(state, "R", "2 + cut", f"'{role}:' || text")
+    kept = lambda state, letter: f"CASE WHEN letter = '{letter}' THEN {edit(state, 'K', 'cut', "role || ':' || text")} END"
+    free = lambda *options: "CASE WHEN NOT gone THEN least(" + ", ".join(options) + ") END"
+    state = "STRUCT(cost BIGINT, audit VARCHAR, lines VARCHAR)"
+    return f"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS steps
+    FROM range(256) bytes(b)
+), keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                          lambda d: ascii(d)::BIGINT),
+                           lambda c, d: xor(c >> 8, steps[(xor(c, d) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind
+    FROM conversations, crc
+), after AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM keyed WHERE kind <> 0
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS letter,
+           NOT regexp_matches(text, '[^ \\t-\\r]') AS empty
+    FROM after
+), judged AS (
+    SELECT *, NOT empty AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+           lag(letter) OVER (PARTITION BY conv_id ORDER BY i) || letter AS pair
+    FROM numbered
+), lines AS (
+    SELECT *, empty OR again AS gone,
+           (NOT empty AND NOT again AND NOT regexp_matches(text, '[.!?][ \\t-\\r]*$'))::INT AS cut
+    FROM judged
+), counts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (empty) AS blank, count(*) FILTER (again) AS duplicate, sum(cut)::BIGINT AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM lines GROUP BY conv_id
+), best AS (
+    SELECT conv_id, 0::BIGINT AS i, {{'cost': 0, 'audit': '', 'lines': ''}}::{state} AS s0, NULL::{state} AS ss, NULL::{state} AS su, NULL::{state} AS sa
+    FROM counts
+    UNION ALL
+    SELECT conv_id, i, {delete('s0')}::{state} AS s0, least({delete('ss')}, {free(kept('s0', 's'), 'NULL')})::{state} AS ss,
+           least({delete('u2')}, {free(rerole('s0', 'user'), rerole('ss', 'user'), rerole('a2', 'user'), kept('s0', 'u'), kept('ss', 'u'), kept('a2', 'u'))})::{state} AS su,
+           least({delete('a2')}, {free(rerole('u2', 'assistant'), kept('u2', 'a'))})::{state} AS sa
+    FROM (
+        SELECT *, least(u1, {free(insert('a1', 'user'), 'NULL')}) AS u2, least(a1, {free(insert('u1', 'assistant'), 'NULL')}) AS a2
+        FROM (
+            SELECT best.conv_id, l.i, role, text, letter, gone, cut, s0, ss,
+                   least(su, {free(insert('s0', 'user'), insert('ss', 'user'), insert('sa', 'user'))}) AS u1,
+                   least(sa, {free(insert('su', 'assistant'), 'NULL')}) AS a1
+            FROM best JOIN lines l ON l.conv_id IS NOT DISTINCT FROM best.conv_id AND l.i = best.i + 1
+        )
+    )
+), ended AS (
+    SELECT b.conv_id, unnest([least(s0, sa, {edit('su', 'I', '2', repr('assistant:'))},
+        CASE WHEN ss IS NOT NULL THEN {{'cost': ss.cost + 4, 'audit': ss.audit || 'II', 'lines': ss.lines || chr(10) || 'user:' || chr(10) || 'assistant:'}} END)]) AS least
+    FROM best b JOIN counts c ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = c.n
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(least.cost, 0) AS cost,
+       coalesce(least.audit, '') AS audit, sha256(substr(coalesce(least.lines, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op12_audit_repair", repair_sql())
+def op12(spark, sf_dir):
+    """Faults and cheapest repair of every damaged conversation."""
+    return conversation_repair.repaired(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    """Periodic runs of words in every text, a tenth of them with a repeated tail."""
+    return periodic_runs.analysis(table(spark, sf_dir, "documents"), damage=True)
