@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from dugout.llm import html_markup as H
 from dugout.llm import text as T
 from dugout.llm.store import kept, prepare
+from dugout.operators.groups import settled
 
 RUN = 8  # tokens of a run, a power of two
 LEAST_PAGES = 5
@@ -182,7 +183,8 @@ def host_runs(pages: DataFrame) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("pages"), F.sum(F.octet_length("html")).alias("bytes"))
              .filter(F.col("pages") >= LEAST_PAGES)
              .select(F.col("host").alias("sized"), F.ceil(F.coalesce("bytes", F.lit(0)) / PART + F.lit(1e-9)).alias("parts")))
-    dealt = pages.join(sizes, F.col("host") == F.col("sized")).select(
+    # one row per host, counted before it is broadcast: the html is shuffled for no join
+    dealt = pages.join(settled(sizes), F.col("host") == F.col("sized")).select(
         "host", F.pmod(F.xxhash64("page_id", "url", "html"), "parts").alias("part"), "html")
     tokens = dealt.mapInArrow(_tokens, "host string, part bigint, digest binary, tokens binary")
     runs = tokens.groupBy("host", "part").applyInPandas(_runs, "host string, run bigint")
