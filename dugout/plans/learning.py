@@ -1,14 +1,12 @@
 """Weighted classifiers on KG4-like tables, with Spark ML.
 
-Two ways to fit: one pooled model with the pitcher's class shares as features, which is one distributed job
-whatever the number of pitchers, and one model per pitcher for the bounded list of a day's
-starters, whose fits run side by side.
+Two ways to fit: one pooled model with the pitcher's class shares as features, with Spark ML's forest,
+and a forest per pitcher, all pitchers at once, with ``trees``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,7 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
+    OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -29,12 +27,15 @@ from dugout import columns as C
 from dugout.functions import scalar as S
 from dugout.operators import baselines as B
 from dugout.operators import evaluation as E
+from dugout.operators import quantiles
 from dugout.operators import split as P
 from dugout.operators import weights as W
 from dugout.operators.groups import settled
+from dugout.plans import trees
 from dugout.session import cut_lineage
 
 LABEL = "pitch_type"
+NO_ROWS = "No rows to train on."
 # fixed values: stand-ins for missing input
 MISSING_NUMBER = -999.0
 MISSING_TEXT = "Missing"
@@ -49,6 +50,7 @@ class Forest:
     seed: int = 42
     max_bins: int = 64
     bootstrap: bool = True
+    min_split: int = 20  # rows; of forests per key only, Spark ML's have no such setting
 
 
 @dataclass(frozen=True)
@@ -149,10 +151,10 @@ class Fitted:
         return Fitted(PipelineModel.load(f"{path}/pipeline"), list(about.classes), cols, ways[about.prepare])
 
 
-def _fit(train: DataFrame, cols: Columns, stages: list, label: str, prepare=impute_constants) -> Fitted:
+def _fit(train: DataFrame, cols: Columns, encoding: Callable[[DataFrame], list], classifier, label: str, prepare=impute_constants) -> Fitted:
     rows = prepare(train.filter(F.col(label).isNotNull()), cols)
     labels = _label_stage(label).fit(rows)
-    model = Pipeline(stages=[labels, *stages]).fit(rows)
+    model = Pipeline(stages=[labels, *encoding(rows), classifier]).fit(rows)
     return Fitted(model, list(labels.labels), cols, prepare)
 
 
@@ -166,15 +168,21 @@ def fit_forest(
         seed=forest.seed, maxBins=forest.max_bins,
         **({"weightCol": weight} if weight else {}),
     )
-    return _fit(train, cols, [*_encoding(cols), classifier], label)
+    return _fit(train, cols, lambda rows: _encoding(cols), classifier, label)
 
 
-def _linear_encoding(cols: Columns) -> list:
-    """Median imputation and standardised numbers beside one-hot text, for linear models."""
+def _linear_encoding(cols: Columns, rows: DataFrame) -> list:
+    """Median imputation and standardised numbers beside one-hot text, for linear models.
+
+    The medians are exact, from ``rows`` (the training rows), and become part of the pipeline. A column
+    without any value gets 0.
+    """
     stages: list = []
     if cols.numeric:
+        middle = quantiles.medians(rows, cols.numeric)
+        filled = ", ".join(f"coalesce(nanvl(`{c}`, NULL), {float(middle[c] or 0.0)!r}D) AS `_im_{c}`" for c in cols.numeric)
         stages += [
-            Imputer(strategy="median", inputCols=cols.numeric, outputCols=[f"_im_{c}" for c in cols.numeric]),
+            SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
             VectorAssembler(inputCols=[f"_im_{c}" for c in cols.numeric], outputCol="_numbers"),
             StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
         ]
@@ -199,13 +207,13 @@ def fit_logistic(
     classifier = LogisticRegression(
         featuresCol="_features", labelCol="_label", family="multinomial", maxIter=iterations, regParam=penalty
     )
-    return _fit(train, cols, [*_linear_encoding(cols), classifier], label, _linear_prepare)
+    return _fit(train, cols, lambda rows: _linear_encoding(cols, rows), classifier, label, _linear_prepare)
 
 
 def fit_svm(train: DataFrame, cols: Columns, label: str = LABEL, iterations: int = 5000, penalty: float = 1e-4) -> Fitted:
     one = LinearSVC(featuresCol="_features", labelCol="_label", maxIter=iterations, regParam=penalty)
     classifier = OneVsRest(classifier=one, featuresCol="_features", labelCol="_label")
-    return _fit(train, cols, [*_linear_encoding(cols), classifier], label, _linear_prepare)
+    return _fit(train, cols, lambda rows: _linear_encoding(cols, rows), classifier, label, _linear_prepare)
 
 
 def fit_boosting(
@@ -216,7 +224,7 @@ def fit_boosting(
         minInstancesPerNode=20, seed=42,
     )
     classifier = OneVsRest(classifier=one, featuresCol="_features", labelCol="_label")
-    return _fit(train, cols, [*_encoding(cols), classifier], label)
+    return _fit(train, cols, lambda rows: _encoding(cols), classifier, label)
 
 
 def predict(fitted: Fitted, rows: DataFrame) -> DataFrame:
@@ -270,7 +278,7 @@ def prepare_log(kg4: DataFrame, date: str = "game_date") -> DataFrame:
 class Training:
     """Evaluated on the last games, refitted on all of them."""
 
-    production: Fitted
+    production: Fitted | trees.KeyForests
     metrics: DataFrame
     test_predictions: DataFrame
     errors: DataFrame  # keys that cannot be split, with the reason
@@ -291,14 +299,16 @@ def train(
     seed: int = 42,
     row_id: list[str] = ("game_pk", "pitcher", "at_bat_number_of_game", "pitch_number_of_ab"),
     rules: W.Rules | None = W.CONTINUOUS,
+    each: bool = False,
 ) -> Training:
     """Chronological split, weights from training rows alone, fit, score against the baseline, then
     refit on everything with the caller's reference season.
 
     ``pooled`` adds each key's class shares among the rows fitted on as numeric inputs, so one model
     serves all pitchers: as many inputs as classes, whatever the number of keys, and a key's inputs
-    depend on its own rows alone. Keys with a single game are in no part of the split; they are listed
-    in ``errors``.
+    depend on its own rows alone. ``each`` grows a forest for every key instead, all of them in the
+    same jobs (``trees``); ``pooled`` has no part in it. Keys with a single game are in no part of the
+    split; they are listed in ``errors``.
     """
     log = prepare_log(kg4, date)
     if cols is None:
@@ -311,22 +321,27 @@ def train(
     weighted = W.training_weights(train_rows, key, LABEL, rules=rules)
     shares = None
     told = lambda rows: rows
-    if pooled:
+    fit = lambda rows: fit_forest(rows, cols, "weight", forest)
+    call = predict
+    if each:
+        fit = lambda rows: fit_each(rows, cols, key, "weight", forest, list(row_id))
+        call = predict_each
+    elif pooled:
         classes = sorted(r[0] for r in log.select(LABEL).distinct().collect())
         cols = Columns([*cols.numeric, *[f"_share_{i}" for i in range(len(classes))]], cols.text)
         own = settled(class_shares(train_rows, key, classes))
         shares = cut_lineage(class_shares(log, key, classes))
         told = lambda rows: with_shares(rows, own, key)
-    evaluated = fit_forest(cut_lineage(told(weighted)), cols, "weight", forest)
+    evaluated = fit(cut_lineage(told(weighted)))
     ranges = B.class_ranges(train_rows, [key], LABEL)
-    scored = lambda rows: predict(evaluated, told(rows)).select(
+    scored = lambda rows: call(evaluated, told(rows)).select(
         *rows.columns, "model_prediction", "probabilities", "model_confidence")
     scored_train = scored(train_rows)
     scored_test = B.stratified(scored(test_rows), ranges, [key], LABEL, list(row_id), seed)
     metrics = _metrics(parts, scored_train, scored_test, key, game)
     everything = W.training_weights(log, key, LABEL, reference=reference, rules=rules)
-    everything = cut_lineage(with_shares(everything, settled(shares), key) if pooled else everything)
-    production = fit_forest(everything, cols, "weight", forest)
+    everything = cut_lineage(with_shares(everything, settled(shares), key) if shares is not None else everything)
+    production = fit(everything)
     alone = log.groupBy(key).agg(F.countDistinct(game).alias("_games")).filter("_games < 2")
     errors = alone.select(key, F.lit("modeling").alias("stage"), F.lit(S.FEW_GAMES).alias("error"))
     return Training(production, metrics, scored_test, errors, forest, shares)
@@ -343,16 +358,6 @@ def with_shares(rows: DataFrame, shares: DataFrame, key: str = "pitcher") -> Dat
     return rows.join(shares, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
-KEY_SLOTS = 1024  # of ``key_slot``
-
-
-def key_slot(log: DataFrame, key: str, slots: int = KEY_SLOTS) -> Column:
-    """The key as a category: itself where there are at most ``slots`` keys, else a hashed bucket."""
-    few = log.select(key).distinct().limit(slots + 1).count() <= slots
-    name = F.col(key).cast("string")
-    return name if few else F.concat(F.lit("slot "), F.pmod(F.xxhash64(name), F.lit(slots)).cast("string"))
-
-
 def _metrics(parts: DataFrame, scored_train: DataFrame, scored_test: DataFrame, key: str, game: str) -> DataFrame:
     """One record per key: data set sizes, split sizes, accuracies, baseline and lift."""
     sizes = parts.groupBy(key).agg(
@@ -407,25 +412,34 @@ def nested_metrics(metrics: DataFrame, forest: Forest, key: str = "pitcher") ->
     )
 
 
+def fit_each(
+    train: DataFrame, cols: Columns, key: str = "pitcher", weight: str | None = None, forest: Forest = Forest(),
+    row_id: list[str] = ("game_pk", "pitcher", "at_bat_number_of_game", "pitch_number_of_ab"), label: str = LABEL,
+) -> trees.KeyForests:
+    """A weighted forest of its own for every key."""
+    rows = impute_constants(train.filter(F.col(label).isNotNull()), cols)
+    return trees.fit_each(rows, key, label, weight, cols.numeric, cols.text, forest, list(row_id))
+
+
+def predict_each(forests: trees.KeyForests, rows: DataFrame) -> DataFrame:
+    """``predict`` with the forest of each row's key; columns that ``rows`` lack count as missing."""
+    cols = Columns(forests.numeric, forests.text)
+    absent = {c: F.lit(None).cast("double") for c in cols.numeric if c not in rows.columns}
+    absent |= {c: F.lit(None).cast("string") for c in cols.text if c not in rows.columns}
+    return trees.predict_each(forests, rows, lambda df: impute_constants(df, cols), absent)
+
+
 def train_each(
-    kg4: DataFrame, pitchers: list[int], reference: int, at_once: int = 4, key: str = "pitcher", **kw
-) -> tuple[dict[int, Training], DataFrame]:
-    """One model per pitcher of a day's list. Each fit is a set of distributed jobs; a few run side
-    by side. A pitcher that cannot be trained becomes an error row and does not stop the others."""
-    spark = kg4.sparkSession
-
-    def one(p: int):
-        try:
-            return p, train(kg4.filter(F.col(key) == p), reference, key, pooled=False, **kw), None
-        except Exception as e:  # noqa: BLE001 - reported per pitcher
-            return p, None, (p, "modeling", type(e).__name__, str(e))
-
-    with ThreadPoolExecutor(at_once) as pool:
-        results = list(pool.map(one, pitchers))
-    errors = spark.createDataFrame(
-        [e for _, _, e in results if e], f"{key} bigint, stage string, error_type string, error string"
-    )
-    return {p: t for p, t, _ in results if t}, errors
+    kg4: DataFrame, pitchers: list[int], reference: int | None = None, key: str = "pitcher", **kw
+) -> tuple[Training, DataFrame]:
+    """One model per pitcher of a day's list, all grown in the same jobs. A pitcher that cannot be
+    trained becomes an error row and does not stop the others."""
+    log = kg4.filter(F.col(key).isin([int(p) for p in pitchers]))
+    trained = train(log, reference, key, each=True, **kw)
+    asked = kg4.sparkSession.createDataFrame([(int(p),) for p in pitchers], f"{key} bigint").distinct()
+    known = prepare_log(log, kw.get("date", "game_date")).select(F.col(key).cast("bigint").alias(key)).distinct()
+    absent = asked.join(known, key, "left_anti").select(key, F.lit("modeling").alias("stage"), F.lit(NO_ROWS).alias("error"))
+    return trained, trained.errors.withColumn(key, F.col(key).cast("bigint")).unionByName(absent)
 
 
 # --- experiments ------------------------------------------------------------------------------

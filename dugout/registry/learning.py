@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from dugout.operators import quantiles as Q
 from dugout.operators import split as P
 from dugout.operators import weights as W
+from dugout import columns as C
 from dugout.plans import learning as L
 from dugout.plans import stages
 from dugout.registry import query
@@ -27,6 +29,9 @@ EXACT = L.Forest(trees=1, depth=30, min_leaf=1, features="all", bootstrap=False)
 WIDE = L.Forest(trees=20, depth=10)
 ROUNDS = 10
 SVM_ROUNDS = 30
+STUMP = L.Forest(trees=1, depth=1, features="all", bootstrap=False)
+EACH = L.Forest(trees=12, depth=6)
+ROW = ["game_pk", "pitcher", "at_bat_number_of_game", "pitch_number_of_ab"]
 
 
 def _outcomes(spark, sf):
@@ -81,12 +86,15 @@ def one_hot(spark, sf):
 
 
 @query("standardize", """
-SELECT event_id, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_samp(value) FROM events), 6) AS scaled FROM events""")
+WITH gaps AS (SELECT event_id, CASE WHEN event_id % 4 <> 1 THEN value END AS value FROM events),
+filled AS (SELECT event_id, coalesce(value, (SELECT median(value) FROM gaps)) AS value FROM gaps)
+SELECT event_id, round((value - (SELECT avg(value) FROM filled)) / (SELECT stddev_samp(value) FROM filled), 6) AS scaled FROM filled""")
 def standardize(spark, sf):
+    """Gaps get the exact median, then numbers are centred and scaled."""
     from pyspark.ml import Pipeline
 
-    rows = event_log(spark, sf).select("event_id", "value")
-    out = Pipeline(stages=L._linear_encoding(L.Columns(["value"], []))).fit(rows).transform(rows)
+    rows = event_log(spark, sf).select("event_id", F.when(F.col("event_id") % 4 != 1, F.col("value")).alias("value"))
+    out = Pipeline(stages=L._linear_encoding(L.Columns(["value"], []), rows)).fit(rows).transform(rows)
     return out.select("event_id", F.round(vector_to_array("_features")[0], 6).alias("scaled"))
 
 
@@ -234,12 +242,7 @@ def ablation_forest(spark, sf):
     return out.select("pitcher", *[F.round(c, 6).alias(c) for c in out.columns if c != "pitcher"])
 
 
-@query("forest_train_evaluate", S.TRAINED)
-def forest_train_evaluate(spark, sf):
-    """The metrics record of every pitcher, from one pooled model, flattened."""
-    trained = L.train(
-        sales_log(spark, sf), forest=EXACT, cols=L.Columns([], []), row_id=["game_pk", "l_linenumber", "l_partkey"],
-        rules=X.CONTINUOUS)
+def _flat_record(trained):
     record = L.nested_metrics(trained.metrics, trained.forest)
     whole = ["career_seasons", "career_games", "career_pitches", "train_games", "test_games", "train_pitches", "test_pitches",
              "evaluation_reference_season"]
@@ -251,6 +254,15 @@ def forest_train_evaluate(spark, sf):
         F.col("method").alias("split_method"), "weighting_method", "n_estimators", "max_depth", "bootstrap")
 
 
+@query("forest_train_evaluate", S.TRAINED)
+def forest_train_evaluate(spark, sf):
+    """The metrics record of every pitcher, from one pooled model, flattened."""
+    trained = L.train(
+        sales_log(spark, sf), forest=EXACT, cols=L.Columns([], []), row_id=["game_pk", "l_linenumber", "l_partkey"],
+        rules=X.CONTINUOUS)
+    return _flat_record(trained)
+
+
 @query("replay_with_forest", S.YEARS_REPLAYED)
 def replay_with_forest(spark, sf):
     """Every year of every pitcher replayed with a model of the years before it."""
@@ -267,3 +279,107 @@ def replay_with_forest(spark, sf):
     days = backtest.replay_days(log, cut_lineage(pending), fit, names)
     results = [backtest.game_results(rows, ["pitcher", "game_date"]) for _, rows in days]
     return L.comparison(results).select("pitcher", "game_date", "pitch_count", "model_correct", "baseline_correct")
+
+
+# --- a forest per pitcher, all inputs of the feature log -------------------------------------------
+_TEXT = """events_of_prev_ab bb_type_of_prev_ab game_type stand p_throws home_team away_team inning_topbot if_fielding_alignment
+    of_fielding_alignment description_of_prev_pitch type_of_prev_pitch pitch_type_of_prev_pitch count count_state""".split()
+_NUMBERS = [c for c in C.KG4 if c not in _TEXT and c not in C.NOT_FEATURES]
+INPUTS = L.Columns(_NUMBERS, _TEXT)
+_TRAINABLE = "kg3 WHERE pitch_type IS NOT NULL AND game_pk IS NOT NULL AND game_date IS NOT NULL"
+_LONG = f"""trainable AS (SELECT *, row_number() OVER () AS r FROM {_TRAINABLE}),
+numbers AS (SELECT r, pitcher, pitch_type, unnest(range({len(_NUMBERS)})) AS input,
+                   unnest([{", ".join(f'coalesce(CAST("{c}" AS DOUBLE), -999.0::DOUBLE)' for c in _NUMBERS)}]) AS value FROM trainable),
+texts AS (SELECT r, pitcher, pitch_type, unnest(range({len(_TEXT)})) AS place,
+                 unnest([{", ".join(f"coalesce(\"{c}\", 'Missing')" for c in _TEXT)}]) AS category FROM trainable)"""
+
+
+def _feature_log(spark, sf):
+    return cut_lineage(G._rounded(L.prepare_log(_kg4(spark, sf))))
+
+
+@query("forest_stumps", f"""
+WITH {G._KG3_SQL}, {_LONG},
+ordered AS (SELECT input, value, row_number() OVER (PARTITION BY input ORDER BY value) AS place, count(*) OVER (PARTITION BY input) AS n,
+                   max(value) OVER (PARTITION BY input) AS most FROM numbers),
+cuts AS (SELECT input, value AS cut, row_number() OVER (PARTITION BY input ORDER BY value) AS number FROM (
+    SELECT DISTINCT input, value FROM ordered JOIN range(1, 64) j(j) ON place = (j * n + 63) // 64 WHERE value < most)),
+categories AS (SELECT place, category, {len(_NUMBERS)} - 1 + row_number() OVER (ORDER BY place, category) AS input FROM (SELECT DISTINCT place, category FROM texts)),
+totals AS (SELECT pitcher, pitch_type, count(*) AS t FROM trainable GROUP BY ALL),
+cells AS (
+    SELECT pitcher, b.input, coalesce(number, 0) AS bin, pitch_type, count(*) AS n
+    FROM numbers b ASOF LEFT JOIN cuts ON b.input = cuts.input AND b.value > cuts.cut GROUP BY ALL
+    UNION ALL
+    SELECT o.pitcher, o.input, 0, o.pitch_type, t - coalesce(n, 0)
+    FROM (SELECT * FROM totals, (SELECT input FROM categories)) o
+    LEFT JOIN (SELECT pitcher, input, pitch_type, count(*) AS n FROM texts JOIN categories USING (place, category) GROUP BY ALL) h
+        ON h.pitcher = o.pitcher AND h.input = o.input AND h.pitch_type = o.pitch_type),
+places AS (SELECT DISTINCT pitcher, input, bin FROM cells WHERE n > 0),
+lefts AS (SELECT p.pitcher, p.input, p.bin, c.pitch_type, sum(n)::BIGINT AS l FROM places p JOIN cells c ON c.pitcher = p.pitcher AND c.input = p.input AND c.bin <= p.bin GROUP BY ALL),
+whole AS (SELECT pitcher, sum(t)::BIGINT AS rows, round(sum(CAST(t AS DOUBLE) * t) / (CAST(rows AS DOUBLE) * rows), 10) AS own FROM totals GROUP BY pitcher),
+sides AS (SELECT pitcher, input, bin, sum(coalesce(l, 0))::BIGINT AS ln, sum(t - coalesce(l, 0))::BIGINT AS rn, sum(CAST(coalesce(l, 0) AS DOUBLE) * coalesce(l, 0)) AS l2,
+                 sum(CAST(t - coalesce(l, 0) AS DOUBLE) * (t - coalesce(l, 0))) AS r2
+          FROM (SELECT p.*, pitch_type, t FROM places p JOIN totals USING (pitcher)) LEFT JOIN lefts USING (pitcher, input, bin, pitch_type) GROUP BY ALL),
+best AS (SELECT pitcher, input, bin, round((l2 / ln + r2 / rn) / rows, 10) - own AS gain FROM sides JOIN whole USING (pitcher)
+         WHERE ln >= 5 AND rn >= 5 AND rows >= 20 AND gain > 1e-10
+         QUALIFY row_number() OVER (PARTITION BY pitcher ORDER BY round((l2 / ln + r2 / rn) / rows, 10) DESC, input, bin) = 1),
+names AS (SELECT unnest(range({len(_NUMBERS)})) AS input, unnest({_NUMBERS!r}) AS feature
+          UNION ALL SELECT input, ({_TEXT!r})[place + 1] || '=' || category FROM categories)
+SELECT w.pitcher, w.rows, feature, CASE WHEN best.input >= {len(_NUMBERS)} THEN 0.0::DOUBLE ELSE round(cut, 6) END AS cut, round(coalesce(gain, 0.0::DOUBLE), 8) AS gain
+FROM whole w LEFT JOIN best USING (pitcher) LEFT JOIN names USING (input) LEFT JOIN cuts ON cuts.input = best.input AND cuts.number = best.bin + 1""")
+def forest_stumps(spark, sf):
+    """The best first split of every pitcher over every cut of every input."""
+    forests = L.fit_each(_feature_log(spark, sf), INPUTS, forest=STUMP)
+    names = F.array(*[F.lit(c if v is None else f"{c}={v}") for c, v in forests.bins.inputs])
+    # the cuts of numbers; a category is split at 0
+    flat = [float(v) for c, v in forests.bins.inputs if v is None for v in forests.bins.cuts[c]]
+    first, total = [], 0
+    for c in forests.numeric:
+        first.append(total)
+        total += len(forests.bins.cuts[c])
+    at, bin_ = F.col("feature")[0], F.col("bin")[0]
+    cut = F.element_at(F.array(*[F.lit(v) for v in flat]), F.element_at(F.array(*[F.lit(v) for v in first]), at + 1) + bin_ + 1)
+    share = F.col("gain")[0] / F.aggregate(F.col("weights")[0], F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return forests.trees.select(
+        "pitcher", F.col("rows")[0].alias("rows"), F.when(at >= 0, F.element_at(names, at + 1)).alias("feature"),
+        F.when(at >= len(INPUTS.numeric), 0.0).when(at >= 0, F.round(cut, 6)).alias("cut"), F.round(share, 8).alias("gain"))
+
+
+@query("forest_each", f"""
+WITH {G._KG3_SQL} SELECT pitcher, game_pk, at_bat_number_of_game, pitch_number_of_ab, true AS sums_to_one, true AS is_largest, true AS of_the_pitcher
+FROM {_TRAINABLE}""")
+def forest_each(spark, sf):
+    """A bootstrapped forest per pitcher on all inputs: what holds of each row's prediction."""
+    log = _feature_log(spark, sf)
+    out = L.predict_each(L.fit_each(log, INPUTS, forest=EACH), log)
+    own = log.groupBy(F.col("pitcher").alias("_of")).agg(F.collect_set("pitch_type").alias("_own"))
+    p = F.map_values("probabilities")
+    return out.join(own, F.col("pitcher") == F.col("_of")).select(
+        *["pitcher", "game_pk", "at_bat_number_of_game", "pitch_number_of_ab"],
+        (F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        (F.element_at("probabilities", F.col("model_prediction")) == F.col("model_confidence")).alias("is_largest"),
+        F.array_contains("_own", F.col("model_prediction")).alias("of_the_pitcher"))
+
+
+@query("forest_train_each", S.TRAINED.replace("1 AS n_estimators, 30 AS max_depth", "1 AS n_estimators, 1 AS max_depth"))
+def forest_train_each(spark, sf):
+    """The metrics record of every pitcher from a model per pitcher; without a telling input a tree is
+    its root, the pitcher's weighted majority."""
+    log = sales_log(spark, sf).withColumn("constant", F.lit(1.0))
+    trained, _ = L.train_each(
+        log, [r[0] for r in log.select("pitcher").distinct().collect()], forest=STUMP, cols=L.Columns(["constant"], []),
+        row_id=["game_pk", "l_linenumber", "l_partkey"], rules=X.CONTINUOUS)
+    return _flat_record(trained)
+
+
+@query("exact_medians", f"""
+WITH {G._KG3_SQL}, trainable AS (SELECT * FROM {_TRAINABLE}),
+long AS (SELECT unnest({_NUMBERS!r}) AS feature, unnest([{", ".join(f'CAST("{c}" AS DOUBLE)' for c in _NUMBERS)}]) AS value FROM trainable)
+SELECT feature, round(median(value), 6) AS median, count(value) AS n, count(value) % 2 = 0 AS is_even FROM long GROUP BY feature""")
+def exact_medians(spark, sf):
+    """The median of every number of the feature log, with NULLs left out, in a few scans for all."""
+    log = _feature_log(spark, sf)
+    middle = Q.medians(log, _NUMBERS)
+    table = spark.createDataFrame([(c, middle[c]) for c in _NUMBERS], "feature string, median double")
+    counts = log.select([F.count(F.col(c)).alias(c) for c in _NUMBERS]).unpivot([], _NUMBERS, "feature", "n")
+    return table.join(counts, "feature").select("feature", F.round("median", 6).alias("median"), "n", (F.col("n") % 2 == 0).alias("is_even"))

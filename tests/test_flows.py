@@ -264,14 +264,14 @@ def test_evaluation_weights_see_training_rows_only(spark):
 def test_train_reports_failures_and_results(spark, kg4):
     one_game = kg4.filter("pitcher = 2 AND game_pk = 100")
     log = kg4.filter("pitcher = 1").unionByName(one_game)
-    models, errors = L.train_each(log, [1, 2], 2024, at_once=2, forest=SMALL, cols=COLS)
-    assert list(models) == [1]
-    assert [(r.pitcher, r.stage) for r in errors.collect()] == [(2, "modeling")]
-    m = models[1].metrics.first()
-    assert (m.train_games, m.test_games, m.career_games) == (4, 1, 5)
+    trained, errors = L.train_each(log, [1, 2, 3], 2024, forest=SMALL, cols=COLS)
+    assert sorted((r.pitcher, r.stage, r.error) for r in errors.collect()) == [(2, "modeling", "At least two games are required."), (3, "modeling", L.NO_ROWS)]
+    m = trained.metrics.first()
+    assert (m.train_games, m.test_games, m.career_games) == (4, 1, 5) and trained.metrics.count() == 1
     assert m.train_pitches + m.test_pitches == m.career_pitches
-    nested = L.nested_metrics(models[1].metrics, models[1].forest).first()
+    nested = L.nested_metrics(trained.metrics, trained.forest).first()
     assert nested.evaluation.test_games == 1 and nested.random_forest.n_estimators == SMALL.trees
+    assert {r.pitcher for r in trained.production.trees.select("pitcher").distinct().collect()} == {1, 2}
 
 
 def test_pooled_training_names_keys_with_one_game(spark, kg4):
@@ -284,23 +284,17 @@ def test_pooled_training_names_keys_with_one_game(spark, kg4):
 def test_more_keys_do_not_change_the_inputs_of_a_key(spark, kg4):
     some = kg4.filter("pitcher = 1")
     many = some.filter("game_pk = 100").limit(1).drop("pitcher").crossJoin(
-        spark.range(5000, 5000 + L.KEY_SLOTS).select(F.col("id").cast(some.schema["pitcher"].dataType).alias("pitcher")))
+        spark.range(5000, 5000 + 1024).select(F.col("id").cast(some.schema["pitcher"].dataType).alias("pitcher")))
     few, more = (L.train(log, 2024, forest=SMALL, cols=L.Columns([], []))
                  for log in (some, some.unionByName(many)))
     assert few.production.cols == more.production.cols and not few.production.cols.text
     own = few.shares.first()
     assert own == more.shares.filter("_key = 1").first() and abs(sum(own[1:]) - 1) < 1e-9
-    assert more.shares.count() == L.KEY_SLOTS + 1
+    assert more.shares.count() == 1024 + 1
     scored = L.predict(few.production, L.with_shares(some, few.shares))
     assert scored.filter("model_prediction IS NULL").isEmpty()
 
 
-def test_many_keys_share_slots(spark):
-    log = spark.range(50).select(F.col("id").alias("pitcher"))
-    assert log.select(L.key_slot(log, "pitcher", 50)).distinct().count() == 50
-    assert log.select(L.key_slot(log, "pitcher", 8)).distinct().count() <= 8
-
-
 def test_replay_days_with_a_forest(spark, kg4):
     pending = kg4.filter("pitcher = 1 AND game_pk >= 103").select("pitcher", "game_pk", F.col("game_date").alias("target_date")).distinct()
     seen = []
