@@ -245,8 +245,9 @@ def _summed(counts: Column) -> Column:
 
 
 def _weighted_counts(prefix: DataFrame, recency: W.Recency | None, rules: W.Rules | None, digits: int) -> DataFrame:
-    """Add ``_weighted``: a date's earlier class counts, each season's with its weights. The seasons of
-    a pitcher are one short array, so the rules are expressions over it."""
+    """Add ``_weighted``: a date's earlier class counts, each season's with its weights, and ``_factors``:
+    the weight of each season and class. The seasons of a pitcher are one short array, so the rules are
+    expressions over it."""
     spot = F.array(F.struct(F.col("_season").alias("season"), F.col("season_counts").alias("counts")))
     none = F.array().cast("array<struct<season: int, counts: array<bigint>>>")
     running = F.when(F.exists("season_counts", lambda x: x > 0), spot).otherwise(none)
@@ -272,6 +273,14 @@ def _weighted_counts(prefix: DataFrame, recency: W.Recency | None, rules: W.Rule
             lambda c, p: W.multipliers(c / of_latest, p / of_prior, rules)[i])).otherwise(ones)
         out = out.withColumns({"_old": factor(0), "_new": factor(1)})
 
+    def factors(s: Column) -> Column:
+        w = F.lit(1.0) if recency is None else F.greatest(
+            F.pow(F.col("_decay"), F.col("_season") - s["season"]), F.lit(recency.minimum))
+        if rules is None:
+            return F.transform(s["counts"], lambda c: w)
+        own = F.when(s["season"] == F.col("_latest.season"), F.col("_new")).otherwise(F.col("_old"))
+        return F.transform(own, lambda m: w * m)
+
     def weighed(s: Column) -> Column:
         w = F.lit(1.0) if recency is None else F.greatest(
             F.pow(F.col("_decay"), F.col("_season") - s["season"]), F.lit(recency.minimum))
@@ -280,6 +289,7 @@ def _weighted_counts(prefix: DataFrame, recency: W.Recency | None, rules: W.Rule
         own = F.when(s["season"] == F.col("_latest.season"), F.col("_new")).otherwise(F.col("_old"))
         return F.zip_with(s["counts"], own, lambda c, m: c * w * m)
 
+    out = out.withColumn("_factors", F.transform("_seasons", lambda s: F.struct(s["season"].alias("season"), factors(s).alias("factor"))))
     total = F.aggregate(
         "_seasons", F.transform("season_counts", lambda x: F.lit(0.0)),
         lambda acc, s: F.zip_with(acc, weighed(s), lambda a, c: a + c),
@@ -288,6 +298,18 @@ def _weighted_counts(prefix: DataFrame, recency: W.Recency | None, rules: W.Rule
     return out.withColumn("_weighted", total)
 
 
+def date_weights(
+    log: DataFrame, classes: list[str], names: Log = PITCHES, recency: W.Recency | None = W.MILD, rules: W.Rules | None = W.CONTINUOUS
+) -> DataFrame:
+    """Per pitcher and date: games before it, and the training weight that each season and class (in
+    the order of ``classes``) has for a model of that date. From one pass over the log."""
+    per_game = cut_lineage(game_counts(log, classes, names))
+    prefix = prefix_totals(per_game, len(classes), names)
+    prefix = prefix.join(season_history(per_game, len(classes), names), [names.key, "_season"], "left")
+    weighted = _weighted_counts(prefix, recency, rules, 12)
+    return weighted.select(names.key, names.date, "prior_games", F.col("_factors").alias("factors"))
+
+
 def walk_forward(
     log: DataFrame,
     names: Log = PITCHES,

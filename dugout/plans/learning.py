@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
+    LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
@@ -31,7 +31,7 @@ from dugout.operators import quantiles
 from dugout.operators import split as P
 from dugout.operators import weights as W
 from dugout.operators.groups import settled
-from dugout.plans import trees
+from dugout.plans import boosting, trees
 from dugout.session import cut_lineage
 
 LABEL = "pitch_type"
@@ -216,15 +216,14 @@ def fit_svm(train: DataFrame, cols: Columns, label: str = LABEL, iterations: int
     return _fit(train, cols, lambda rows: _linear_encoding(cols, rows), classifier, label, _linear_prepare)
 
 
-def fit_boosting(
-    train: DataFrame, cols: Columns, label: str = LABEL, iterations: int = 300, rate: float = 0.05, depth: int = 5
-) -> Fitted:
-    one = GBTClassifier(
-        featuresCol="_features", labelCol="_label", maxIter=iterations, stepSize=rate, maxDepth=depth,
-        minInstancesPerNode=20, seed=42,
-    )
-    classifier = OneVsRest(classifier=one, featuresCol="_features", labelCol="_label")
-    return _fit(train, cols, lambda rows: _encoding(cols), classifier, label)
+def fit_boosting(train: DataFrame, cols: Columns, label: str = LABEL, plan: boosting.Boosting = boosting.Boosting(), row_id: list[str] | None = None) -> boosting.Boosted:
+    """Softmax boosting with a tree per class and round."""
+    return boosting.fit(impute_constants(train, cols), cols.numeric, cols.text, label, plan, row_id)
+
+
+def predict_boosted(model: boosting.Boosted, rows: DataFrame) -> DataFrame:
+    cols = Columns(model.numeric, model.text)
+    return boosting.predict(model, rows, lambda df: impute_constants(df, cols))
 
 
 def predict(fitted: Fitted, rows: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from dugout.operators import quantiles as Q
 from dugout.operators import split as P
 from dugout.operators import weights as W
 from dugout import columns as C
+from dugout.plans import boosting
 from dugout.plans import learning as L
 from dugout.plans import stages
 from dugout.registry import query
@@ -27,7 +28,8 @@ from dugout.session import cut_lineage, scratch_path
 # settings of the models below, one value each
 EXACT = L.Forest(trees=1, depth=30, min_leaf=1, features="all", bootstrap=False)
 WIDE = L.Forest(trees=20, depth=10)
-ROUNDS = 10
+ROUNDS = 5
+BOOSTING = boosting.Boosting(rounds=ROUNDS, rate=0.3, depth=3)
 SVM_ROUNDS = 30
 STUMP = L.Forest(trees=1, depth=1, features="all", bootstrap=False)
 EACH = L.Forest(trees=12, depth=6)
@@ -194,9 +196,22 @@ def linear_svm(spark, sf):
 
 @query("gradient_boosting", _CERTAIN)
 def gradient_boosting(spark, sf):
+    """A separable label comes back from a few rounds of a tree per class."""
     rows = cut_lineage(_outcomes(spark, sf))
-    fitted = L.fit_boosting(rows, KIND, label="certain", iterations=ROUNDS)
-    return L.predict(fitted, rows.select("event_id", "kind")).select("event_id", "model_prediction")
+    model = L.fit_boosting(rows, KIND, "certain", BOOSTING, ["event_id"])
+    return L.predict_boosted(model, rows.select("event_id", "kind")).select("event_id", "model_prediction")
+
+
+@query("boosting_losses", f"""
+WITH {_OUTCOMES} SELECT n::INTEGER AS round, true AS learned_falls, true AS held_out_known FROM range(1, {ROUNDS + 1}) r(n) WHERE EXISTS (FROM rows)""")
+def boosting_losses(spark, sf):
+    """The log loss of the rows learned from falls in every round."""
+    rows = cut_lineage(_outcomes(spark, sf))
+    model = L.fit_boosting(rows, L.Columns(["value", "digit"], ["kind"]), "pitch_type", BOOSTING, ["event_id"])
+    learned = [x for x, _ in model.losses]
+    before = [float("inf"), *learned]
+    table = [(i + 1, bool(x < before[i]), h is not None) for i, (x, h) in enumerate(model.losses)]
+    return spark.createDataFrame(table, "round int, learned_falls boolean, held_out_known boolean")
 
 
 @query("model_comparison", f"""
@@ -383,3 +398,40 @@ def exact_medians(spark, sf):
     table = spark.createDataFrame([(c, middle[c]) for c in _NUMBERS], "feature string, median double")
     counts = log.select([F.count(F.col(c)).alias(c) for c in _NUMBERS]).unpivot([], _NUMBERS, "feature", "n")
     return table.join(counts, "feature").select("feature", F.round("median", 6).alias("median"), "n", (F.col("n") % 2 == 0).alias("is_even"))
+
+
+# --- a fitted model for every date ------------------------------------------------------------------
+@query("walk_forward_fitted", f"""
+WITH {S._FORWARD}
+SELECT pitcher, game_pk, l_linenumber, l_partkey, actual_pitch, model_prediction, baseline_prediction, error FROM forward""")
+def walk_forward_fitted(spark, sf):
+    """Trees of all dates at once; without a telling input each is its root, the weighted majority."""
+    from dugout.plans import forward
+
+    log = S.customer_log(spark, sf).withColumn("constant", F.lit(1.0))
+    out = forward.walk_forward(log, L.Columns(["constant"], []), STUMP, S.CUSTOMERS, rules=S.RULES)
+    return out.select("pitcher", "game_pk", "l_linenumber", "l_partkey", "actual_pitch", "model_prediction", "baseline_prediction", "error")
+
+
+@query("walk_forward_forest", f"""
+WITH {G._KG3_SQL}, log AS (SELECT * FROM {_TRAINABLE}),
+games AS (SELECT DISTINCT pitcher, game_pk, game_date FROM log),
+past AS (SELECT a.pitcher, a.game_date, count(b.game_pk) AS n FROM (SELECT DISTINCT pitcher, game_date FROM games) a
+         LEFT JOIN games b ON b.pitcher = a.pitcher AND b.game_date < a.game_date GROUP BY ALL)
+SELECT log.pitcher, game_pk, at_bat_number_of_game, pitch_number_of_ab, n >= 2 AS is_predicted, CASE WHEN n >= 2 THEN true END AS sums_to_one,
+       CASE WHEN n >= 2 THEN true END AS within_history
+FROM log JOIN past USING (pitcher, game_date)""")
+def walk_forward_forest(spark, sf):
+    """A forest per pitcher and date on all inputs: what holds of each prediction."""
+    from dugout.plans import forward
+
+    out = forward.replay(_feature_log(spark, sf), INPUTS, L.Forest(trees=5, depth=4, min_leaf=2, min_split=6))
+    p = F.map_values("probabilities")
+    names = ["pitcher", "game_pk", "at_bat_number_of_game", "pitch_number_of_ab"]
+    seen = out.groupBy(F.col("pitcher").alias("_of"), F.col("pitch_type").alias("_class")).agg(F.min("game_date").alias("_first"))
+    joined = out.join(seen, (F.col("pitcher") == F.col("_of")) & (F.col("model_prediction") == F.col("_class")), "left")
+    predicted = F.col("model_prediction").isNotNull()
+    return joined.select(
+        *names, predicted.alias("is_predicted"),
+        F.when(predicted, F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        F.when(predicted, F.col("_first") < F.col("game_date")).alias("within_history"))

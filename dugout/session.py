@@ -64,8 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, wherever it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this session has kept in the shared folder. For the end of a run: results not yet
     written elsewhere may still read from it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    drop_path(spark, shared_folder(spark))

@@ -160,3 +160,122 @@ def test_order_statistics_are_those_of_sorted_values(spark):
         assert middle[c] == (pytest.approx(statistics.median(values)) if n else None)
         assert cuts[c] == sorted({values[(k * n + 15) // 16 - 1] for k in range(1, 16)} - {values[-1]} if n else set())
     assert Q.medians(df.limit(0), ["a"]) == {"a": None} and Q.medians(df, []) == {}
+
+
+# ---- a model per date
+
+
+@pytest.fixture(scope="module")
+def career(spark):
+    import datetime as dt
+
+    rng = random.Random(5)
+    rows, n = [], 0
+    for key in (1, 2, 3):
+        for game in range(11):
+            day = dt.date(2023, 5, 1) + dt.timedelta(days=100 * game)
+            for _ in range(rng.randint(12, 30)):
+                a, t = rng.randrange(9), rng.choice(["x", "y", None])
+                label = "FF" if a > 4 + key else "SL" if t == "x" else rng.choice(["CU", "FF"])
+                rows.append((n, key, 10 * key + game, day, a, rng.random(), t, label if n % 17 else None))
+                n += 1
+        rows.append((n, key, 10 * key + 30, day, 1, 0.5, "x", "FF"))  # the second game of a day
+        n += 1
+    return spark.createDataFrame(rows, "row int, pitcher int, game_pk int, game_date date, a int, b double, t string, pitch_type string").repartition(4)
+
+
+@pytest.mark.parametrize("most", [T.BLOCK, 100])
+def test_models_of_all_dates_are_those_fitted_date_by_date(career, most):
+    from dugout.operators import weights as W
+    from dugout.plans import backtest as R
+    from dugout.plans import forward
+
+    cols = L.Columns(["a", "b"], ["t"])
+    names = R.Log(row_id=("row",))
+    forest = L.Forest(trees=3, depth=4, min_leaf=2, min_split=5, max_bins=8)
+    rules = W.Rules(min_recent=10, min_older=10)
+    bins = T.bins_of(L.impute_constants(career, cols), cols.numeric, cols.text, 8)
+    log = career.filter("pitcher < 3") if most < T.BLOCK else career
+    got = {r.row: r for r in forward.replay(log, cols, forest, names, bins, rules=rules, most=most).collect()}
+    assert len(got) == log.count()
+
+    def fit(history):
+        rows = history.filter("pitch_type IS NOT NULL").withColumn("_season", F.year("game_date"))
+        weighted = L.impute_constants(W.training_weights(rows, "pitcher", "pitch_type", "_target_season", rules, season="_season"), cols)
+        fitted = T.fit_each(weighted, "pitcher", "pitch_type", "weight", cols.numeric, cols.text, forest, ["row"], bins=bins)
+        return lambda some: L.predict_each(fitted, some)
+
+    played = log.select("pitcher", "game_pk", F.col("game_date").alias("target_date")).distinct()
+    days = sorted(r[0] for r in played.select("target_date").distinct().collect())
+    wanted = [days[2], days[5], days[-1]] if most == T.BLOCK else [days[3]]
+    for _, part in R.replay_days(log, played.filter(F.col("target_date").isin(wanted)), fit, names):
+        for r in part.collect():
+            g = got[r.row]
+            assert (g.model_prediction, sorted(g.probabilities)) == (r.model_prediction, sorted(r.probabilities))
+            assert [g.probabilities[c] for c in sorted(g.probabilities)] == pytest.approx([r.probabilities[c] for c in sorted(r.probabilities)])
+    first = {r.row for r in log.filter(F.col("game_date") <= F.lit(days[1])).collect()}
+    assert all((r.model_prediction is None) == (r.row in first) for r in got.values())
+
+
+# ---- boosting
+
+
+def test_boosting_is_that_of_a_plain_version(spark, log, tmp_path):
+    from dugout.plans import boosting as X
+
+    plan = X.Boosting(rounds=4, rate=0.3, depth=3, min_leaf=4, max_bins=8, held_out=0.2, patience=10)
+    some = log.filter("row < 200 AND label IS NOT NULL")
+    rows = L.impute_constants(some, COLS)
+    model = X.fit(rows, COLS.numeric, COLS.text, "label", plan, ID, block=50)
+    told = sorted((r for r in rows.select("*", F.xxhash64("row").alias("h")).collect()), key=lambda r: r.row)
+    codes = np.array([[sum(cut < r[c] for cut in model.bins.cuts[c]) for c in COLS.numeric] + [int(r.t == v) for v in model.bins.categories["t"]] for r in told])
+    label = np.array([model.classes.index(r.label) for r in told])
+    held = X._held(np.array([r.h for r in told], np.int64).view(np.uint64), plan)
+    scores = np.tile(np.log(np.bincount(label) / len(label)), (len(label), 1))
+    for trees, (loss, _) in zip(model.rounds, model.losses):
+        p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+        y = np.eye(len(model.classes))[label]
+        step = np.zeros_like(scores)
+        for c, tree in enumerate(trees):
+            g, h = p[:, c] - y[:, c], p[:, c] * (1 - p[:, c])
+
+            def grow(node, mine, depth):
+                learn = mine[~held[mine]]
+                G, H = g[learn].sum(), h[learn].sum()
+                f, b, value = tree[node]
+                if len(learn):
+                    assert value == pytest.approx(-plan.rate * G / (H + plan.l2), abs=1e-6)
+                options = []
+                for i in range(codes.shape[1]):
+                    for cut in range(model.bins.size - 1):
+                        low, high = learn[codes[learn, i] <= cut], learn[codes[learn, i] > cut]
+                        if min(len(low), len(high)) >= plan.min_leaf:
+                            options.append(sum(g[s].sum() ** 2 / (h[s].sum() + plan.l2) for s in (low, high)) - G**2 / (H + plan.l2))
+                        if (i, cut) == (f, b):
+                            mine_gain = options[-1]
+                if f < 0:
+                    assert depth == plan.depth or not options or max(options) < 1e-6
+                    step[mine, c] = value
+                    return
+                assert mine_gain == pytest.approx(max(options), abs=1e-6)
+                grow(2 * node, mine[codes[mine, f] <= b], depth + 1)
+                grow(2 * node + 1, mine[codes[mine, f] > b], depth + 1)
+
+            grow(1, np.arange(len(label)), 0)
+        scores = scores + step
+        p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+        assert loss == pytest.approx(-np.log(p[np.arange(len(label)), label])[~held].mean(), abs=1e-6)
+    losses = [x for x, _ in model.losses]
+    assert losses == sorted(losses, reverse=True) and len(set(losses)) == 4
+    model.save(spark, str(tmp_path / "boosted"))
+    out = {r.row: r for r in L.predict_boosted(X.Boosted.load(spark, str(tmp_path / "boosted")), some).collect()}
+    assert [out[r.row].probabilities[model.classes[0]] for r in told] == pytest.approx(p[:, 0].tolist(), abs=1e-6)
+
+
+def test_boosting_stops_early(spark):
+    from dugout.plans import boosting as X
+
+    rng = random.Random(1)
+    noise = spark.createDataFrame([(i, rng.random(), rng.choice("ab")) for i in range(300)], "row int, x double, label string")
+    model = X.fit(noise, ["x"], [], "label", X.Boosting(rounds=30, rate=0.5, depth=2, min_leaf=2, held_out=0.3, patience=2), ["row"])
+    assert len(model.rounds) < 30
