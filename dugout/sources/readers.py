@@ -11,6 +11,7 @@ from dugout import columns as C
 from dugout import schema
 from dugout.functions import scalar as S
 from dugout.operators import evaluation as E
+from dugout.sources import versions
 
 # fixed values: texts that count as missing in the exports
 MISSING = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>", "n/a", "#N/A"]
@@ -186,9 +187,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def read_history(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """The evaluation history with its full set of columns; an absent one is empty."""
-    ddl = ", ".join(f"{c} {t}" for c, t in C.HISTORY_TYPES.items())
+HISTORY_DDL = ", ".join(f"{c} {t}" for c, t in C.HISTORY_TYPES.items())
+
+
+def read_history(spark: SparkSession, path: str, kind: str = "parquet", version: int | None = None) -> DataFrame:
+    """The evaluation history with its full set of columns; an absent one is empty. One stored in
+    versions (``sinks.store_history``) is read at the latest, or at a given one."""
+    ddl = HISTORY_DDL
+    if versions.numbers(spark, path):
+        return versions.read(spark, path, ddl, version)
     if not _exists(spark, path):
         return spark.createDataFrame([], ddl)
     if kind == "parquet":

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 from dugout.operators import history as H
 from dugout.operators.groups import settled
 from dugout.plans.stages import Stages, kg3, kg4, published
 from dugout.session import cut_lineage
-from dugout.sources import readers
+from dugout.sources import readers, versions
 
 KEYED_ORDER = ["pitcher", "game_date", "game_pk", "at_bat_number_of_game", "pitch_number_of_ab"]
 
@@ -56,26 +55,27 @@ def write_prediction_logs(logs: DataFrame, path: str) -> None:
     )
 
 
-def store_history(batch: DataFrame, path: str) -> None:
-    """Record a batch of evaluations in the history at ``path``, which is stored by month.
+def store_history(batch: DataFrame, path: str) -> int:
+    """Record a batch of evaluations in the history at ``path``, which is stored by month in numbered
+    versions (``versions``). Returns the new version.
 
     Only the months that the batch, or a stored row it replaces, belongs to are read whole and
-    rewritten. Their new rows are complete in a staging folder before a month is replaced, so a run
-    that breaks off is repeated with the same batch.
+    rewritten. A row that moves to another month leaves the old one; a month that loses all its rows is
+    gone. Of two writers at once the later one starts again from the earlier one's version.
     """
     spark = batch.sparkSession
     month = F.substring("game_date", 1, 7)
     batch = cut_lineage(H.normalize_history(batch))
-    old = readers.read_history(spark, path)
-    keys = batch.select(*H.HISTORY_KEY).distinct()
-    replaced = old.select("game_date", *H.HISTORY_KEY).join(settled(keys), H.HISTORY_KEY, "left_semi")
-    # a list of months is as long as the calendar at most
-    touched = batch.select("game_date").union(replaced.select("game_date")).select(month).distinct()
-    months = [r[0] for r in touched.collect()]
-    staging = f"{path}__staging"
-    H.record(old.filter(month.isin(months)), batch).write.mode("overwrite").parquet(staging)
-    ready = spark.read.parquet(staging).withColumn("month", month).hint("rebalance", F.col("month"))
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    keys = settled(batch.select(*H.HISTORY_KEY).distinct())
+
+    def change(stored):
+        replaced = stored().select("game_date", *H.HISTORY_KEY).join(keys, H.HISTORY_KEY, "left_semi")
+        # a list of months is as long as the calendar at most
+        touched = batch.select("game_date").union(replaced.select("game_date")).select(month).distinct()
+        months = [r[0] for r in touched.collect()]
+        return months, H.record(stored(months), batch)
+
+    return versions.update(spark, path, readers.HISTORY_DDL, month, change)
 
 
 def write_failures(rows: DataFrame, path: str) -> None:

@@ -13,7 +13,7 @@ from dugout.plans import backtest as R
 from dugout.plans import daily
 from dugout.plans import learning as L
 from dugout.plans import stages
-from dugout.sources import readers, sinks
+from dugout.sources import readers, sinks, versions
 
 SMALL = L.Forest(trees=3, depth=4, min_leaf=1, max_bins=16)
 COLS = L.Columns(["balls", "strikes"], ["count_state"])
@@ -170,11 +170,11 @@ def test_history_batches_rewrite_their_months_only(spark, tmp_path):
     path = str(tmp_path / "history")
     rows = lambda game, n, at: spark.createDataFrame(
         [(f"2024-{game:02d}-05", game, 7, n, at)], "game_date string, game_pk int, pitcher_id int, pitch_count int, evaluated_at_utc string")
-    listed = lambda: {d.name: sorted(f.name for f in d.iterdir()) for d in (tmp_path / "history").glob("month=*")}
     sinks.store_history(rows(4, 10, "a").union(rows(5, 20, "a")), path)
-    files = listed()
+    first = versions.manifest(spark, path)[1]
     sinks.store_history(rows(5, 21, "b").union(rows(6, 30, "b")), path)
-    assert listed()["month=2024-04"] == files["month=2024-04"] and listed()["month=2024-05"] != files["month=2024-05"]
+    second = versions.manifest(spark, path)[1]
+    assert second["2024-04"] == first["2024-04"] and second["2024-05"] != first["2024-05"]
     got = readers.read_history(spark, path)
     assert sorted((r.game_date, r.pitch_count) for r in got.collect()) == [("2024-04-05", 10), ("2024-05-05", 21), ("2024-06-05", 30)]
 
