@@ -48,19 +48,18 @@ def stratified(
 ) -> DataFrame:
     """Random class per row in proportion to the training frequencies.
 
-    The draw is a hash of the row id modulo the training size, looked up in the class ranges: an
-    equi-join on the key with a range test, repeatable whatever the partitioning. Keys without
-    training rows get NULL.
+    The draw is a hash of the row id modulo the training size, repeatable whatever the partitioning. A
+    key's ranges travel as one row, an array of upper ends in which the draw is looked up, so the join
+    does not multiply rows. Keys without training rows get NULL.
     """
-    table = ranges.select(
-        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col(label).alias(out), "lo", "hi", "total"
-    )
-    drawn = rows.withColumn("_h", S.hash_int(seed, *row_id))
-    spot = F.pmod(F.col("_h"), F.col("total"))
-    on = (spot >= F.col("lo")) & (spot < F.col("hi"))
-    for k in keys:
-        on = (F.col(k) == F.col(f"_of_{k}")) & on
-    return drawn.join(settled(table), on, "left").drop("_h", "lo", "hi", "total", *[f"_of_{k}" for k in keys])
+    ends = F.sort_array(F.collect_list(F.struct(F.col("hi").alias("hi"), F.col(label).alias("label"))))
+    table = ranges.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(ends.alias("_ends"), F.max("total").alias("_total"))
+    on = [F.col(k) == F.col(f"_of_{k}") for k in keys]
+    spot = F.pmod(S.hash_int(seed, *row_id), F.col("_total"))
+    drawn = rows.join(settled(table), on, "left").withColumn("_spot", spot)
+    below = F.size(F.filter("_ends", lambda e: e["hi"] <= F.col("_spot")))
+    call = F.when(F.col("_total") > 0, F.element_at("_ends", below + 1)["label"])
+    return drawn.withColumn(out, call).drop("_spot", "_ends", "_total", *[f"_of_{k}" for k in keys])
 
 
 def expected_stratified_accuracy(

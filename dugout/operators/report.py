@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dugout.functions import scalar as S
 from dugout.operators import evaluation as E
+from dugout.operators.groups import settled
+from dugout.session import cut_lineage
 
 
 def evaluated_games(history: DataFrame) -> DataFrame:
@@ -63,6 +67,44 @@ def pooled_totals(df: DataFrame) -> DataFrame:
     ).drop("_m", "_b")
 
 
+@dataclass(frozen=True)
+class Window:
+    """The report of the latest dates."""
+
+    daily: DataFrame
+    totals: DataFrame
+    extremes: DataFrame
+    showcase: DataFrame | None
+
+
+def window_report(
+    history: DataFrame, dates: int, logs: DataFrame | None = None, keys: list[str] = ("game_pk", "pitcher_id"), **showcase_rules
+) -> Window:
+    """Daily figures, pooled totals, extremes and the showcase outing of the latest ``dates`` dates.
+
+    Days and totals are grouping sets of one aggregation: the window is read once, and distinct games
+    and pitchers are counted for both from the same expanded rows. What follows reads that small result.
+    """
+    window = last_dates(evaluated_games(history), dates)
+    both = window.groupingSets([["game_date"], []], "game_date").agg(
+        F.grouping("game_date").alias("_all"),
+        F.countDistinct("game_pk").alias("games"),
+        F.count(F.lit(1)).alias("pitcher_games"),
+        F.countDistinct("pitcher_id").alias("pitchers"),
+        F.sum("pitch_count").alias("pitches"),
+        F.sum("model_correct").alias("model_correct"),
+        F.sum("baseline_correct").alias("baseline_correct"),
+        F.count_if(F.col("model_correct") > F.col("baseline_correct")).alias("beat_baseline"),
+    )
+    both = both.withColumns({
+        "model_accuracy": S.ratio("model_correct", "pitches"), "baseline_accuracy": S.ratio("baseline_correct", "pitches")})
+    both = cut_lineage(both.withColumn("relative_improvement", S.relative_improvement("model_accuracy", "baseline_accuracy")))
+    daily = both.filter("_all = 0").drop("_all", "games", "beat_baseline")
+    totals = both.filter("_all = 1").drop("_all", "game_date", "model_correct", "baseline_correct")
+    best = showcase(window.withColumn("model_accuracy", S.ratio("model_correct", "pitch_count")), logs, list(keys), **showcase_rules) if logs is not None else None
+    return Window(daily, totals, daily_extremes(daily), best)
+
+
 def daily_extremes(daily: DataFrame) -> DataFrame:
     """Lowest and highest relative improvement of a day, and the day of the highest."""
     at = F.struct("relative_improvement", F.col("game_date"))
@@ -227,6 +269,36 @@ def outing_log(log: DataFrame) -> DataFrame:
     )
 
 
+def outing_hits(log: DataFrame, keys: list[str] = ("game_pk", "pitcher"), order: list[str] = ("pitch_number_of_game",)) -> DataFrame:
+    """One row per outing: its pitches, those called right, and the sequence of hits and misses in pitch
+    order as runs, such as ``3 correct, 1 missed``. An outing is some hundred pitches at most, so it is
+    one short array."""
+    pitches = F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], S.hit_label("model_correct").alias("hit"))))
+    outings = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("pitches"), F.count_if("model_correct").alias("correct"), pitches.alias("_p"))
+    none = F.array().cast("array<struct<hit: string, n: int>>")
+
+    def step(runs, p):
+        begun = F.struct(p["hit"].alias("hit"), F.lit(1).alias("n"))
+        longer = F.struct(p["hit"].alias("hit"), (F.try_element_at(runs, F.lit(-1))["n"] + 1).alias("n"))
+        goes_on = F.coalesce(F.try_element_at(runs, F.lit(-1))["hit"] == p["hit"], F.lit(False))
+        return F.when(goes_on, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(runs, F.array(begun)))
+
+    runs = F.aggregate("_p", none, step)
+    told = F.array_join(F.transform("_runs", lambda r: F.concat_ws(" ", r["n"].cast("string"), r["hit"])), ", ")
+    return outings.withColumn("_runs", runs).withColumn("hits", told).drop("_p", "_runs")
+
+
+def outing_repertoire(log: DataFrame, keys: list[str] = ("game_pk", "pitcher"), names: dict[str, str] | None = None) -> DataFrame:
+    """What was thrown in each outing: count and share per class, how often it was called right, and its
+    name."""
+    counts = log.groupBy(*keys, F.col("actual_pitch").alias("pitch")).agg(
+        F.count(F.lit(1)).alias("count"), F.count_if("model_correct").alias("correct"))
+    total = counts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("count").alias("_total"))
+    joined = counts.join(settled(total), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return joined.select(*keys, "pitch", S.lookup("pitch", names or {"": ""}, F.col("pitch")).alias("name"), "count",
+                         S.ratio("count", "_total").alias("thrown"), "correct")
+
+
 def code_legend(log: DataFrame, names: dict[str, str]) -> DataFrame:
     """Every code that was predicted or thrown, with its name (the code itself if it has none)."""
     codes = (

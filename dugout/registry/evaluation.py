@@ -136,6 +136,66 @@ def window_report(spark, sf):
     return _round(R.pooled_totals(R.last_dates(R.evaluated_games(game_history(spark, sf)), 365)), *_POOLED_RATES)
 
 
+@query("window_report_tables", f"""
+WITH {GAME_HISTORY}, days AS (SELECT DISTINCT game_date FROM history ORDER BY game_date DESC LIMIT 365),
+win AS (SELECT * FROM history WHERE game_date IN (SELECT game_date FROM days)),
+rel AS (SELECT *, CASE WHEN b > 0 THEN round((m / p - b / p) / (b / p), 6) END AS rel FROM (
+    SELECT game_date, count(*) AS starts, count(DISTINCT pitcher_id) AS pitchers, sum(pitch_count)::BIGINT AS p, sum(model_correct)::BIGINT AS m, sum(baseline_correct)::BIGINT AS b
+    FROM win GROUP BY ROLLUP (game_date)))
+SELECT CASE WHEN game_date IS NULL THEN 'totals' ELSE 'daily' END AS part, game_date, starts, pitchers, p AS pitches, round(m / p, 6) AS model_accuracy, rel AS relative_improvement FROM rel
+UNION ALL SELECT 'lowest', NULL, NULL, NULL, NULL, NULL, min(rel) FROM rel WHERE game_date IS NOT NULL
+UNION ALL SELECT 'highest', max(game_date) FILTER (rel = (SELECT max(rel) FROM rel WHERE game_date IS NOT NULL)), NULL, NULL, NULL, NULL, max(rel) FROM rel WHERE game_date IS NOT NULL
+UNION ALL (SELECT 'showcase', game_date, NULL, NULL, pitch_count, round(model_correct / pitch_count, 6), NULL FROM win
+           WHERE pitch_count >= 5 ORDER BY model_correct / pitch_count DESC, game_pk, pitcher_id LIMIT 1)""")
+def window_report_tables(spark, sf):
+    """All four tables of the report of the latest dates, one under the other."""
+    history = game_history(spark, sf)
+    logs = table(spark, sf, "lineitem").join(history.select("game_pk", "pitcher_id"), F.col("l_orderkey") == F.col("game_pk")).select(
+        "game_pk", "pitcher_id", F.col("l_returnflag").alias("model_prediction"), F.lit(True).alias("model_correct"))
+    report = R.window_report(history, 365, logs, min_pitches=5, min_classes=0, times=1)
+    part = lambda df, name: df.select(F.lit(name).alias("part"), *[
+        (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(o)
+        for c, t, o in (("game_date", "date", "game_date"), ("pitcher_games", "bigint", "starts"), ("pitchers", "bigint", "pitchers"), ("pitches", "bigint", "pitches"),
+                        ("model_accuracy", "double", "model_accuracy"), ("relative_improvement", "double", "relative_improvement"))])
+    ends = R.daily_extremes(_round(report.daily, "relative_improvement"))
+    table_ = part(report.daily, "daily").unionByName(part(report.totals, "totals"))
+    table_ = table_.unionByName(part(ends.select(F.col("lowest").alias("relative_improvement")), "lowest"))
+    table_ = table_.unionByName(part(ends.select(F.col("highest").alias("relative_improvement"), F.col("peak_day").alias("game_date")), "highest"))
+    best = report.showcase.select("game_date", F.col("pitch_count").alias("pitches"), "model_accuracy")
+    return _round(table_.unionByName(part(best, "showcase")), "model_accuracy", "relative_improvement")
+
+
+_OUTINGS = """outings AS (
+  SELECT user_id AS pitcher, CAST(date_trunc('week', ts) AS DATE) AS game, event_id, ts, event_type AS pitch, event_id * 7 % 10 < 6 AS hit FROM events)"""
+
+
+def _outings(spark, sf):
+    from dugout.registry.logs import event_log
+
+    return event_log(spark, sf).select(
+        "pitcher", F.col("game").alias("game_pk"), "ts", "event_id", F.col("pitch_type").alias("actual_pitch"), (F.col("event_id") * 7 % 10 < 6).alias("model_correct"))
+
+
+@query("outing_hits", f"""
+WITH {_OUTINGS}, numbered AS (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY pitcher, game, hit ORDER BY ts, event_id) AS island FROM outings
+                              WINDOW w AS (PARTITION BY pitcher, game ORDER BY ts, event_id)),
+runs AS (SELECT pitcher, game, hit, island, count(*) AS n, min(ts) AS t, arg_min(event_id, (ts, event_id)) AS e FROM numbered GROUP BY ALL),
+told AS (SELECT pitcher, game, string_agg(n || ' ' || CASE WHEN hit THEN 'correct' ELSE 'missed' END, ', ' ORDER BY t, e) AS hits FROM runs GROUP BY ALL)
+SELECT pitcher, game AS game_pk, count(*) AS pitches, count(*) FILTER (hit) AS correct, any_value(hits) AS hits FROM outings JOIN told USING (pitcher, game) GROUP BY ALL""")
+def outing_hits(spark, sf):
+    """Every outing's hits and misses as runs, in order."""
+    return R.outing_hits(_outings(spark, sf), order=["ts", "event_id"]).select("pitcher", "game_pk", "pitches", "correct", "hits")
+
+
+@query("outing_repertoire", f"""
+WITH {_OUTINGS}
+SELECT pitcher, game AS game_pk, pitch, CASE pitch WHEN 'view' THEN 'View' ELSE pitch END AS name, count(*) AS count,
+       round(count(*) / sum(count(*)) OVER (PARTITION BY pitcher, game), 6) AS thrown, count(*) FILTER (hit) AS correct FROM outings GROUP BY pitcher, game, pitch""")
+def outing_repertoire(spark, sf):
+    out = R.outing_repertoire(_outings(spark, sf), names={"view": "View"})
+    return _round(out, "thrown").select("pitcher", "game_pk", "pitch", "name", "count", "thrown", "correct")
+
+
 @query("evaluated_games", f"""
 WITH {GAME_HISTORY} SELECT game_pk, pitch_count FROM history WHERE game_pk % 7 <> 0 AND game_pk % 11 <> 0""")
 def evaluated_games(spark, sf):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dugout import columns as C
 from dugout.plans import stages as P
+from dugout.operators import history as H
 from dugout.registry import query
 from dugout.registry.logs import GAME_HISTORY, PITCH_LOG, game_history, pitch_log, table
 from dugout.registry.stages import _KG3_SQL
@@ -133,6 +135,37 @@ def history_store(spark, sf):
     return readers.read_history(spark, path).select("game_date", "game_pk", "pitcher_id", "pitch_count")
 
 
+@query("history_versions", f"""
+WITH {GAME_HISTORY} SELECT strftime(CASE WHEN game_pk % 5 = 0 THEN game_date + 40 ELSE game_date END, '%Y-%m-%d') AS game_date, game_pk, pitcher_id,
+  CASE WHEN game_pk % 5 = 0 THEN pitch_count + 1 ELSE pitch_count END AS pitch_count, game_date AS first_date FROM history""")
+def history_versions(spark, sf):
+    """Rows that move to another month, beside the first version as it still reads."""
+    path = scratch_path(spark, "history")
+    base = game_history(spark, sf)
+    first = sinks.store_history(base.withColumn("evaluated_at_utc", F.lit("2024-01-01")), path)
+    moved = base.filter("game_pk % 5 = 0").withColumns({
+        "game_date": F.date_add("game_date", 40), "pitch_count": F.col("pitch_count") + 1, "evaluated_at_utc": F.lit("2024-01-02")})
+    sinks.store_history(moved, path)
+    old = readers.read_history(spark, path, version=first).select(
+        F.col("game_pk").alias("_g"), F.col("pitcher_id").alias("_p"), F.col("game_date").cast("date").alias("first_date"))
+    new = readers.read_history(spark, path)
+    return new.join(old, (F.col("game_pk") == F.col("_g")) & (F.col("pitcher_id") == F.col("_p"))).select(
+        "game_date", "game_pk", "pitcher_id", "pitch_count", "first_date")
+
+
+@query("history_order", f"""
+WITH {GAME_HISTORY} SELECT game_pk, pitcher_id, row_number() OVER (ORDER BY game_date, game_pk, pitcher_id) AS place FROM history""")
+def history_order(spark, sf):
+    """The place of each row in the sorted history, as its files hold it in order."""
+    base = game_history(spark, sf).withColumn("game_date", F.col("game_date").cast("string"))
+    path = scratch_path(spark, "sorted")
+    H.sorted_history(base.withColumn("pitcher_name", F.lit(None).cast("string"))).write.parquet(path)
+    stored = spark.read.parquet(path).select("game_pk", "pitcher_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r"))
+    counts = stored.groupBy(F.col("f").alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return stored.join(before, F.col("f") == F.col("_f")).select("game_pk", "pitcher_id", (F.col("_before") + F.col("r") + 1).alias("place"))
+
+
 @query("prediction_log_store", """
 SELECT user_id AS pitcher, event_id AS game_pk, CAST(ts AS DATE) AS game_date,
        CASE WHEN CAST(ts AS DATE) = DATE '2024-01-10' THEN 'new' ELSE event_type END AS model_prediction

@@ -510,3 +510,85 @@ SELECT p.pitcher // {_BEFORE} AS pitcher, make_date(season, 1, 1) AS game_date,
 FROM played p LEFT JOIN calls ON calls.pitcher = p.pitcher
      LEFT JOIN ranges r ON r.pitcher = p.pitcher AND h % total >= lo AND h % total < hi
 WHERE season > (SELECT min(y) FROM years) GROUP BY ALL"""
+
+
+# --- folds of equal size, groups of several rows --------------------------------------------------
+FOLDS = 4
+
+
+@query("balanced_folds", f"""
+WITH RECURSIVE sizes AS (SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS i FROM events GROUP BY user_id),
+greedy AS (
+    SELECT 0::BIGINT AS i, [0::BIGINT for k in range({FOLDS})] AS loads, [0::BIGINT for k in range({FOLDS})] AS held
+    UNION ALL
+    SELECT s.i, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + n ELSE x END),
+           list_transform(held, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + 1 ELSE x END)
+    FROM greedy g JOIN sizes s ON s.i = g.i + 1)
+SELECT k::INTEGER - 1 AS fold, loads[k] AS n_rows, held[k] AS n_groups, 1::BIGINT AS folds_of_a_group
+FROM (SELECT * FROM greedy ORDER BY i DESC LIMIT 1), range(1, {FOLDS + 1}) r(k) WHERE held[k] > 0""")
+def balanced_folds(spark, sf):
+    """Rows and groups of each fold, largest group first into the lightest fold."""
+    rows = P.balanced_folds(table(spark, sf, "events").select("event_id", "user_id"), ["user_id"], FOLDS)
+    groups = rows.groupBy("user_id").agg(F.min("fold").alias("fold"), F.countDistinct("fold").alias("several"), F.count(F.lit(1)).alias("n"))
+    return groups.groupBy("fold").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.max("several").alias("folds_of_a_group"))
+
+
+# --- a day's replay as one flow, every year as a day ----------------------------------------------
+@query("day_replay_flow", f"""
+WITH {SALES_LOG.replace("log AS (", "everything AS (", 1)},
+sched AS (SELECT o_orderkey AS game_pk, CAST(c_nationkey AS BIGINT) AS pitcher, year(o_orderdate) AS y, o_orderstatus = 'F' AS final
+          FROM orders JOIN customer ON o_custkey = c_custkey),
+starts AS (SELECT DISTINCT pitcher, y FROM sched),
+past AS (SELECT s.pitcher, y, count(DISTINCT e.game_pk) AS n FROM starts s LEFT JOIN everything e ON e.pitcher = s.pitcher AND e.season < y GROUP BY ALL),
+train AS (SELECT everything.* REPLACE (everything.pitcher * {_BEFORE} + y AS pitcher) FROM everything JOIN starts ON starts.pitcher = everything.pitcher AND season < y),
+decays AS (SELECT pitcher, greatest(0.8::DOUBLE, 0.98::DOUBLE - 0.01::DOUBLE * (count(DISTINCT season) - 1)) AS decay FROM train GROUP BY pitcher),
+weighed AS (SELECT pitcher, pitch_type, round(sum(greatest(pow(decay, pitcher % {_BEFORE} - season), 0.1::DOUBLE)), 12) AS w FROM train JOIN decays USING (pitcher) GROUP BY ALL),
+calls AS (SELECT pitcher, pitch_type AS guess FROM weighed QUALIFY row_number() OVER (PARTITION BY pitcher ORDER BY w DESC, pitch_type) = 1),
+{_RANGES},
+played AS (SELECT e.pitcher * {_BEFORE} + y AS pitcher, e.game_pk, e.pitch_type AS actual, {_hash("e.game_pk", "l_linenumber", "l_partkey")} AS h
+           FROM everything e JOIN sched s ON s.game_pk = e.game_pk AND s.pitcher = e.pitcher),
+games AS (SELECT p.game_pk, count(*) AS pitches, count(*) FILTER (WHERE guess = actual) AS m, count(*) FILTER (WHERE r.pitch_type = actual) AS b
+          FROM played p LEFT JOIN calls ON calls.pitcher = p.pitcher LEFT JOIN ranges r ON r.pitcher = p.pitcher AND h % total >= lo AND h % total < hi GROUP BY p.game_pk),
+told AS (SELECT y, g.*, CASE WHEN NOT final THEN 'game_not_final' WHEN n < 2 THEN 'failed' WHEN pitches IS NULL THEN 'statcast_not_ready' ELSE 'success' END AS status
+         FROM sched JOIN past USING (pitcher, y) LEFT JOIN games g USING (game_pk))
+SELECT strftime(make_date(y, 1, 1), '%Y-%m-%d') AS game_date, count(*) AS starter_records, count(*) FILTER (status = 'success') AS successful,
+       count(*) FILTER (status = 'statcast_not_ready') AS statcast_not_ready, count(*) FILTER (status = 'failed') AS failed,
+       count(*) FILTER (status = 'game_not_final') AS game_not_final, coalesce(sum(pitches) FILTER (status = 'success'), 0)::BIGINT AS total_pitches,
+       coalesce(sum(m) FILTER (status = 'success'), 0)::BIGINT AS model_correct, coalesce(sum(b) FILTER (status = 'success'), 0)::BIGINT AS baseline_correct,
+       count(*) FILTER (status = 'success') AS history_rows
+FROM told GROUP BY y""")
+def day_replay_flow(spark, sf):
+    """From schedule documents to stored summaries and history; a year stands for a day."""
+    from dugout.plans import day
+    from dugout.session import cut_lineage, scratch_path
+    from dugout.sources import readers, sinks
+
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    team = lambda n, pitcher: F.struct(
+        F.struct(n.cast("bigint").alias("id"), F.concat(F.lit("T"), n.cast("string")).alias("name"), F.lit("T").alias("abbreviation")).alias("team"),
+        F.lit(0).alias("score"), pitcher.alias("probablePitcher"))
+    starter = F.struct(F.col("c_nationkey").cast("bigint").alias("id"), F.lit("P").alias("fullName"))
+    state = F.when(F.col("o_orderstatus") == "F", "Final").when(F.col("o_orderstatus") == "P", "In Progress").otherwise("Scheduled")
+    game = F.struct(
+        F.col("o_orderkey").alias("gamePk"), F.date_format(F.trunc("o_orderdate", "year"), "yyyy-MM-dd").alias("officialDate"), F.lit("t").alias("gameDate"),
+        F.struct(state.alias("detailedState")).alias("status"),
+        F.struct(team(F.col("c_nationkey"), starter).alias("away"), team(F.col("c_nationkey") + 100, F.lit(None).cast(starter_type())).alias("home")).alias("teams"))
+    path = scratch_path(spark, "schedule")
+    sinks.write_json(orders.select(F.array(F.struct(F.array(game).alias("games"))).alias("dates")), path)
+    schedule = spark.read.schema(readers.SCHEDULE_DDL).json(path)
+    log = cut_lineage(sales_log(spark, sf).withColumn("game_date", F.trunc("game_date", "year")).drop("season"))
+    names = R.Log(row_id=("game_pk", "l_linenumber", "l_partkey"))
+    root = scratch_path(spark, "replays")
+    dates = [r[0] for r in readers.starters(schedule).select("official_date").distinct().orderBy("official_date").collect()]
+    summaries = [day.replay(schedule, log, d, root, names, rules=None, evaluated_at=F.timestamp_seconds(F.lit(0))).summary for d in dates]
+    known = readers.read_history(spark, f"{root}/history").groupBy(F.col("game_date").alias("_d")).agg(F.count(F.lit(1)).alias("history_rows"))
+    out = summaries[0]
+    for s in summaries[1:]:
+        out = out.unionByName(s)
+    return out.join(known, F.col("game_date") == F.col("_d"), "left").select(
+        "game_date", "starter_records", "successful", "statcast_not_ready", "failed", "game_not_final", "total_pitches", "model_correct", "baseline_correct",
+        F.coalesce("history_rows", F.lit(0)).alias("history_rows"))
+
+
+def starter_type() -> str:
+    return "struct<id: bigint, fullName: string>"
