@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dugout.operators import history as H
 from dugout.operators import sequence as Q
 from dugout.operators.groups import HOT_ROWS
+from dugout.plans import increment as I
 from dugout.plans import stages as P
 from dugout.session import cut_lineage
 
@@ -27,6 +28,8 @@ class DailyRun:
     stages: P.Stages
     run_log: DataFrame
     covered: DataFrame
+    cuts: DataFrame | None = None  # with a carry: the date from which each pitcher's stages are given
+    carry: I.Carry | None = None  # the carry to store after the run
 
 
 def run(
@@ -40,6 +43,7 @@ def run(
     hot_rows: int = HOT_ROWS,
     failures: DataFrame | None = None,
     fit: Callable[[DataFrame], DataFrame] | None = None,
+    before: I.Carry | None = None,
 ) -> DailyRun:
     """``existing`` and ``incoming`` are pitch logs, ``control`` has pitcher, debut and
     covered_through, ``starters`` the pitchers of the day (column pitcher). Rows of pitchers nobody
@@ -48,6 +52,10 @@ def run(
     ``failures`` (pitcher, error) are fetches that did not come through: these pitchers keep their
     stored rows and what they cover. ``fit`` trains on the stages' features and returns the pitchers
     it could not train (pitcher, error); without it no line speaks of modeling.
+
+    With ``before``, the carry stored by the run before, the stages are built from the replaced dates
+    alone and hold these only (``cuts``); ``increment.merged`` puts them into the stored stages. A
+    pitcher without stored stages is asked for from the start, so all rows are new.
     """
     asked = Q.keep_last(starters.select("pitcher"), ["pitcher"], ["pitcher"])
     ranges = H.request_ranges(control.join(asked, "pitcher", "left_semi"), history_through, refresh_days)
@@ -62,7 +70,14 @@ def run(
     everyone = H.overlap_refresh(existing, wanted, ranges, newest=list(newest))
     # the day's part of the refreshed log is read by every stage and by the run log
     log = cut_lineage(everyone.join(asked, "pitcher", "left_semi"))
-    stages = P.build(log.drop(*newest), hot_rows)
+    cuts = carry = None
+    if before is None:
+        stages = P.build(log.drop(*newest), hot_rows)
+    else:
+        starts = cut_lineage(ranges.filter("needed").select("pitcher", F.col("request_start").alias("cut")))
+        batch, cuts = I.whole_games(log.drop(*newest), starts)
+        stages = I.extend(batch, cuts, before, hot_rows)
+        carry = I.carried_on(before, stages, cuts)
     features = cut_lineage(stages.kg4.groupBy("pitcher").agg(F.count(F.lit(1)).alias("rows_featured")))
 
     raw = log.groupBy("pitcher").agg(F.count(F.lit(1)).alias("rows_in"), F.count("pitch_type").alias("rows_out"))
@@ -94,7 +109,7 @@ def run(
     run_log = lines.unionByName(intruders).withColumn(
         "status", F.when(F.col("error").isNull(), "success").otherwise("failed")
     )
-    return DailyRun(everyone, stages, run_log, covered(ranges))
+    return DailyRun(everyone, stages, run_log, covered(ranges), cuts, carry)
 
 
 def covered(ranges: DataFrame) -> DataFrame:

@@ -123,3 +123,18 @@ SELECT count(*) AS rows_before, count(pitch_type) AS rows_after,
 FROM raw""")
 def cleaning_summary(spark, sf):
     return P.cleaning_summary(pitch_log(spark, sf))
+
+
+@query("incremental_stages", f"WITH {_KG3_SQL}\n{_out(C.KG4, 'kg3')}")
+def incremental_stages(spark, sf):
+    """The same table in two steps: what came before the last eight dates, then those as a batch."""
+    from dugout.plans import increment
+    from dugout.session import cut_lineage
+
+    log = cut_lineage(pitch_log(spark, sf))
+    cut = [r[0] for r in log.select("game_date").distinct().orderBy(F.col("game_date").desc()).limit(8).collect()][-1]
+    first = P.build(log.filter(F.col("game_date") < F.lit(cut)))
+    cuts = log.select("pitcher").distinct().withColumn("cut", F.lit(cut))
+    batch, cuts = increment.whole_games(log, cuts)
+    built = increment.extend(batch, cuts, increment.carry(first.kg2))
+    return _rounded(P.published(increment.merged(first.kg4, built.kg4, cuts)).select(*[f"`{c}`" for c in C.KG4]))

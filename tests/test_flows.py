@@ -186,6 +186,22 @@ def test_targets_on_several_dates_are_refused(spark):
         R.before(log, targets).collect()
 
 
+def test_a_daily_run_on_the_carry_builds_the_overlap_only(spark):
+    from dugout.plans import increment, stages
+
+    everything = PF.frame(spark, PF.season_log(games=6, per_game=8)).withColumn("ingest_seq", F.lit(0))
+    last = everything.agg(F.max("game_date")).first()[0]
+    old, new = everything.filter(F.col("game_date") < F.lit(last)), everything.filter(F.col("game_date") == F.lit(last)).withColumn("ingest_seq", F.lit(1))
+    control = spark.createDataFrame([(p, dt.date(2020, 1, 1), last - dt.timedelta(days=1)) for p in (1, 2)], "pitcher long, debut date, covered_through date")
+    first = stages.build(old.drop("ingest_seq"))
+    run = daily.run(old, new, control, control.select("pitcher"), str(last), before=increment.carry(first.kg2))
+    assert run.stages.kg4.filter(F.col("game_date") < F.date_sub(F.lit(last), 10)).isEmpty() and run.stages.kg4.count() > 0
+    whole = stages.build(run.log.drop("ingest_seq")).kg4
+    got = increment.merged(first.kg4, run.stages.kg4, run.cuts).select(*whole.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    assert run.carry.tails.count() == run.log.filter("pitch_type IS NOT NULL").select("pitcher", "game_date").distinct().count()
+
+
 def test_daily_run(spark):
     old = PF.frame(spark, PF.season_log(games=3, per_game=8)).withColumn("ingest_seq", F.lit(0))
     new = old.filter("game_pk = 102").withColumn("ingest_seq", F.lit(1))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 import pitches as P
 from dugout import columns as C
 from dugout import schema
-from dugout.plans import stages
+from dugout.plans import increment, stages
+from dugout.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +98,37 @@ def test_null_count_does_not_fail(spark):
                   pitch_type="FF", balls=None)
     out = stages.build(P.frame(spark, [row])).kg4.select("count", "count_state", F.lit(1)).first()
     assert out[0] is None and out[1] == "even_count"
+
+
+# ---- a batch on top of what is stored
+
+
+def test_a_batch_extends_the_stages_as_a_rebuild_would(spark):
+    log = cut_lineage(P.frame(spark, P.season_log(games=6, per_game=14)))
+    days = sorted(r[0] for r in log.select("game_date").distinct().collect())
+    pick = F.pmod(F.xxhash64("pitcher", "game_pk", "at_bat_number", "pitch_number"), F.lit(5))
+    start = F.lit(days[2])
+    old = log.filter(F.col("game_date") < F.lit(days[-1]))
+    # corrections from the cut on: some rows are gone, some have another type; then a new date
+    new = log.filter((F.col("game_date") < start) | (pick != 1)).withColumn(
+        "pitch_type", F.when((F.col("game_date") >= start) & (pick == 2), "CU").otherwise(F.col("pitch_type")))
+    cuts = log.select("pitcher").distinct().withColumn("cut", start)
+    first, rebuilt = stages.build(old), stages.build(new)
+    batch, cuts = increment.whole_games(new, cuts)
+    before = increment.carry(first.kg2)
+    built = increment.extend(batch, cuts, before)
+    for name in ("kg2", "kg3", "kg4"):
+        want = getattr(rebuilt, name)
+        got = increment.merged(getattr(first, name), getattr(built, name), cuts).select(*want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    after, want = increment.carried_on(before, built, cuts), increment.carry(rebuilt.kg2)
+    for part in ("tails", "meetings"):
+        assert sorted(map(str, getattr(after, part).collect())) == sorted(map(str, getattr(want, part).collect()))
+
+
+def test_a_game_over_the_cut_moves_the_cut(spark):
+    day = lambda n: dt.date(2026, 5, n)
+    log = spark.createDataFrame([(1, 10, day(1)), (1, 11, day(2)), (1, 11, day(4)), (1, 12, day(3)), (1, 12, day(5)), (2, 20, day(1))],
+                                "pitcher bigint, game_pk bigint, game_date date")
+    rows, moved = increment.whole_games(log, spark.createDataFrame([(1, day(5))], "pitcher bigint, cut date"))
+    assert moved.first().cut == day(2) and sorted(r.game_pk for r in rows.collect()) == [11, 11, 12, 12]
