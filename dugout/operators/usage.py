@@ -20,6 +20,13 @@ def usage_share(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
+def ranked_usage(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``usage_share`` with each class's place in the key's list, the most used first; of equals the
+    first in vocabulary order."""
+    by = Window.partitionBy(*keys).orderBy(F.col("n").desc(), label)
+    return usage_share(df, keys, label).withColumn("place", F.row_number().over(by))
+
+
 def season_usage(df: DataFrame, key: str, season: str, label: str) -> DataFrame:
     """Count, season total and usage rate per season and class."""
     counts = class_counts(df, [key, season], label, "pitch_count")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from dugout import columns as C
@@ -592,3 +594,19 @@ def day_replay_flow(spark, sf):
 
 def starter_type() -> str:
     return "struct<id: bigint, fullName: string>"
+
+
+@query("ablation_continuous", _arms_sql(
+    f"{_TRAIN_CONTEXT}, {X._C_ADJ}",
+    f"""SELECT l.pitcher, l.pitch_type, r, c,
+               coalesce(CASE WHEN l.season < a.latest_season THEN a.old_multiplier ELSE a.recent_multiplier END, 1.0::DOUBLE) AS u
+        FROM (SELECT l.pitcher, l.pitch_type, l.season, {_RECENT} AS r, {_CAT_WEIGHT.replace("peak >=", "prior >=")} AS c FROM log l JOIN careers USING (pitcher)
+              LEFT JOIN ctx ON ctx.pitcher = l.pitcher AND ctx.pitch_type = l.pitch_type) l
+        LEFT JOIN adj a ON a.pitcher = l.pitcher AND a.pitch_type = l.pitch_type""",
+    [("unweighted", "1.0::DOUBLE"), ("recency", "r"), ("categorical", "r * c"), ("continuous", "r * u")],
+))
+def ablation_continuous(spark, sf):
+    """Fixed multipliers against usage as it is, both by prior usage."""
+    prior = dataclasses.replace(X.CATEGORICAL, peak=False)
+    arms = {"unweighted": (None, None), "recency": (W.MILD, None), "categorical": (W.MILD, prior), "continuous": (W.MILD, X.CONTINUOUS)}
+    return _ablation(spark, sf, arms)

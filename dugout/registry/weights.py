@@ -101,6 +101,14 @@ def usage_share(spark, sf):
     return _rounded(U.usage_share(sales_log(spark, sf), ["pitcher"], "pitch_type"), "share")
 
 
+@query("ranked_usage", f"""
+WITH {SALES_LOG}, c AS (SELECT pitcher, pitch_type, count(*) AS n FROM log GROUP BY ALL)
+SELECT pitcher, pitch_type, n, round(n / sum(n) OVER (PARTITION BY pitcher), 6) AS share,
+       CAST(row_number() OVER (PARTITION BY pitcher ORDER BY n DESC, pitch_type) AS INTEGER) AS place FROM c""")
+def ranked_usage(spark, sf):
+    return _rounded(U.ranked_usage(sales_log(spark, sf), ["pitcher"], "pitch_type"), "share")
+
+
 @query("season_usage", f"""
 WITH {COUNTS}
 SELECT pitcher, season, pitch_type, n AS pitch_count, total AS season_total, round(n / total, 6) AS usage_rate
