@@ -178,8 +178,8 @@ def test_same_as_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_every_query_gives_its_rows(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
-    ids = "vec_id" if "vec_id" in got and "query_id" not in got else "doc_id" if "doc_id" in got else "query_id"
-    table = spark.read.parquet(f"{SF}/{'documents' if ids == 'doc_id' else 'embeddings'}.parquet")
+    ids = "vec_id" if "vec_id" in got and "query_id" not in got else next((c for c in ("doc_id", "page_id") if c in got), "query_id")
+    table = spark.read.parquet(f"{SF}/{ {'doc_id': 'documents', 'page_id': 'pages'}.get(ids, 'embeddings')}.parquet")
     if ids == "query_id":
         table = table.filter("vec_id % 50 = 0")
     assert got[ids].nunique() == table.count()
