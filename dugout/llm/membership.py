@@ -2,7 +2,8 @@
 
 A bitmap of fixed size holds one hashed bit per id of the set: at most ``BITS`` bits (8 MB), so it may
 be broadcast whatever the set's size. Rows without their bit are surely not in the set; the others
-are few unless the set is very large, and only they need a join.
+are few unless the set is very large, and only they need a join. Beyond some tens of millions of ids
+the bitmap is nearly full: the answer is the same, but then almost every row is shuffled.
 """
 
 from __future__ import annotations
@@ -34,11 +35,17 @@ def marked(rows: DataFrame, key, ids: DataFrame) -> DataFrame:
     return tagged.withColumn("_m_maybe", hit).drop("_m_own", "_m_part", "_m_bits")
 
 
-def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows whose ``key`` is not in the one column of ``ids``; a null key stays. Only rows that may
-    be in it are shuffled."""
+def parted(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` is not in the one column of ``ids``, a null key among them, and those
+    whose key is. Only rows that may be in it are shuffled."""
     packed = rows.select(F.struct("*").alias("_m_row"), F.col(key).cast("bigint").alias("_m_key"))
     split = marked(packed, F.col("_m_key"), ids)
-    gone = ids.select(F.col(ids.columns[0]).alias("_m_gone")).distinct()
-    open_ = split.filter("_m_maybe").join(gone, F.col("_m_key") == F.col("_m_gone"), "left_anti")
-    return split.filter("not _m_maybe").unionByName(open_).select("_m_row.*")
+    these = ids.select(F.col(ids.columns[0]).alias("_m_these")).distinct()
+    open_, on = split.filter("_m_maybe"), F.col("_m_key") == F.col("_m_these")
+    outside = split.filter("not _m_maybe").unionByName(open_.join(these, on, "left_anti"))
+    return outside.select("_m_row.*"), open_.join(these, on, "left_semi").select("_m_row.*")
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The first of the two of ``parted``."""
+    return parted(rows, key, ids)[0]

@@ -1,7 +1,7 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 1. Each text becomes its set of distinct 5-word shingles (64-bit hashes), a signature of 128 minima
-   and an order-free digest of the set. Documents with equal sets form a class.
+   and an order-free digest of the set. Rows with equal sets form a class, which has a number of its own.
 2. Each of 16 trees sorts all classes by eight of the minima. A class's candidates are the rows that
    follow it in that order, those with the longest common prefix first: where a region of the order
    is crowded, the window lies deep, where it is thin, down to a prefix of three minima (two sets of
@@ -17,7 +17,10 @@
 Defined cases: null texts and texts without words have the empty set and link with nothing; texts of
 fewer than five words have their whole sequence as one shingle; repeated texts share a class; a null
 ``doc_id`` links with nothing and is its own (null) component, kept; a ``doc_id`` on several rows is
-treated row by row; an empty table gives no rows; further columns are ignored.
+treated row by row: its texts join only the groups that they are like, and rows that repeat an id and a
+set have the same result. ``without_copies`` leaves one row of each group, chosen among rows of its
+smallest ``doc_id`` by digest, then text, then the other columns as JSON; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dugout.llm import minhash_runs as R
 from dugout.llm import text as T
 from dugout.llm.components import components
-from dugout.llm.membership import marked, without
+from dugout.llm.membership import marked, parted, without
 from dugout.llm.store import kept, prepare
 
 TREES, DEPTH = 16, 8
@@ -190,22 +194,25 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame, classes: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, members): the full sets of those of ``classes`` that the distinct ``ids`` name."""
-    wanted = kept(ids.join(classes.select("id", "d1", "d2"), "id"), "forest-wanted")
+    """(id, members): the full sets of those of ``classes`` that the distinct ``ids`` name, each once."""
+    wanted = kept(ids.join(classes.select("id", "doc_id", "rows", "d1", "d2"), "id"), "forest-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
             sets = sets_of(batch.column("text"))
             digests = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([d[0] for d in digests], pa.int64()),
+                [batch.column("doc_id"), pa.array([d[0] for d in digests], pa.int64()),
                  pa.array([d[1] for d in digests], pa.int64()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "d1", "d2", "members"])
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "members"])
 
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    texts = marked(texts, F.col("id"), wanted.select("id")).filter("_m_maybe").select("id", "text")
-    sets = texts.mapInArrow(run, "id bigint, d1 bigint, d2 bigint, members array<bigint>")
-    return kept(sets.join(wanted, ["id", "d1", "d2"]).select("id", "members"), "forest-sets")
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    texts = marked(texts, F.col("doc_id"), wanted.select("doc_id")).filter("_m_maybe").select("doc_id", "text")
+    sets = texts.mapInArrow(run, "doc_id bigint, d1 bigint, d2 bigint, members array<bigint>")
+    found = kept(sets.join(wanted, ["doc_id", "d1", "d2"]).select("id", "rows", "members"), "forest-sets")
+    # only a class of several rows can have its smallest id on more than one of them
+    again = found.filter("rows > 1").select("id", "members").dropDuplicates(["id"])
+    return found.filter("rows = 1").select("id", "members").union(again)
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str = "doc_id",
@@ -243,34 +250,81 @@ def remaining(docs: DataFrame, classes: DataFrame, found: DataFrame, doc_id: str
                    R.screened(_likeness, CLEARLY_LESS, PERCENT), R.linked(PERCENT))
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
+def _joined(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The stored sketches, and (n, d1, d2, component_id, head) of every class: the smallest ``doc_id``
+    of its group, and whether the row that stays for the group is of this class."""
     prepare(docs.sparkSession)
     rows = kept(sketches(docs, doc_id, text), "forest-sketches")
     whole = rows.filter("n > 0 and doc_id is not null")
-    classes = kept(
-        whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")),
-        "forest-classes")
+    classes = whole.groupBy("n", "d1", "d2").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("signature").alias("signature"))
+    # numbered as they are stored: from then on the numbers are fixed
+    classes = kept(classes.withColumn("id", F.monotonically_increasing_id()), "forest-classes")
     pairs = kept(candidates(classes), "forest-pairs")
     links = kept(confirmed(docs, classes, pairs, doc_id, text), "forest-links")
     found = components(links)
     rest = kept(remaining(docs, classes, found, doc_id, text), "forest-links")
     if not rest.isEmpty():
         found = components(links.union(rest))
-    of_class = kept(
-        classes.select("n", "d1", "d2", "id").join(found, "id", "left")
-        .select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id")), "forest-components")
-    narrow = rows.select("doc_id", "n", "d1", "d2")
+    narrow = classes.select("id", "n", "d1", "d2", "doc_id").join(found, "id", "left")
+    heads = kept(
+        narrow.filter("component is not null").groupBy("component")
+        .agg(F.min(F.struct("doc_id", "n", "d1", "d2", "id")).alias("h")), "forest-heads")
+    own = narrow.join(heads, "component", "left").select(
+        "n", "d1", "d2", F.coalesce("h.doc_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("h.id") == F.col("id"), F.lit(True)).alias("head"))
+    return rows, kept(own, "forest-components")
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row."""
+    rows, of_class = _joined(docs, doc_id, text)
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return (
-        narrow.join(of_class, ["n", "d1", "d2"], "left")
+        rows.select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
+def _one_each(docs: DataFrame, staying: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``docs`` without a set, and one row for each (_id, _n, _d1, _d2) of ``staying``."""
+    packed = docs.select(F.struct("*").alias("_row"), F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches):
+            sets = sets_of(batch.column("text"))
+            digests = [digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())],
+                ["_row", "_id", "_n", "_d1", "_d2"])
+
+    key = ["_id", "_n", "_d1", "_d2"]
+    row = StructField("_row", docs.schema)
+    sets = packed.mapInArrow(run, StructType([row, *(StructField(c, LongType()) for c in key)]))
+    order = Window.partitionBy(*key).orderBy(F.col(f"_row.`{text}`"), F.to_json("_row"))
+    first = sets.filter("_n > 0").join(staying, key, "left_semi").withColumn(
+        "_place", F.row_number().over(order)).filter("_place = 1")
+    return sets.filter("_n = 0").select("_row.*").unionByName(first.select("_row.*"))
+
+
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for those whose group has a smaller ``doc_id``."""
-    gone = kept(grouped(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(),
-                "forest-gone")
-    return without(docs, doc_id, gone)
+    """The rows of ``docs`` without a set or a ``doc_id``, and one row of each group."""
+    rows, of_class = _joined(docs, doc_id, text)
+    state = rows.filter("doc_id is not null").select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
+    stays = F.coalesce(F.col("head") & (F.col("doc_id") == F.col("component_id")), F.lit(False))
+    state = kept(state.select("doc_id", "n", "d1", "d2", stays.alias("stays")), "forest-rows")
+    by_id = state.groupBy("doc_id").agg(
+        F.count_if((F.col("n") > 0) & ~F.col("stays")).alias("go"), F.count_if("stays").alias("stay"),
+        F.count_if(F.col("n") == 0).alias("bare"))
+    by_id = kept(by_id.filter("go > 0 or stay > 1"), "forest-gone")
+    # an id with rows of both kinds, or with several that may stay, is looked at row by row
+    several = by_id.filter("stay > 1 or go > 0 and stay + bare > 0").select("doc_id")
+    left = without(docs, doc_id, by_id.filter("stay + bare = 0").select("doc_id"))
+    if several.isEmpty():
+        return left
+    others, mixed = parted(left, doc_id, several)
+    staying = state.filter("stays").select(
+        *(F.col(c).alias(f"_{c}" if c != "doc_id" else "_id") for c in ("doc_id", "n", "d1", "d2"))).distinct()
+    return others.unionByName(_one_each(mixed, staying, doc_id, text))
