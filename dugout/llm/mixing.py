@@ -119,7 +119,9 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     sized = kept(docs.select(*cols), "mix-sizes")
     cuts = thresholds(sized, weights, share, most).withColumnRenamed("source", "_s")
     rows = docs.select(F.struct("*").alias("row"), *cols)
-    copies = F.col("whole") + (F.col("hash") < F.col("cut")).cast("bigint")
+    # a source at a whole number of copies has no rest: rows of size 0 get no further copy either
+    more = (F.col("hash") < F.col("cut")) & (F.col("target") > F.col("whole") * F.col("source_size"))
+    copies = F.col("whole") + more.cast("bigint")
     return rows.join(cuts, rows["source"].eqNullSafe(cuts["_s"])).select(
         "row", F.col(f"row.{doc_id}").alias("doc_id"), "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -139,6 +139,25 @@ def test_forest_stage_keeps_columns(docs, none):
     assert minhash_forest.grouped(none).count() == 0
 
 
+def test_rows_of_one_id_are_taken_row_by_row(spark):
+    a, b, c = prose(90, 31), prose(90, 32), prose(90, 33)
+    made = [(7, c, "x"), (7, a, "x"), (3, a, "x"), (9, a + " more", "y"), (9, b, "y"), (4, b, "z"), (5, c.upper(), "x"), (5, c, "x"),
+            (5, c, "x"), (6, None, "n"), (6, None, "n"), (6, a, "n"), (8, "", "n"), (8, prose(60, 34), "n"), (2, a, "x"),
+            (2, b, "x"), (None, a, "x"), (10, prose(60, 35), "w"), (10, prose(60, 36), "w")]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, _row string")
+    got = [(r.doc_id, r.component_id) for r in minhash_forest.grouped(docs).collect()]
+    count = lambda i: sorted(g[1] for g in got if g[0] == i)
+    # rows of a: 2, 3, 6, 7, 9; of b: 2, 4, 9; of c: 5, 5, 5, 7
+    assert (count(7), count(3), count(9), count(4), count(5)) == ([2, 5], [2], [2, 2], [2], [5, 5, 5])
+    assert (count(6), count(8), count(2), count(10)) == ([2, 6, 6], [8, 8], [2, 2], [10, 10])
+    out = minhash_forest.without_copies(docs)
+    assert out.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(2, a), (2, b), (5, c.upper()), (6, None), (6, None), (8, ""), (8, made[13][1]), (None, a), (10, made[17][1]),
+            (10, made[18][1])]
+    assert left == sorted(want, key=str)
+
+
 # ---- secrets
 
 
@@ -370,3 +389,11 @@ def test_digest_of_spans(spark):
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
+
+
+def test_empty_documents_are_not_repeated_beyond_the_limit(spark):
+    made = [(i, None if i % 3 else "a b c", "small") for i in range(60)] + [(100 + i, "w " * 400, "big") for i in range(20)]
+    copies = mixing.with_copies(spark.createDataFrame(made, "doc_id bigint, text string, source string"), weights=(1, 50))
+    got = copies.select("doc_id", "copies", "taken", "source_size", "target").collect()
+    assert {r.target / r.source_size for r in got if r.doc_id < 60} == {2.0}
+    assert {r.copies for r in got if r.doc_id < 60} == {2} and max(r.copies for r in got) <= 2
