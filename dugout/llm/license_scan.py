@@ -10,12 +10,17 @@ than eight shingles have a class per size with windows of exactly that many shin
 where a whole notice collides for certain. What is retrieved is verified exactly: the share of the
 template's shingles that the window has must be 0.75 or more.
 
+Templates share sentences: versions of a license differ by a few words, and a header begins with a
+shorter notice. So of verified matches that overlap in the text only that with most shingles found
+stays, then that with the larger share: the shingles which only one template has decide. Templates that
+are equal in both (an edit took the words that tell them apart) are all reported.
+
 Templates are a bounded table of fixed texts, shipped to every task; nothing is shuffled.
 
 Defined cases: null and empty texts and texts without words have no matches; a template without
 words is left out, one of fewer than five words has its whole sequence as one shingle and matches
 texts that consist of it; repeated rows are scanned each; a null ``doc_id`` stays null; texts of any
-length are scanned whole; an empty table gives no rows; further columns are ignored.
+length are scanned whole, with every window of every class; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,11 +59,69 @@ TEMPLATES = (
     ("GPL-3.0 header", """This program is free software: you can redistribute it and/or modify it under the terms of
      the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or
      (at your option) any later version."""),
-    ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0 statement", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("GPL-2.0 header", """This program is free software; you can redistribute it and/or modify it under the terms of
+     the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or
+     (at your option) any later version."""),
+    ("LGPL-2.0 header", """This library is free software; you can redistribute it and/or modify it under the terms of
+     the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the
+     License, or (at your option) any later version."""),
+    ("LGPL-2.1 header", """This library is free software; you can redistribute it and/or modify it under the terms of
+     the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the
+     License, or (at your option) any later version."""),
+    ("LGPL-3.0 header", """This library is free software: you can redistribute it and/or modify it under the terms of
+     the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the
+     License, or (at your option) any later version."""),
+    ("AGPL-3.0 header", """This program is free software: you can redistribute it and/or modify it under the terms of
+     the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the
+     License, or (at your option) any later version."""),
+    ("MPL-2.0 header", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a
+     copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+     hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+     hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+     SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted
+     provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+     notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+     above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+     materials provided with the distribution."""),
     ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted
+     provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+     notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+     above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+     materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+     contributors may be used to endorse or promote products derived from this software without specific prior written
+     permission."""),
+    ("BSD opening", """Redistribution and use in source and binary forms, with or without modification, are permitted
      provided that the following conditions are met: Redistributions of source code must retain the above copyright
      notice, this list of conditions and the following disclaimer."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors
+     be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
+     software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject
+     to the following restrictions"""),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the
+     software and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+     distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+     third-parties to whom the Software is furnished to do so"""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+     modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+     binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("CC0-1.0 statement", """To the extent possible under law, the author(s) have dedicated all copyright and related
+     and neighboring rights to this software to the public domain worldwide. This software is distributed without any
+     warranty."""),
+    ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0 statement", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0 statement",
+     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0 statement",
+     "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0 statement",
+     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0 statement",
+     "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0 statement",
+     "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 )
 
 _rng = np.random.Generator(np.random.PCG64(16))
@@ -135,29 +198,36 @@ class Templates:
                     out.update((i, int(starts[w]), per * step) for w in np.flatnonzero(keys == key))
         return out
 
-    def matches(self, texts: pa.Array) -> list[list[tuple[str, int, int, float]]]:
-        """Per text: (template, byte span, share) of the verified matches; of those of one template
-        that overlap, the best."""
+    def verified(self, texts: pa.Array) -> list[list[tuple[str, int, int, int, float]]]:
+        """Per text: (template, byte span, shingles found, share) of every window that was retrieved
+        and holds enough of the template."""
         found, at, begins, ends = shingled(texts)
-        out: list[list[tuple[str, int, int, float]]] = [[] for _ in range(len(at) - 1)]
+        out: list[list[tuple[str, int, int, int, float]]] = [[] for _ in range(len(at) - 1)]
         if not len(found):
             return out
         for i, a, n in sorted(self.retrieved(found, at)):
             text = int(np.searchsorted(at, a, "right")) - 1
             window = found[a : min(a + n, at[text + 1])]
             inside = np.flatnonzero(np.isin(window, self.sets[i]))
-            share = len(np.unique(window[inside])) / len(self.sets[i])
+            number = len(np.unique(window[inside]))
+            share = number / len(self.sets[i])
             if share >= SHARE:
-                out[text].append((self.names[i], int(begins[a + inside[0]]), int(ends[a + inside[-1]]), share))
-        return [self._best(m) for m in out]
+                out[text].append((self.names[i], int(begins[a + inside[0]]), int(ends[a + inside[-1]]), number, share))
+        return out
+
+    def matches(self, texts: pa.Array) -> list[list[tuple[str, int, int, float]]]:
+        """Per text: (template, byte span, share) of the verified matches; of those that overlap,
+        the best, and its equals of other templates."""
+        return [self._best(m) for m in self.verified(texts)]
 
     @staticmethod
     def _best(found):
-        kept: list[tuple[str, int, int, float]] = []
-        for m in sorted(found, key=lambda m: (m[0], -m[3], m[2] - m[1], m[1])):
-            if all(m[0] != k[0] or m[2] <= k[1] or k[2] <= m[1] for k in kept):
+        kept: list[tuple[str, int, int, int, float]] = []
+        for m in sorted(found, key=lambda m: (-m[3], -m[4], m[2] - m[1], m[1], m[0])):
+            over = [k for k in kept if m[1] < k[2] and k[1] < m[2]]
+            if all(k[0] != m[0] and k[3:] == m[3:] for k in over):
                 kept.append(m)
-        return sorted(kept, key=lambda m: (m[1], m[0]))
+        return sorted(((n, a, b, v) for n, a, b, _, v in kept), key=lambda m: (m[1], m[0]))
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
