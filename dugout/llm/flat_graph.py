@@ -11,8 +11,11 @@
    radii).
 4. Verification: a pair of groups is linked wholly, not at all, or, where the radii leave that open,
    row by row in double precision, in blocks.
-5. Audit: for a sample of rows the links are counted by brute force. Below the wanted recall the
-   search is repeated with twice the overlap and beam.
+5. Audit: for a sample of all rows, chosen by hash whether links were found or not, the links are
+   counted by brute force; the recall is the mean over sampled rows that have links, so rows of a hot
+   group weigh no more than others. Below the wanted recall the search is repeated with twice the
+   overlap and beam, and when leaders in all their shards would cost more than all blocks against all
+   blocks (overlap squared against shards), the pairs of leaders in range are found in that way.
 
 Defined cases: vectors that are null, zero, of another length than most or with null or non-finite
 components link with nothing and are kept; so do rows with a null id, which have a null component;
@@ -41,7 +44,7 @@ BLOCK = 2048  # rows of a shard in one task
 OVERLAP = 3  # shards of a leader
 DEGREE, POOL, ALPHA = 16, 48, 1.2  # of the pruned graph
 BEAM = 24
-AUDITED, WANTED = 64, 0.99
+AUDITED, WANTED = 4096, 0.99
 EPSILON = 1e-9  # radians, for the rounding of an angle
 
 ROW = "id bigint, v array<double>"
@@ -169,14 +172,14 @@ def pruned(x: np.ndarray) -> list[np.ndarray]:
     return [r[r >= 0] for r in chosen]
 
 
-def in_range(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, reach: np.ndarray, beam: int):
+def in_range(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, reach: np.ndarray, beam: int | None):
     """(query, row) pairs within ``reach`` (radians, per query) that the search finds: greedily with a
-    beam from the medoid, then on through every row in range."""
+    beam from the medoid, then on through every row in range. Without a beam, all pairs."""
     n, m = len(x), len(q)
     centre = x.sum(0)
     medoid = int((x @ centre).argmax())
     width = max((len(r) for r in links), default=0)
-    if not width:
+    if not width or beam is None:
         inside = angle(q @ x.T) <= reach[:, None]
         return np.nonzero(inside)
     table = np.full((n, width), -1)
@@ -230,7 +233,7 @@ def graph(leaders: DataFrame, c: np.ndarray, overlap: int) -> tuple[DataFrame, D
     return places, kept(united, "graph-links")
 
 
-def search(places: DataFrame, links: DataFrame, widest: float, beam: int, cosine: float = COSINE) -> DataFrame:
+def search(places: DataFrame, links: DataFrame, widest: float, beam: int | None, cosine: float = COSINE) -> DataFrame:
     """Distinct pairs (a, b), a < b, of leaders whose groups may hold linked rows, with their cosine."""
     linking = float(np.arccos(cosine))
     rows = places.join(links, "id")
@@ -309,10 +312,13 @@ def _between(open_pairs: DataFrame, members: DataFrame, vectors: DataFrame, size
 
 
 def audit(vectors: DataFrame, result: DataFrame, cosine: float = COSINE, n: int = AUDITED) -> float:
-    """Found links over true links, for ``n`` rows with links and ``n`` of all, chosen by hash."""
-    linked = result.filter("n_links > 0").orderBy(F.xxhash64("id")).limit(n)
-    some = linked.unionByName(result.orderBy(F.xxhash64("id")).limit(n)).dropDuplicates(["id"])
-    picked = some.join(vectors, "id").select("id", "v", "n_links").toArrow()
+    """Recall from ``n`` rows chosen by hash, half among all, half among those without a found link:
+    the lesser of the mean share of true links found (of rows that have any) and the share of linked
+    rows that were not lost altogether."""
+    none = result.filter("n_links = 0").orderBy(F.xxhash64("id")).limit(n // 2)
+    some = result.orderBy(F.xxhash64(F.lit(1), "id")).limit(n - n // 2)
+    sampled = kept(some.withColumn("any", F.lit(True)).unionByName(none.withColumn("any", F.lit(False))), "graph-audit")
+    picked = sampled.groupBy("id", "n_links").agg(F.max("any").alias("any")).join(vectors, "id").toArrow()
     if not picked.num_rows:
         return 1.0
     ids, x = picked["id"].to_numpy(), V.unit(V.matrix(picked["v"]))
@@ -320,14 +326,22 @@ def audit(vectors: DataFrame, result: DataFrame, cosine: float = COSINE, n: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                own = batch.column("id").to_numpy()
-                total += ((x @ V.unit(V.matrix(batch.column("v"))).T >= cosine) & (ids[:, None] != own)).sum(1)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                own = part.column("id").to_numpy()
+                total += (x @ V.unit(V.matrix(part.column("v"))).T >= cosine).sum(1) - np.isin(ids, own)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
 
-    true = dict(vectors.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).collect())
-    found = dict(zip(ids.tolist(), picked["n_links"].to_pylist()))
-    return sum(min(found[i], true[i]) for i in found) / max(1, sum(true.values()))
+    counted = dict(vectors.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).collect())
+    true = np.array([counted[i] for i in ids.tolist()])
+    had = picked["n_links"].to_numpy()
+    linked = true > 0
+    of_all = linked & picked["any"].to_numpy(zero_copy_only=False)
+    recall = (np.minimum(had, true)[of_all] / true[of_all]).mean() if of_all.any() else 1.0
+    # what the sample of rows without a found link says about all of them
+    n_none, n_some = (result.filter(c).count() for c in ("n_links = 0", "n_links > 0"))
+    lost = (linked & (had == 0)).sum() / max(1, (had == 0).sum()) * n_none
+    return float(min(recall, 1 - lost / max(1, lost + n_some)))
 
 
 def grouped(table: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -347,11 +361,12 @@ def grouped(table: DataFrame, key: str = "vec_id", vector: str = "embedding", co
     widest = leaders.agg(F.max("radius")).first()[0]
     overlap, beam = min(OVERLAP, len(c)), BEAM
     while True:
-        places, links = graph(leaders, c, overlap)
-        found = _linked(places, links, widest, beam, cosine, members, leaders, rows)
-        if audit(rows, found.select(F.col("id"), "n_links"), cosine) >= WANTED or overlap == len(c):
+        whole = overlap > 1 and overlap * overlap >= len(c)
+        places, links = graph(leaders, c[:1] if whole else c, 1 if whole else overlap)
+        found = _linked(places, links, widest, None if whole else beam, cosine, members, leaders, rows)
+        if whole or audit(rows, found.select(F.col("id"), "n_links"), cosine) >= WANTED:
             break
-        overlap, beam = min(2 * overlap, len(c)), 2 * beam
+        overlap, beam = 2 * overlap, 2 * beam
     out = everyone.join(found, everyone["vec_id"] == found["id"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"))

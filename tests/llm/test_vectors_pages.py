@@ -61,6 +61,24 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, block):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_pairs_that_shards_divide_are_found_in_the_end(spark, monkeypatch):
+    """Isolated pairs in many small shards: the first search loses some, the audit sees it."""
+    monkeypatch.setattr(flat_graph, "SHARD", 20)
+    monkeypatch.setattr(flat_graph, "OVERLAP", 1)
+    audits, plain = [], flat_graph.audit
+    monkeypatch.setattr(flat_graph, "audit", lambda *a: audits.append(plain(*a)) or audits[-1])
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=(400, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    off = rng.normal(size=one.shape)
+    off -= (off * one).sum(1, keepdims=True) * one
+    two = 0.902 * one + np.sqrt(1 - 0.902**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    made = [(int(i), v.tolist()) for i, v in enumerate(np.vstack([one, two]))]
+    got = {r.vec_id: r for r in flat_graph.grouped(spark.createDataFrame(made, "vec_id bigint, embedding array<double>")).collect()}
+    assert sum(got[i + 400].component_id == i and got[i].n_links == 1 for i in range(400)) >= 0.99 * 400
+    assert audits[0] < 0.99
+
+
 def test_no_vectors(spark):
     for made in ([], [(1, None), (2, [0.0, 0.0])]):
         frame = spark.createDataFrame(made, VECTORS)
