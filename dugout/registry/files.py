@@ -39,6 +39,32 @@ def pitch_log_scan(spark, sf):
     )
 
 
+def _typed_cells() -> list[tuple[str, str, str, str]]:
+    """(column, type, text as an export writes it, value read from it) of every raw column, in SQL that
+    both engines take: each column has values and gaps of its own, by place and row."""
+    cells = []
+    for k, (name, kind) in enumerate((c, t) for t, cs in C.RAW_TYPES.items() for c in cs):
+        value, shown = {
+            "date": ("CAST(o_orderdate AS DATE)", "CAST(CAST(o_orderdate AS DATE) AS STRING)"),
+            "bigint": (f"CAST(o_custkey * 1000 + {k} AS BIGINT)", f"CAST(o_custkey * 1000 + {k} AS STRING)"),
+            "int": (f"CAST(o_custkey % 90 - {k} AS INT)", f"CAST(o_custkey % 90 - {k} AS STRING)"),
+            "double": (f"CAST((o_custkey % 500) * 0.125 - {k} AS DOUBLE)", f"CAST((o_custkey % 500) * 0.125 - {k} AS STRING)"),
+            "string": (f"concat(o_orderpriority, ', \"{k}\"')", f"concat(o_orderpriority, ', \"{k}\"')"),
+        }[kind]
+        gap = "false" if k < 3 else f"(o_orderkey + {k}) % 7 = 0"
+        missing = readers.MISSING[k % len(readers.MISSING)]
+        cells.append((name, kind, f"CASE WHEN {gap} THEN '{missing}' ELSE {shown} END", f"CASE WHEN {gap} THEN NULL ELSE {value} END"))
+    return cells
+
+
+@query("pitch_log_typed", "SELECT " + ", ".join(f"{value} AS {name}" for name, _, _, value in _typed_cells()) + " FROM orders")
+def pitch_log_typed(spark, sf):
+    """Every column of an export, with every missing marker, through its declared type."""
+    path = scratch_path(spark, "typed-csv")
+    sinks.write_table(table(spark, sf, "orders").selectExpr(*(f"{text} AS {name}" for name, _, text, _ in _typed_cells())), path, "csv")
+    return readers.read_pitch_log(spark, path)
+
+
 @query("landing_scan", """
 SELECT c_custkey AS pitcher, c_custkey * 3 AS game_pk, c_mktsegment AS pitch_type, c_acctbal AS release_speed, 'x' AS extra FROM customer""")
 def landing_scan(spark, sf):
