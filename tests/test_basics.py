@@ -212,6 +212,15 @@ def test_majority_prefers_first_of_equals(spark):
     assert B.weighted_majority(df, ["k"], "c", "w").first().c == "A"
 
 
+def test_weighted_majority_of_many_equal_rows(spark):
+    # added one by one 3999 times 0.98 is 3919.020000000067, added in two halves 3919.020000000061
+    many = spark.range(0, 3999, 1, 1).withColumn("c", F.lit("B")).select("c", F.lit(0.98).alias("w"))
+    halves = spark.range(0, 3999, 1, 2).withColumn("c", F.lit("A")).select("c", F.lit(0.98).alias("w"))
+    df = many.unionByName(halves).withColumn("k", F.lit(1))
+    got = B.weighted_majority(df, ["k"], "c", "w").first()
+    assert (got.c, got.total_weight) == ("A", 3919.02)
+
+
 # --- reports ------------------------------------------------------------------------------------
 def test_breadth(spark):
     rows = [("g", "FF", True)] * 5 + [("g", "SL", True)] + [("g", "SL", False)] * 5 + [("h", "CH", True)] * 3 + [("h", "FF", True)] * 3
