@@ -47,7 +47,7 @@ def carry(kg2: DataFrame) -> Carry:
     day = kg2.groupBy("pitcher", "game_date").agg(F.sort_array(F.collect_list(at)).alias("_p"))
     last = F.slice("_p", F.greatest(F.size("_p") - ROWS + 1, F.lit(1)), ROWS)
     tails = day.select("pitcher", "game_date", F.transform(last, lambda p: p["pitch_type"]).alias("tail"))
-    first = F.struct("game_date", "pitch_number_of_ab", P.CARRIED)
+    first = F.struct("game_date", P.first_of_pa().alias("_first"), "pitch_number_of_ab", P.CARRIED)
     appearances = kg2.groupBy(*_PA).agg(F.min_by("batter", first).alias("party"), F.min("game_date").alias("game_date"))
     meetings = appearances.groupBy("pitcher", "party", "game_date").agg(F.count(F.lit(1)).alias("appearances"))
     return Carry(tails, meetings)
@@ -78,7 +78,7 @@ def extend(batch: DataFrame, cuts: DataFrame, before: Carry, hot_rows: int = HOT
     cut = settled(cuts)
     met = before.meetings.join(cut, "pitcher").filter(F.col("game_date") < F.col("cut"))
     met = met.groupBy(F.col("pitcher").alias("_of"), F.col("party").alias("_with")).agg(F.sum("appearances").alias("_met"))
-    by_pitch = Window.partitionBy(*_PA).orderBy("game_date", "pitch_number_of_ab", P.CARRIED)
+    by_pitch = Window.partitionBy(*_PA).orderBy("game_date", P.first_of_pa(), "pitch_number_of_ab", P.CARRIED)
     party = two.withColumn("_party", F.first("batter").over(by_pitch))
     counted = party.join(settled(met), (F.col("pitcher") == F.col("_of")) & F.col("_party").eqNullSafe(F.col("_with")), "left")
     total = F.col("prior_pa_vs_pitcher_career") + F.coalesce("_met", F.lit(0))

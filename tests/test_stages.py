@@ -132,3 +132,19 @@ def test_a_game_over_the_cut_moves_the_cut(spark):
                                 "pitcher bigint, game_pk bigint, game_date date")
     rows, moved = increment.whole_games(log, spark.createDataFrame([(1, day(5))], "pitcher bigint, cut date"))
     assert moved.first().cut == day(2) and sorted(r.game_pk for r in rows.collect()) == [11, 11, 12, 12]
+
+
+@pytest.mark.parametrize("hot_rows", [10**9, 2])
+def test_the_batter_of_an_appearance_is_that_of_the_sql(spark, hot_rows):
+    """Original numbers more than a million apart outweigh a step of the pitch number."""
+    day = dt.date(2023, 4, 1)
+    at = dict(pitcher=1, game_pk=9, game_date=day, pitch_type="FF")
+    rows = [P.pitch(at_bat_number=100, pitch_number=3, batter=1, **at),
+            P.pitch(at_bat_number=1_500_000, pitch_number=2, batter=2, **at),
+            P.pitch(at_bat_number=1_500_001, pitch_number=1, batter=2, **at),
+            P.pitch(at_bat_number=1_500_002, pitch_number=1, batter=1, **at)]
+    built = stages.build(P.frame(spark, rows), hot_rows)
+    met = {r.at_bat_number_of_game: r.prior_pa_vs_pitcher_career for r in built.kg2.collect()}
+    assert met == {0: 0, 1: 0, 2: 1}
+    meetings = {r.party: r.appearances for r in increment.carry(built.kg2).meetings.collect()}
+    assert meetings == {1: 2, 2: 1}
