@@ -175,7 +175,8 @@ def history_versions(spark, sf):
     old = readers.read_history(spark, path, version=first).select(
         F.col("game_pk").alias("_g"), F.col("pitcher_id").alias("_p"), F.col("game_date").cast("date").alias("first_date"))
     new = readers.read_history(spark, path)
-    return new.join(old, (F.col("game_pk") == F.col("_g")) & (F.col("pitcher_id") == F.col("_p"))).select(
+    # three of 25 columns look small to the planner, which would broadcast a row per game from the driver
+    return new.join(old.hint("merge"), (F.col("game_pk") == F.col("_g")) & (F.col("pitcher_id") == F.col("_p"))).select(
         "game_date", "game_pk", "pitcher_id", "pitch_count", "first_date")
 
 

@@ -38,6 +38,16 @@ def test_a_moved_row_leaves_its_month_and_an_empty_month_is_gone(spark, tmp_path
         readers.read_history(spark, path, version=1)
 
 
+def test_versions_of_a_history_meet_by_shuffle(spark):
+    """A row per game must not go through the driver."""
+    from dugout import registry
+
+    registry.load_all()
+    out = registry.QUERIES["history_versions"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_of_two_writers_none_is_lost(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "history")
     sinks.store_history(batch(spark, ("2026-03-30", 1, 10, "a")), path)
