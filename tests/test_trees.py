@@ -134,6 +134,17 @@ def test_predictions_average_the_leaves(spark, log, tmp_path):
     assert absent.filter("key = 1 AND model_prediction IS NULL").isEmpty()
 
 
+def test_rows_of_equal_inputs_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 100)
+    rows = spark.range(3000).select("id", F.lit(1).alias("key"), F.lit(1.0).alias("same"), F.create_map(F.lit("a"), "id").alias("m"))
+    cols = L.Columns(["same"], [])
+    sizes = T._dealt_to_predict(rows, "key", ["same"], lambda df: L.impute_constants(df, cols)).groupBy("key", "_block").count().collect()
+    assert len(sizes) == 30 and max(r["count"] for r in sizes) < 200
+    forests = L.fit_each(rows.withColumn("label", F.when(F.col("id") % 3 == 0, "a").otherwise("b")), cols, "key", None, L.Forest(trees=2, depth=2), ["id"], "label")
+    out = L.predict_each(forests, rows)
+    assert out.count() == 3000 and out.filter("model_prediction <> 'b' OR abs(probabilities['a'] + probabilities['b'] - 1) > 1e-9").isEmpty()
+
+
 def test_importance_adds_up(log):
     forests = L.fit_each(log, COLS, "key", None, L.Forest(trees=2, depth=3, min_leaf=2, min_split=4, max_bins=8), ID, "label")
     shares = {}
