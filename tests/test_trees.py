@@ -228,6 +228,40 @@ def test_models_of_all_dates_are_those_fitted_date_by_date(career, most):
     assert all((r.model_prediction is None) == (r.row in first) for r in got.values())
 
 
+def _history(rng, n, classes, targets, factor):
+    from dugout.plans import forward
+
+    block = T.Block(np.array([[rng.randrange(30), rng.randrange(2), rng.randrange(9)] for _ in range(n)], np.uint8), np.array([rng.randrange(classes) for _ in range(n)]),
+                    np.full(n, T.UNIT), np.array([rng.getrandbits(63) for _ in range(n)], np.uint64))
+    day = np.array([rng.randrange(6) for _ in range(n)])
+    return forward.History(block, day, 2020 + day // 2, [(t, [{"season": s, "factor": [factor(s, c) for c in range(classes)]} for s in range(2020, 2023)]) for t in targets], classes)
+
+
+@pytest.mark.parametrize("tried", [2, 3])
+def test_short_histories_grow_together_as_they_grow_alone(tried):
+    from dugout.plans import forward
+
+    rng = random.Random(9)
+    spec = T.Spec(3, 4, 2, 5, tried, 3, 32, 4, True, 42)
+    pasts = [(str(k), _history(rng, n, 4, targets, lambda s, c: 0.5 + 0.1 * c + (s - 2020) / 7), range(3))
+             for k, (n, targets) in enumerate([(60, [2, 4, 5]), (1, [3]), (40, [5]), (30, [])])]
+    for (key, past, numbers), got in zip(pasts, forward.shares_together(pasts, spec)):
+        assert (got == forward.shares(past, key, numbers, spec)).all()
+        assert got.any() == (len(past.targets) > 0 and len(past.day) > 1)
+
+
+def test_classes_of_equal_weight_are_equal_whatever_their_rows():
+    from dugout.plans import forward
+
+    # three rows at 0.6144 and two at 0.9216 weigh the same, but not in whole units
+    day, label = np.array([0, 0, 0, 0, 0, 1]), np.array([1, 1, 1, 0, 0, 0])
+    block = T.Block(np.zeros((6, 1), np.uint8), label, np.full(6, T.UNIT), np.arange(6, dtype=np.uint64))
+    past = forward.History(block, day, np.full(6, 2020), [(1, [{"season": 2020, "factor": [0.9216, 0.6144]}])], 2)
+    spec = T.Spec(1, 1, 1, 2, 1, 1, 2, 2, False, 42)
+    for got in (forward.shares(past, "1", range(1), spec), forward.shares_together([("1", past, range(1))], spec)[0]):
+        assert got[5, 0] == got[5, 1] > 0
+
+
 # ---- boosting
 
 
