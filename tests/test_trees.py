@@ -145,6 +145,18 @@ def test_rows_of_equal_inputs_are_dealt_over_blocks(spark, monkeypatch):
     assert out.count() == 3000 and out.filter("model_prediction <> 'b' OR abs(probabilities['a'] + probabilities['b'] - 1) > 1e-9").isEmpty()
 
 
+def test_rows_that_are_alike_are_fitted_as_one(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") % 2).cast("string").alias("t"), F.when((F.col("id") % 3 == 0) == (F.col("id") % 2 == 0), "a").otherwise("b").alias("label"), (1.0 + F.col("id") % 3).alias("w"))
+    cols = L.Columns([], ["t"])
+    sums = {(r.t, r.label): r.s for r in rows.groupBy("t", "label").agg(F.sum("w").alias("s")).collect()}
+    assert {(r.t, r.label): r["_weight"] for r in L.merged(rows, cols, "w", "label").collect()} == sums and len(sums) == 4
+    fitted = L.fit_forest(rows, cols, "w", L.Forest(trees=1, depth=4, min_leaf=1, features="all", bootstrap=False), "label")
+    want = {r.t: r.p for r in rows.groupBy("t").agg((F.sum(F.when(F.col("label") == "a", F.col("w"))) / F.sum("w")).alias("p")).collect()}
+    for r in L.predict(fitted, rows.select("t").distinct()).collect():
+        assert r.probabilities["a"] == pytest.approx(want[r.t])
+
+
 def test_importance_adds_up(log):
     forests = L.fit_each(log, COLS, "key", None, L.Forest(trees=2, depth=3, min_leaf=2, min_split=4, max_bins=8), ID, "label")
     shares = {}
