@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from dugout.operators import history as H
 from dugout.operators.groups import settled
-from dugout.plans.stages import Stages, kg3, kg4, published
-from dugout.session import cut_lineage
+from dugout.plans.stages import Stages, kg2_and_kg3, kg4, published
+from dugout.plans.stages import rated as with_rates
+from dugout.session import cut_lineage, drop_path
 from dugout.sources import readers, versions
 
 KEYED_ORDER = ["pitcher", "game_date", "game_pk", "at_bat_number_of_game", "pitch_number_of_ab"]
@@ -35,12 +36,16 @@ def write_stages(stages: Stages, root: str, buckets: int | None = None) -> None:
     """One Parquet dataset per stage, each computed from the one before and not from the raw log
     again. Rows are range-partitioned by pitcher and order, so a pitcher with very many rows spans
     several files and readers still prune by pitcher statistics."""
-    two = cut_lineage(stages.kg2)
-    three = cut_lineage(kg3(two))
+    draft = f"{root}/_rated"
+    rated = stages.rated if stages.rated is not None else with_rates(cut_lineage(stages.kg2))
+    rated.write.mode("overwrite").parquet(draft)
+    # kept in columns: placing a stage looks at its keys alone first, and reads no column it lacks
+    two, three = kg2_and_kg3(rated.sparkSession.read.schema(rated.schema).parquet(draft))
     args = ([buckets] if buckets else []) + KEYED_ORDER
     for name, stage in (("kg2", two), ("kg3", three), ("kg4", kg4(three))):
         placed = published(stage).repartitionByRange(*args).sortWithinPartitions(*KEYED_ORDER)
         placed.write.mode("overwrite").parquet(f"{root}/{name}")
+    drop_path(rated.sparkSession, draft)
 
 
 def write_prediction_logs(logs: DataFrame, path: str) -> None:
