@@ -86,12 +86,9 @@ def sharded(rows: DataFrame, c: np.ndarray, overlap: int, schema: str) -> DataFr
 
 def _blocks(counts: dict[int, int]):
     """A column that cuts each shard (column ``shard``) into blocks of bounded size, from the rows per
-    shard; there are at most SHARDS numbers."""
-    many = {s: -(-n // BLOCK) for s, n in counts.items() if n > BLOCK}
-    number = F.lit(1)
-    for s, n in many.items():
-        number = F.when(F.col("shard") == s, n).otherwise(number)
-    return number
+    shard; there are at most SHARDS numbers, looked up in one array (a condition per shard nests too deep)."""
+    many = [max(1, -(-counts.get(s, 0) // BLOCK)) for s in range(max(counts, default=0) + 1)]
+    return F.coalesce(F.get(F.array(*[F.lit(n) for n in many]), F.col("shard")), F.lit(1))
 
 
 def _leaders(leaders: DataFrame, c: np.ndarray, limit: float, salt: int) -> DataFrame:
@@ -185,35 +182,34 @@ def in_range(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, reach: np.nd
     table = np.full((n, width), -1)
     for i, r in enumerate(links):
         table[i, : len(r)] = r
-    score = np.full((m, n), -np.inf)  # of rows seen
-    done = np.zeros((m, n), bool)  # rows whose neighbours have been seen
-    score[:, medoid] = q @ x[medoid]
     least = np.cos(np.minimum(reach, np.pi))
-    active = np.arange(m)
     beam = min(beam, n)
-    while len(active):
-        part = score[active]
-        bar = np.partition(part, n - beam, axis=1)[:, n - beam]
-        # open: in the beam or in range, seen, not yet expanded
-        todo = (part >= np.minimum(bar, least[active])[:, None]) & (part > -np.inf) & ~done[active]
-        a, v = np.nonzero(todo)
-        if not len(a):
-            break
-        active_q = active[a]
-        done[active_q, v] = True
-        i = np.repeat(active_q, width)
-        j = table[v].ravel()
-        good = j >= 0
-        i, j = i[good], j[good]
-        fresh = score[i, j] == -np.inf
-        i, j = i[fresh], j[fresh]
-        code = np.unique(i * n + j)
-        i, j = code // n, code % n
-        for s in range(0, len(i), 1 << 16):
-            score[i[s : s + (1 << 16)], j[s : s + (1 << 16)]] = np.einsum(
-                "ij,ij->i", q[i[s : s + (1 << 16)]], x[j[s : s + (1 << 16)]])
-        active = np.unique(active_q)
-    return np.nonzero(score >= least[:, None])
+    best = np.full((m, beam), -np.inf)  # scores of the best rows seen, the least of them first
+    seen = np.zeros(m * n, bool)
+    i, j = np.arange(m), np.full(m, medoid)  # rows seen last, in order of the query
+    seen[i * n + j] = True
+    cosine = (q @ x.T).ravel()
+    score = cosine[i * n + j]
+    found = []
+    while len(i):
+        hit = score >= least[i]
+        found.append(i[hit] * n + j[hit])
+        order = np.lexsort((-score, i))
+        own, first, at = np.unique(i, return_index=True, return_inverse=True)
+        rank = np.arange(len(i)) - first[at]
+        top = rank < beam
+        fresh = np.full((len(own), beam), -np.inf)
+        fresh[at[top], rank[top]] = score[order[top]]
+        best[own] = np.partition(np.concatenate([best[own], fresh], axis=1), beam, axis=1)[:, beam:]
+        # the neighbours of those in the beam or in range follow; the bar only rises, so others never will
+        go = score >= np.minimum(best[i, 0], least[i])
+        near = table[j[go]]
+        code = (i[go, None] * n + near)[near >= 0]
+        before = seen.copy()
+        seen[code] = True
+        code = np.flatnonzero(seen & ~before)
+        (i, j), score = np.divmod(code, n), cosine[code]
+    return np.divmod(np.sort(np.concatenate(found)), n)
 
 
 def graph(leaders: DataFrame, c: np.ndarray, overlap: int) -> tuple[DataFrame, DataFrame]:

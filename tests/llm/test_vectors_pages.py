@@ -79,6 +79,34 @@ def test_pairs_that_shards_divide_are_found_in_the_end(spark, monkeypatch):
     assert audits[0] < 0.99
 
 
+def test_every_shard_may_be_cut_into_blocks(spark):
+    """As many large shards as there can be: their numbers of blocks must not nest in one expression."""
+    counts = {s: flat_graph.BLOCK * (1 + s % 3) - s % 2 for s in range(flat_graph.SHARDS) if s != 7}
+    rows = spark.range(flat_graph.SHARDS).withColumn("shard", F.col("id").cast("int")).withColumn("n", flat_graph._blocks(counts))
+    assert {r.shard: r.n for r in rows.collect()} == {s: 1 + s % 3 if s in counts else 1 for s in range(flat_graph.SHARDS)}
+
+
+def test_the_walk_sees_what_it_saw(spark):
+    """Rows in range that a walk from the medoid reaches, against one that looks at every row in each step."""
+    x = clustered(300, 8, 7, 0.5)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, reach, links, beam = x[:90], np.linspace(0.1, 0.9, 90), flat_graph.pruned(x), 3
+    cosine, medoid = q @ x.T, int((x @ x.sum(0)).argmax())
+    want = set()
+    for k in range(len(q)):
+        seen, done = {medoid}, set()
+        while True:
+            bar = sorted((cosine[k, j] for j in seen), reverse=True)[beam - 1] if len(seen) >= beam else -np.inf
+            step = {j for j in seen - done if cosine[k, j] >= min(bar, np.cos(reach[k]))}
+            if not step:
+                break
+            done |= step
+            seen |= {int(j) for i in step for j in links[i]}
+        want |= {(k, j) for j in seen if cosine[k, j] >= np.cos(reach[k])}
+    found = list(zip(*(c.tolist() for c in flat_graph.in_range(x, links, q, reach, beam))))
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_no_vectors(spark):
     for made in ([], [(1, None), (2, [0.0, 0.0])]):
         frame = spark.createDataFrame(made, VECTORS)
