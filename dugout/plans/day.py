@@ -22,10 +22,12 @@ from dugout.operators import report
 from dugout.operators import weights as W
 from dugout.operators.groups import settled
 from dugout.plans import backtest as R
+from dugout import session
 from dugout.session import cut_lineage
 from dugout.sources import readers, sinks, storage
 
 PARTS = ("predictions", "statuses", "summary")
+STARTER = ("game_pk", "official_date", "pitcher_id", "pitcher_name", "opponent_name", "side", "game_status")
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,24 @@ class Day:
     summary: DataFrame
 
 
+@dataclass(frozen=True)
+class Days:
+    """What many dates of one schedule and log take from them: the starters, and the rows of the games they
+    started (``_official``: the date), each in order of date within a file, so that a date reads its own."""
+
+    starters: DataFrame
+    rows: DataFrame
+
+
+def prepared(schedule: DataFrame, log: DataFrame, names: R.Log = R.PITCHES) -> Days:
+    """Read the schedule once, and find the rows of all its finished games in one pass over the log."""
+    kept = lambda df, name: session.stored(df.sortWithinPartitions("_official"), session.scratch_path(log.sparkSession, name))
+    starters = kept(readers.starters(schedule).select(*STARTER, F.col("official_date").alias("_official")), "day-starters")
+    games = starters.filter(S.is_final("game_status")).select(
+        F.col("pitcher_id").alias(names.key), S.to_number("game_pk", "bigint").alias(names.game), "_official").distinct()
+    return Days(starters, kept(log.join(games, [names.key, names.game]).select(*log.columns, "_official"), "day-rows"))
+
+
 def stored(spark: SparkSession, root: str, date: str) -> Day | None:
     """The day as its latest manifest names it."""
     known = storage.names(spark, f"{root}/days/{date}")
@@ -74,25 +94,28 @@ def replay(
     force: bool = False,
     evaluated_at: Column | None = None,
     seed: int = 42,
+    days: Days | None = None,
 ) -> Day:
     """Replay the starters of ``date`` and store what came of it under ``root``.
 
-    ``fit``: as ``backtest.replay_days`` takes it; without it the weighted majority is the model.
+    ``fit``: as ``backtest.replay_days`` takes it; without it the weighted majority is the model. ``days``:
+    what ``prepared`` made of the same schedule and log, for callers that replay many dates.
     """
     spark = log.sparkSession
     before = stored(spark, root, date)
     if before is not None and not force:
         return before
-    starters = readers.starters(schedule).filter(F.col("official_date") == date)
-    starters = cut_lineage(starters.select("game_pk", "official_date", "pitcher_id", "pitcher_name", "opponent_name", "side", "game_status"))
+    everyone = readers.starters(schedule).filter(F.col("official_date") == date) if days is None else days.starters.filter(F.col("_official") == date)
+    starters = cut_lineage(everyone.select(*STARTER))
+    played = log if days is None else days.rows.filter(F.col("_official") == date).drop("_official")
     finals = starters.filter(S.is_final("game_status")).select(
         F.col("pitcher_id").alias(names.key), F.col("game_pk").alias(names.game), F.lit(date).cast("date").alias("target_date")).distinct()
     errors = cut_lineage(_errors(finals, log, names, min_games))
     ready = cut_lineage(finals.join(errors.select(F.col("game_pk").alias(names.game), F.col("pitcher_id").alias(names.key)), [names.game, names.key], "left_anti"))
-    predicted = fit(R.before(log, ready, names))(R.target_rows(log, ready, names)) if fit else None
+    predicted = fit(R.before(log, ready, names))(R.target_rows(played, ready, names)) if fit else None
     folder = f"runs/{date}-{uuid.uuid4().hex}"
     at = lambda part: f"{root}/{folder}/{part}"
-    R.replay_day(log, ready, names, predicted, rules, seed).write.parquet(at("predictions"))
+    R.replay_day(log, ready, names, predicted, rules, seed, played).write.parquet(at("predictions"))
     logs = spark.read.parquet(at("predictions"))
     results = cut_lineage(R.game_results(logs, [names.key, names.game, names.date]))
     by_game = results.select(F.col(names.game).alias("game_pk"), F.col(names.key).alias("pitcher_id"),

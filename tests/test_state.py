@@ -147,3 +147,30 @@ def test_a_day_with_a_fitted_model(spark, season, schedule, tmp_path):
 
     day = D.replay(schedule, season, "2026-04-16", str(tmp_path / "store"), NAMES, fit)
     assert day.summary.first().model_correct == 6
+
+
+def test_many_days_read_schedule_and_log_once(spark, season, schedule, tmp_path, monkeypatch):
+    """Days of a prepared schedule are those replayed one by one, with a game that was resumed and with rows and starters that repeat."""
+    games = schedule.first().asDict(recursive=True)["dates"][0]["games"]
+    other = [{**g, "officialDate": "2026-04-11", "gamePk": n} for g, n in zip(games, (13, 22, 23, 43, 97, 96))]
+    several = spark.createDataFrame([([{"games": games + other + games[:1]}],)], readers.SCHEDULE_DDL)
+    log = season.union(season.filter("game_pk = 13 and row % 2 = 0")).union(season.filter("game_pk = 12").withColumn("game_pk", F.lit(None).cast("bigint")))
+    read, passes, plain = [], spark.sparkContext.accumulator(0), readers.starters
+
+    @F.udf("bigint")
+    def counted(x):
+        passes.add(1)
+        return x
+
+    dates = ("2026-04-11", "2026-04-16")
+    want = [D.replay(several, log, d, str(tmp_path / "one"), NAMES, evaluated_at=AT()) for d in dates]
+    monkeypatch.setattr(readers, "starters", lambda s: read.append(1) or plain(s))
+    days = D.prepared(several, log.withColumn("row", counted("row")), NAMES)
+    assert passes.value <= log.count()
+    got = [D.replay(several, log, d, str(tmp_path / "many"), NAMES, evaluated_at=AT(), days=days) for d in dates]
+    assert len(read) == 1
+    for a, b in zip(want, got):
+        for part in ("predictions", "statuses", "summary"):
+            x, y = getattr(a, part), getattr(b, part)
+            assert x.columns == y.columns and sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    assert got[0].predictions.count() == 23 and got[1].summary.first().total_pitches == 23
